@@ -44,6 +44,11 @@ def R(expr: str) -> str:
     return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
 
 
+def P(expr: str, digits: int) -> str:
+    """SQL rounding of a percentage, half up on its decimal digits."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(28, 12)), {digits}) AS DOUBLE)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +56,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- the observation view -------------------------------------------------------------------
 
 IDS = ["point_id", "lat", "lon", "aoi", "time"]
+# Kelvin per unit of quantity: many digits, so that no average ends on a rounding tie.
+SLOPE = 0.8512345677
 TEMPERATURES = ["eco_sst", "lst_sst", "ref_sst"]
 
 
@@ -69,7 +76,7 @@ def raw_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("A"), F.col("n_regionkey").cast("string")).alias("aoi"), "time",
         F.when(F.col("l_returnflag") == "A", "eco_sst").when(F.col("l_returnflag") == "N", "lst_sst").otherwise("ref_sst").alias("variable"),
         F.when(F.col("l_linestatus") == "O", "nanmean").otherwise("nearest").alias("stat"), F.lit(300).alias("radius_m"),
-        F.when(F.col("gap") == 0, F.lit(273.15) + F.lit(0.85) * F.col("q")).alias("value"),
+        F.when(F.col("gap") == 0, F.lit(273.15) + F.lit(SLOPE) * F.col("q")).alias("value"),
         (F.col("k") % 24).cast("double").alias("hour"), F.round(F.col("d") * 100.0, 6).alias("wind"),
     )
 
@@ -124,7 +131,7 @@ CTES = {
   CASE l_returnflag WHEN 'A' THEN 'eco_sst' WHEN 'N' THEN 'lst_sst' ELSE 'ref_sst' END AS variable,
   CASE l_linestatus WHEN 'O' THEN 'nanmean' ELSE 'nearest' END AS stat, CAST(300 AS INTEGER) AS radius_m,
   CASE WHEN max(CASE WHEN l_tax = CAST(0.08 AS DOUBLE) THEN 1 ELSE 0 END) = 1 THEN NULL
-       ELSE CAST(273.15 AS DOUBLE) + CAST(0.85 AS DOUBLE) * avg(l_quantity) END AS value,
+       ELSE CAST(273.15 AS DOUBLE) + CAST(0.8512345677 AS DOUBLE) * avg(l_quantity) END AS value,
   CAST(min(l_orderkey) % 24 AS DOUBLE) AS hour, round(avg(l_discount) * CAST(100 AS DOUBLE), 6) AS wind
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 GROUP BY s_nationkey, n_regionkey, CAST(l_shipdate AS DATE), l_returnflag, l_linestatus""",

@@ -212,7 +212,7 @@ def p4(spark, sf):
     return ranged(spark, sf).select(*IDS, "variable", "value", "step", "stage", "stage_variable", "reason", "lower_threshold", "upper_threshold")
 
 
-@query("P5_range_summary", with_ctes("""SELECT variable, reason, n, round(100.0 * n / n_var, 2) AS pct_of_var FROM (
+@query("P5_range_summary", with_ctes("""SELECT variable, reason, n, CAST(round(CAST(100.0 * n / n_var AS DECIMAL(28, 12)), 2) AS DOUBLE) AS pct_of_var FROM (
 SELECT variable, count(*) AS n_var, count(*) FILTER (WHERE value > 0 AND value < 40) AS r, count(*) FILTER (WHERE value IS NULL) AS m, count(*) FILTER (WHERE value <= 0) AS b, count(*) FILTER (WHERE value >= 40) AS a
 FROM conv WHERE variable IN ('eco_sst', 'lst_sst', 'ref_sst') GROUP BY variable) t
 CROSS JOIN LATERAL (VALUES ('retained', r), ('missing value (untestable)', m), ('below lower threshold', b), ('above upper threshold', a)) v(reason, n)"""))
@@ -246,7 +246,7 @@ def p7(spark, sf):
     return keys.where("not retained").select(*IDS, "target_value", "solar_time", "wind_speed", "reason")
 
 
-@query("P8_wind_summary", with_ctes(f"""SELECT v.reason, v.n, round(100.0 * v.n / n_obs, 2) AS pct_of_obs FROM (
+@query("P8_wind_summary", with_ctes(f"""SELECT v.reason, v.n, CAST(round(CAST(100.0 * v.n / n_obs AS DECIMAL(28, 12)), 2) AS DOUBLE) AS pct_of_obs FROM (
 SELECT count(*) AS n_obs, count(*) FILTER (WHERE reason IS NULL) AS a, count(*) FILTER (WHERE reason = 'calm within window') AS b, count(*) FILTER (WHERE reason = 'within window, wind unknown') AS c,
 count(*) FILTER (WHERE reason = 'calm, time unknown') AS d, count(*) FILTER (WHERE reason = 'missing covariates') AS e
 FROM (SELECT CASE WHEN coalesce(NOT (inw AND calm), false) THEN NULL ELSE {W_REASON} END AS reason FROM k WHERE t IS NOT NULL OR w IS NOT NULL OR h IS NOT NULL)) q
@@ -389,7 +389,7 @@ def g6(spark, sf):
     return log[0].unionByName(log[1])
 
 
-@query("G7_removal_reasons", with_ctes("""SELECT v.reason, v.n, round(100.0 * v.n / nt, 2) AS pct_of_target FROM (SELECT count(*) AS nt, count(*) FILTER (WHERE stage IS NULL AND x IS NOT NULL) AS a, count(*) FILTER (WHERE stage IS NULL AND x IS NULL) AS b,
+@query("G7_removal_reasons", with_ctes("""SELECT v.reason, v.n, CAST(round(CAST(100.0 * v.n / nt AS DECIMAL(28, 12)), 2) AS DOUBLE) AS pct_of_target FROM (SELECT count(*) AS nt, count(*) FILTER (WHERE stage IS NULL AND x IS NOT NULL) AS a, count(*) FILTER (WHERE stage IS NULL AND x IS NULL) AS b,
 count(*) FILTER (WHERE reason = 'below fit (cold / cloud)') AS c, count(*) FILTER (WHERE reason = 'above fit (warm)') AS d, count(*) FILTER (WHERE reason = 'outside bounds') AS e, count(*) FILTER (WHERE reason = 'no reference match-up') AS f
 FROM (SELECT m.*, w.x FROM m LEFT JOIN m_w0 w USING (point_id, lat, lon, aoi, time) WHERE variable = 'eco_sst' AND value IS NOT NULL)) q
 CROSS JOIN LATERAL (VALUES ('retained (tested)', a), ('retained (no match-up)', b), ('below fit (cold / cloud)', c), ('above fit (warm)', d), ('outside bounds', e), ('no reference match-up', f)) v(reason, n)""", "conv", MATCH))
@@ -457,7 +457,7 @@ def summary_sql(source: str) -> str:
     k, m = "FILTER (WHERE retained)", "FILTER (WHERE NOT retained)"
     q = lambda p: R(f"quantile_cont(value, {p}) {k}")
     return f"""SELECT variable, pooled, grp AS "group", count(*) AS n_input, count(value) AS n_present, count(*) {k} AS n_kept, count(*) {m} AS n_removed,
-round(100.0 * count(value) {m} / greatest(count(value), 1), 3) AS pct_removed, round(100.0 * count(*) {m} / greatest(count(*), 1), 3) AS pct_of_rows, count(*) FILTER (WHERE retained AND value IS NULL) AS n_missing,
+CAST(round(CAST(100.0 * count(value) {m} / greatest(count(value), 1) AS DECIMAL(28, 12)), 3) AS DOUBLE) AS pct_removed, CAST(round(CAST(100.0 * count(*) {m} / greatest(count(*), 1) AS DECIMAL(28, 12)), 3) AS DOUBLE) AS pct_of_rows, count(*) FILTER (WHERE retained AND value IS NULL) AS n_missing,
 {R(f'avg(value) {k}')} AS mean, {R(f'stddev_samp(value) {k}')} AS sd, {R(f'median(value) {k}')} AS median, {R(f'1.4826 * mad(value) {k}')} AS mad, {R(f'min(value) {k}')} AS min,
 {q(0.01)} AS p01, {q(0.05)} AS p05, {q(0.25)} AS p25, {q(0.75)} AS p75, {q(0.95)} AS p95, {q(0.99)} AS p99, {R(f'max(value) {k}')} AS max,
 count(value) {m} AS rm_n, {R(f'avg(value) {m}')} AS rm_mean, {R(f'stddev_samp(value) {m}')} AS rm_sd, {R(f'median(value) {m}')} AS rm_median, {R(f'min(value) {m}')} AS rm_min, {R(f'max(value) {m}')} AS rm_max
@@ -485,7 +485,7 @@ def a3(spark, sf):
 
 REMOVALS = [("fine", "SELECT stage, variable, aoi AS grp, count(*) AS nr, count(value) AS np FROM f7 GROUP BY 1, 2, 3"),
             ("lvl", "SELECT stage, variable, true AS pooled, '(all)' AS grp, nr, np FROM fine UNION ALL SELECT stage, variable, false, grp, nr, np FROM fine"),
-            ("rs", """SELECT c.stage, c.variable, c.pooled, c.grp AS "group", CAST(c.nr AS BIGINT) AS n_removed, CAST(c.np AS BIGINT) AS n_present, round(100.0 * c.np / nullif(t.den, 0), 3) AS pct_of_present FROM
+            ("rs", """SELECT c.stage, c.variable, c.pooled, c.grp AS "group", CAST(c.nr AS BIGINT) AS n_removed, CAST(c.np AS BIGINT) AS n_present, CAST(round(CAST(100.0 * c.np / nullif(t.den, 0) AS DECIMAL(28, 12)), 3) AS DOUBLE) AS pct_of_present FROM
 (SELECT stage, variable, pooled, grp, sum(nr) AS nr, sum(np) AS np FROM lvl WHERE stage IS NOT NULL GROUP BY 1, 2, 3, 4) c JOIN (SELECT variable, pooled, grp, sum(np) AS den FROM lvl GROUP BY 1, 2, 3) t USING (variable, pooled, grp)""")]
 
 
@@ -494,7 +494,7 @@ def a4(spark, sf):
     return summaries.removal_summary(screened(spark, sf), "aoi")
 
 
-@query("A5_stage_counts", chain_sql("SELECT step, stage, variable, n_in, n_in - n_removed AS n_out, n_removed, round(100.0 * n_removed / greatest(n_in, 1), 3) AS pct_removed FROM (" + " UNION ALL ".join(
+@query("A5_stage_counts", chain_sql("SELECT step, stage, variable, n_in, n_in - n_removed AS n_out, n_removed, CAST(round(CAST(100.0 * n_removed / greatest(n_in, 1) AS DECIMAL(28, 12)), 3) AS DOUBLE) AS pct_removed FROM (" + " UNION ALL ".join(
     f"SELECT CAST({k} AS INTEGER) AS step, '{s}' AS stage, '{v}' AS variable, count(*) - count(*) FILTER (WHERE step < {k}) AS n_in, count(*) FILTER (WHERE step = {k}) AS n_removed FROM f7" for k, s, v in STEPS) + ")"))
 def a5(spark, sf):
     return screening.stage_counts(screened(spark, sf), STEPS)

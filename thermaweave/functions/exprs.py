@@ -114,3 +114,8 @@ def finite(c) -> Column:
     """The value, or NULL where it is NULL or NaN or infinite."""
     c = _col(c)
     return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+
+
+def correlation(y, x) -> Column:
+    """Pearson correlation of paired, non-NULL columns as an aggregate; NULL when either is constant."""
+    return F.try_divide(F.covar_pop(_col(y), _col(x)), F.stddev_pop(_col(y)) * F.stddev_pop(_col(x)))

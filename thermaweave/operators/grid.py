@@ -210,25 +210,25 @@ def thin_columns(grid: Grid, max_columns: int = 1500) -> DataFrame:
     total = grid.last_bin + 1
     if total <= max_columns:
         return grid.cells
-    # Column j (1-based) of n evenly spaced ones is round(1 + (j-1) * (total-1) / (n-1)), so a
-    # bin is shown when the nearest j maps back to it.
+    # Counting columns from 1, pick j of n is round(1 + j * (total-1) / (n-1)); a bin is shown when
+    # the nearest j maps back to it.
     gap = F.lit((total - 1) / (max_columns - 1))
     j = F.round(F.col("bin") / gap)
-    return grid.cells.where(F.bround(j * gap).cast("int") == F.col("bin"))
+    return grid.cells.where(F.bround(F.lit(1.0) + j * gap).cast("int") - 1 == F.col("bin"))
 
 
 # ---- series statistics ----------------------------------------------------------------------
 
 
-def rolling_mean(df: DataFrame, keys: list[str], date: str = "date", value: str = "value", before: int = 1, after: int = 1) -> DataFrame:
-    """Mean of all values within a calendar-day window, one row per key and date.
+def rolling_mean(df: DataFrame, keys: list[str], date: str = "date", values: list[str] = ("value",), before: int = 1, after: int = 1) -> DataFrame:
+    """Means of all values within a calendar-day window, one row per key and date present.
 
     Values are first summed per date, so a window never holds more rows than there are dates.
     """
-    daily = df.groupBy(*keys, date).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    sums = [c for v in values for c in (F.sum(v).alias(f"_s_{v}"), F.count(v).alias(f"_n_{v}"))]
     near = Window.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(-before, after)
-    out = daily.withColumn("_n", F.sum("_n").over(near)).withColumn("_s", F.sum("_s").over(near))
-    return out.select(*keys, date, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("rolling_mean"))
+    means = [(F.sum(f"_s_{v}").over(near) / F.nullif(F.sum(f"_n_{v}").over(near), F.lit(0))).alias(f"{v}_mean") for v in values]
+    return df.groupBy(*keys, date).agg(*sums).select(*keys, date, *means)
 
 
 def date_gaps(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:

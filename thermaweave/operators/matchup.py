@@ -8,7 +8,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MAD_FACTOR, percent
+from ..functions.exprs import MAD_FACTOR, correlation, percent
 from ..functions.lineage import BROADCAST_ROWS, cut, small_side, staged
 from ..functions.quantiles import MAX_GROUP_ROWS, attach_median_mad, attach_quantiles, largest_group
 from .labelling import id_columns, require_columns
@@ -119,7 +119,7 @@ def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = Non
     base = [
         F.count(d).alias("n"), F.avg(d).alias("bias"), F.stddev_samp(d).alias("sd"), F.sqrt(F.avg(d * d)).alias("rmsd"),
         *[F.max(c).alias(c) for c in ("median_bias", "rsd", "p025", "p975")],
-        F.stddev_samp(y).alias("_sy"), F.stddev_samp(x).alias("_sx"), F.corr(y, x).alias("_r"), F.regr_slope(y, x).alias("_b"),
+        F.stddev_samp(y).alias("_sy"), F.stddev_samp(x).alias("_sx"), correlation(y, x).alias("_r"), F.regr_slope(y, x).alias("_b"),
     ]
     names = ["bias", "sd", "rmsd", "median_bias", "rsd", "p025", "p975"]
     if trim is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import md5_int
+from ..functions.exprs import correlation, md5_int
 from ..functions.lineage import cut, small_side
 from ..functions.quantiles import quantile_table
 from ..functions.ranking import number_rows
@@ -98,7 +98,7 @@ def skill(preds: DataFrame, levels: dict[str, str | None]) -> DataFrame:
     e = F.col("pred") - F.col("obs")
     return rows.groupBy("u.level", "u.unit", "model").agg(
         F.count(F.lit(1)).alias("n"), F.avg(e).alias("bias"), F.avg(e * e).alias("MSE"), F.sqrt(F.avg(e * e)).alias("RMSE"),
-        F.avg(F.abs(e)).alias("MAE"), F.corr("obs", "pred").alias("cor"), F.avg((F.abs(e) <= F.lit(Z95) * F.col("se")).cast("double")).alias("cover95"),
+        F.avg(F.abs(e)).alias("MAE"), correlation("obs", "pred").alias("cor"), F.avg((F.abs(e) <= F.lit(Z95) * F.col("se")).cast("double")).alias("cover95"),
     )
 
 
