@@ -1 +1,112 @@
-"""placeholder"""
+"""Reading and writing: each query writes derived rows to the shared folder and reads them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.lineage import scratch_path
+from ..operators import combine
+from ..operators.grid import split_holdout
+from ..operators.screening import kept, removed
+from ..operators.summaries import kept_removed_frame, variable_summary
+from ..schemas import STATES as STATES_SCHEMA
+from ..sources import readers as rd, writers as wr
+from .base import IDS, R, celsius_temperatures, query, raw_long, with_ctes
+from .combining import LOCATIONS, STATES, COMBINED_SQL, locations, states
+from .gridding import GRID_COLS, SITES, SITES_SQL, grid_ctes, the_grid
+from .quality import CHAIN, ID_SQL, ranged
+
+RAW_OUT = f"{ID_SQL}, variable, stat, radius_m, {R('value')} AS value"
+
+
+@query("R1_read_csv_extract", with_ctes(f"SELECT {RAW_OUT} FROM raw", "raw"))
+def r1(spark, sf):
+    path = wr.write_table(raw_long(spark, sf), scratch_path(spark, "extract"), fmt="csv")
+    return rd.read_long(spark, path)
+
+
+@query("R1_read_parquet_extract", with_ctes(f"SELECT variable, count(*) AS n, count(value) AS n_values, {R('sum(value)')} AS total FROM raw WHERE variable = 'eco_sst' GROUP BY 1", "raw"))
+def r1_parquet(spark, sf):
+    path = wr.write_table(raw_long(spark, sf), scratch_path(spark, "extract"), partition_by=["variable"])
+    rows = rd.read_long(spark, path, "parquet").where("variable = 'eco_sst'")
+    return rows.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.sum("value").alias("total"))
+
+
+@query("R2_parse_dates", with_ctes("SELECT time, count(*) AS n FROM (SELECT CASE WHEN variable = 'ref_sst' AND stat = 'nearest' THEN NULL ELSE time END AS time FROM raw) GROUP BY 1", "raw"))
+def r2(spark, sf):
+    bad = (F.col("variable") == "ref_sst") & (F.col("stat") == "nearest")
+    text = raw_long(spark, sf).withColumn("time", F.when(bad, F.lit("not a date")).otherwise(F.col("time").cast("string")))
+    path = wr.write_table(text, scratch_path(spark, "extract"), fmt="csv")
+    return rd.read_long_parse_time(spark, path).groupBy("time").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_runs(spark, sf):
+    """Every model's and year's reconstruction under <root>/<model>/<run>/states.parquet."""
+    root = scratch_path(spark, "runs")
+    rows = states(spark, sf).where("model in ('A0', 'A1') and run in ('cfg_1995-06-30', 'cfg_1996-06-30')")
+    for model in ("A0", "A1"):
+        for run in ("cfg_1995-06-30", "cfg_1996-06-30"):
+            part = rows.where((F.col("model") == model) & (F.col("run") == run)).select("date", "site", "variable", "value", "se")
+            wr.write_views({"": part}, f"{root}/{model}/{run}")
+    return root
+
+
+@query("R4_read_runs_with_labels", with_ctes(f"SELECT model, run, date, site, variable, {R('value')} AS value, {R('se')} AS se FROM states WHERE model IN ('A0', 'A1') AND run IN ('cfg_1995-06-30', 'cfg_1996-06-30')", "raw", [STATES]))
+def r4(spark, sf):
+    root = write_runs(spark, sf)
+    return rd.read_runs(spark, [f"{root}/{m}/{r}/states.parquet" for m in ("A0", "A1") for r in ("cfg_1995-06-30", "cfg_1996-06-30")])
+
+
+@query("R3_run_listing", with_ctes("SELECT DISTINCT model, 'cfg_1996-06-30' AS run FROM states WHERE model IN ('A0', 'A1')", "raw", [STATES]))
+def r3_listing(spark, sf):
+    return combine.latest_runs(rd.run_registry(spark, write_runs(spark, sf)), "states.parquet")
+
+
+@query("W1_write_clean_and_removed", with_ctes(f"SELECT {ID_SQL}, variable, {R('value')} AS value, reason, stage IS NULL AS retained FROM f2", "conv", CHAIN[:3]))
+def w1(spark, sf):
+    df = ranged(spark, sf)
+    root = scratch_path(spark, "preprocessing")
+    wr.write_preprocessing(root, kept(df), removed(df), {"variable_summary": variable_summary(kept_removed_frame(df), by_group=False)})
+    clean = spark.read.parquet(f"{root}/clean").select(*IDS, "variable", "value", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("retained"))
+    return clean.unionByName(spark.read.parquet(f"{root}/removed").select(*IDS, "variable", "value", "reason", F.lit(False).alias("retained")))
+
+
+@query("W2_write_grid", with_ctes(f"SELECT {GRID_COLS} FROM grid", "conv", grid_ctes()))
+def w2(spark, sf):
+    root = scratch_path(spark, "grid")
+    wr.write_grid(the_grid(spark, sf), root)
+    return spark.read.parquet(f"{root}/grid")
+
+
+@query("W3_write_views", with_ctes(f"SELECT date, site, variable, {R('value')} AS value, {R('se')} AS se FROM states WHERE variable = 'ref_sst'", "raw", [STATES]))
+def w3(spark, sf):
+    s = states(spark, sf).select("date", "site", "variable", "value", "se")
+    root = scratch_path(spark, "views")
+    wr.write_views({"": s.where("variable = 'eco_sst'"), "ref": s.where("variable = 'ref_sst'")}, root, ["parquet", "csv"])
+    return spark.read.schema(STATES_SCHEMA).option("header", True).csv(f"{root}/states_ref_only.csv")
+
+
+@query("W4_write_model_inputs", with_ctes(f"SELECT date, site, variable, {R('value')} AS value FROM grid WHERE site IN ({SITES_SQL}) AND variable = 'eco_sst'", "conv", grid_ctes()))
+def w4(spark, sf):
+    grid = the_grid(spark, sf)
+    fit, held = split_holdout(grid.long(), SITES, ["eco_sst"])
+    root = scratch_path(spark, "model")
+    written = wr.write_model_inputs(root, grid.sites, grid.series, fit, held)
+    empty = wr.write_model_inputs(scratch_path(spark, "model"), grid.sites, grid.series, fit, held.where("false"))
+    assert written and not empty
+    return spark.read.parquet(f"{root}/validation")
+
+
+@query("W5_write_scores", with_ctes(f"SELECT variable, count(value) AS n, {R('avg(value)')} AS mean FROM conv WHERE variable IN ('eco_sst', 'lst_sst', 'ref_sst') GROUP BY 1"))
+def w5(spark, sf):
+    table = celsius_temperatures(spark, sf).groupBy("variable").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    root = scratch_path(spark, "scores")
+    wr.write_scores(root, {"overall": table, "by_site": table})
+    return spark.read.schema("variable string, n bigint, mean double").option("header", True).csv(f"{root}/overall")
+
+
+@query("W6_write_combined", with_ctes(COMBINED_SQL, "raw", [STATES, LOCATIONS]))
+def w6(spark, sf):
+    df = combine.attach_sites(states(spark, sf), locations(spark, sf))
+    path = wr.write_combined(df, scratch_path(spark, "combined"))
+    return spark.read.schema(df.schema).option("header", True).csv(path)
