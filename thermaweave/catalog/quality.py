@@ -196,9 +196,8 @@ def winded(spark, sf):
 
 def screened(spark, sf):
     """All seven screens. The keyed table is written once; later fits read it."""
-    df = staged(winded(spark, sf), "screened")
-    for step, v in ((5, "eco_sst"), (6, "lst_sst")):
-        df = screening.screen_seasonal(df, v, THRESHOLDS, robust=True, step=step)
+    df = staged(winded(spark, sf), "screened", ["variable"])
+    df = screening.screen_seasonal(df, ["eco_sst", "lst_sst"], THRESHOLDS, robust=True, step=5)
     return matchup.screen_match_up(df, "eco_sst", "ref_sst", COLD, WARM, min_n=10, step=7)
 
 
@@ -288,10 +287,10 @@ def p13(spark, sf):
     import math
 
     rows = raw_long(spark, sf).where((F.col("stat") == "nearest") & (F.col("variable") == "eco_sst") & F.col("value").isNotNull())
-    rows = rows.select("point_id", "time", (F.col("value") - F.lit(273.0)).alias("value"))
+    rows = rows.select("point_id", "time", "variable", (F.col("value") - F.lit(273.0)).alias("value"))
     # A period of 2 pi / 6.28 * 365 days gives the older angle 6.28 * doy / 365.
-    fit = screening.fit_seasonal(rows, period=2.0 * math.pi / 6.28 * 365.0)
-    return fit.score(rows, "resid").where(F.abs("resid") < 1.5)
+    fit = screening.fit_seasonal(rows, ["eco_sst"], period=2.0 * math.pi / 6.28 * 365.0)
+    return fit.score(rows, "resid").where(F.abs("resid") < 1.5).drop("variable")
 
 
 @query("P15_high_exposure_flag", with_ctes(f"SELECT point_id, time, {R('s')} AS local_time, s < 18 AND s > 10 AS high_exposure FROM (SELECT *, (eco_hour + lon / 15) - 24 * floor((eco_hour + lon / 15) / 24) AS s FROM w)", "conv", [("w", WIDE_SQL)]))
@@ -316,14 +315,14 @@ def j2(spark, sf):
 
 @query("G1_seasonal_residual", with_ctes(f"SELECT point_id, time, {R('value')} AS value, {R('z')} AS score FROM g", "conv", residual_sql("conv", "g", "variable = 'eco_sst'", robust=False)))
 def g1(spark, sf):
-    rows = celsius_temperatures(spark, sf).where((F.col("variable") == "eco_sst") & F.col("value").isNotNull()).select("point_id", "time", "value")
-    return screening.fit_seasonal(rows).score(rows, "score")
+    rows = celsius_temperatures(spark, sf).where((F.col("variable") == "eco_sst") & F.col("value").isNotNull()).select("point_id", "time", "variable", "value")
+    return screening.fit_seasonal(rows, ["eco_sst"]).score(rows, "score").drop("variable")
 
 
 @query("G1_seasonal_residual_robust", with_ctes(f"SELECT point_id, time, {R('value')} AS value, {R('z')} AS score FROM g", "conv", residual_sql("conv", "g", "variable = 'lst_sst'", robust=True)))
 def g1_robust(spark, sf):
-    rows = celsius_temperatures(spark, sf).where((F.col("variable") == "lst_sst") & F.col("value").isNotNull()).select("point_id", "time", "value")
-    return screening.fit_seasonal(rows, robust=True).score(rows, "score")
+    rows = celsius_temperatures(spark, sf).where((F.col("variable") == "lst_sst") & F.col("value").isNotNull()).select("point_id", "time", "variable", "value")
+    return screening.fit_seasonal(rows, ["lst_sst"], robust=True).score(rows, "score").drop("variable")
 
 
 SEASON = [("f0", START), *season_sql("f0", "o", "eco_sst", THRESHOLDS, 1)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found to be at most this many.
@@ -38,21 +38,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def staged(df: DataFrame, label: str = "stage") -> DataFrame:
+def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut`, with the number of rows observed while writing (no extra job).
+
+    A retried task can only make the number larger, which is the safe side for its one use: deciding
+    whether a table may be broadcast.
+    """
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, int(seen.get.get("n") or 0)
+
+
+def staged(df: DataFrame, label: str = "stage", partition_by: list[str] = ()) -> DataFrame:
     """Materialise a large table as parquet in the shared folder and read it back."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a join side, count it, and mark it for broadcast only when it is small.
+    """Materialise a join side and mark it for broadcast only when it was found to be small.
 
     A larger side comes back unmarked and joins by shuffle, where adaptive execution splits
     skewed keys.
     """
-    table = cut(df)
-    return F.broadcast(table) if table.limit(max_rows + 1).count() <= max_rows else table
+    table, rows = cut_counted(df)
+    return F.broadcast(table) if rows <= max_rows else table
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -48,9 +48,11 @@ def quantile_table(
     return both.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
 
 
-def pooled_quantiles(df: DataFrame, value: str, probs: dict[str, float], max_group_rows: int = MAX_GROUP_ROWS) -> dict[str, float]:
+def pooled_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], max_group_rows: int = MAX_GROUP_ROWS, group_rows: int | None = None,
+) -> dict[str, float]:
     """Quantiles over all rows as a handful of driver-side numbers."""
-    row = quantile_table(df, [], value, probs, max_group_rows).first()
+    row = quantile_table(df, [], value, probs, max_group_rows, group_rows).first()
     return {name: (row[name] if row else None) for name in probs}
 
 
@@ -68,7 +70,7 @@ def attach_quantiles(
     share a single shuffle. Large groups: bracketed table joined back on the keys.
     """
     if not keys:
-        fixed = pooled_quantiles(df, value, probs, max_group_rows)
+        fixed = pooled_quantiles(df, value, probs, max_group_rows, group_rows)
         return df.select("*", *[F.lit(fixed[name]).cast("double").alias(name) for name in probs])
     size = largest_group(df, keys, value) if group_rows is None else group_rows
     if size <= max_group_rows:

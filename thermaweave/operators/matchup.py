@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_FACTOR, correlation, percent
-from ..functions.lineage import BROADCAST_ROWS, cut, small_side, staged
+from ..functions.lineage import BROADCAST_ROWS, cut, cut_counted, small_side, staged
 from ..functions.quantiles import MAX_GROUP_ROWS, attach_median_mad, attach_quantiles, largest_group
 from .labelling import id_columns, require_columns
 from .screening import DIAGNOSTICS, MATCH_STAGE, alive, begin, mark, per_key, pivot_keys
@@ -172,11 +172,10 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None, max_
     rows = staged(rows, "huber")
     start = rows.groupBy(*keys).agg(*line(F.lit(1.0)), F.min(x).alias("lo"), F.max(x).alias("hi"))
     a, b = solve(start)
-    state = cut(start.where(F.col("lo") < F.col("hi")).select(*keys, a.alias("a"), b.alias("b"), F.lit(False).alias("done")))
+    active, n_active = cut_counted(start.where(F.col("lo") < F.col("hi")).select(*keys, a.alias("a"), b.alias("b")))
+    finished = None
     size = largest_group(rows, keys, "_y")
     for _ in range(IRLS_STEPS):
-        active = state.where(~F.col("done"))
-        n_active = active.limit(BROADCAST_ROWS + 1).count()
         if n_active == 0:
             break
         cur = rows.join(F.broadcast(active) if n_active <= BROADCAST_ROWS else active, keys).withColumn("_r", y - F.col("a") - F.col("b") * x).withColumn("_ar", F.abs(F.col("_r")))
@@ -197,13 +196,16 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None, max_
             *keys, F.when(flat, F.col("a0")).otherwise(F.col("a1")).alias("a"), F.when(flat, F.col("b0")).otherwise(F.col("b1")).alias("b"),
             (flat | settled).alias("done"),
         )
-        state = cut(state.where("done").unionByName(fresh))
-    return state.where("done").select(*keys, "a", "b")
+        fresh = cut(fresh)
+        done = fresh.where("done").drop("done")
+        finished = done if finished is None else finished.unionByName(done)
+        active, n_active = cut_counted(fresh.where(~F.col("done")).drop("done"))
+    return active.where("false") if finished is None else finished
 
 
 def fit_match_up(
     df: DataFrame, min_n: int = 30, scale: str = "mad", center: str = "median", slope: float | None = 1.0, intercept: float | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int = MAX_GROUP_ROWS, group_rows: int | None = None,
 ) -> DataFrame:
     """Line and scale per group from columns ``_grp``, ``_y``, ``_x``, ``_use``; one small table.
 
@@ -213,10 +215,11 @@ def fit_match_up(
     if scale not in ("mad", "sd") or center not in ("median", "mean"):
         raise ValueError("scale must be 'mad' or 'sd'; center 'median' or 'mean'")
     keys = ["pooled", "group"]
-    base = df.select("_grp", F.when(F.col("_use"), F.col("_y")).alias("_y"), F.when(F.col("_use"), F.col("_x")).alias("_x"))
-    groups = base.groupBy(F.col("_grp").alias("group")).agg(F.count("_y").alias("n"))
-    rows = with_levels(base.where(F.col("_y").isNotNull() & F.col("_x").isNotNull()), F.col("_grp")).where("pooled or group is not null").select(*keys, "_y", "_x")
-    size = largest_group(rows, keys)
+    # Unused rows stay, with NULLs, so that every group appears; aggregates pass over them.
+    use = F.col("_use") & F.col("_y").isNotNull() & F.col("_x").isNotNull()
+    base = df.select("_grp", F.when(use, F.col("_y")).alias("_y"), F.when(use, F.col("_x")).alias("_x"))
+    rows = with_levels(base, F.col("_grp")).where("pooled or group is not null").select(*keys, "_y", "_x")
+    size = largest_group(rows, keys) if group_rows is None else group_rows
     x, y = F.col("_x"), F.col("_y")
     fix_b, fix_a = slope is not None, intercept is not None
     fixed = {(True, True): "slope + intercept", (True, False): "slope", (False, True): "intercept", (False, False): "none"}[fix_b, fix_a]
@@ -229,7 +232,8 @@ def fit_match_up(
         else:
             lined = off.join(small_side(off.groupBy(*keys).agg(F.avg("_d").alias("a"))), keys)
     elif center == "median":
-        lined = rows.join(small_side(_huber_lines(rows, keys, intercept, max_group_rows)), keys, "left")
+        used = rows.where(F.col("_y").isNotNull())
+        lined = rows.join(small_side(_huber_lines(used, keys, intercept, max_group_rows)), keys, "left")
     elif fix_a:
         a = float(intercept)
         sums = rows.groupBy(*keys).agg((F.sum(x * (y - F.lit(a))) / F.nullif(F.sum(x * x), F.lit(0.0))).alias("b"), F.min(x).alias("lo"), F.max(x).alias("hi"))
@@ -243,19 +247,20 @@ def fit_match_up(
     else:
         lined = lined.withColumn("_mad", F.lit(None).cast("double"))
     fits = lined.groupBy(*keys).agg(
-        F.count("_r").alias("_n"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("_mad").alias("_mad"), F.stddev_samp("_r").alias("_sd"),
+        F.count(y).alias("n"), F.count("_r").alias("_n"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("_mad").alias("_mad"),
+        F.stddev_samp("_r").alias("_sd"),
     )
     spread = F.coalesce(F.when(F.col("_mad") > 0, F.col("_mad")), F.when(F.col("_sd") > 0, F.col("_sd")))
-    fits = cut(fits.select(*keys, "_n", "a", "b", F.when(F.col("_n") >= 3, spread).alias("s")))
+    fits, n_fits = cut_counted(fits.select(*keys, "n", "a", "b", F.when(F.col("_n") >= 3, spread).alias("s")))
     whole = fits.where("pooled").first()
     if whole is None or whole["s"] is None or whole["a"] is None:
         raise ValueError("pooled fit of target on reference failed")
-    own = groups.join(fits.where("not pooled").drop("pooled"), "group", "left")
     ok = (F.col("n") >= min_n) & F.col("s").isNotNull() & F.col("a").isNotNull()
     pick = {"intercept": "a", "slope": "b", "scale": "s"}
-    return small_side(own.where(F.col("group").isNotNull()).select(
+    own = F.broadcast(fits) if n_fits <= BROADCAST_ROWS else fits
+    return own.where("not pooled").select(
         "group", "n", *[F.when(ok, F.col(c)).otherwise(F.lit(float(whole[c]))).alias(n) for n, c in pick.items()], F.lit(fixed).alias("fixed"),
-    ))
+    )
 
 
 def screen_match_up(
@@ -280,10 +285,12 @@ def screen_match_up(
     if by and not set(by) <= set(ids):
         raise ValueError("by columns must be among the ids")
     cols = df.columns
-    keyed = staged(df.withColumn("_ref", per_key(reference, ids, [target])), "matchup")
+    involved = F.coalesce(F.col("variable").isin(target, reference), F.lit(False))
+    # Rows of other variables pass by: they are neither shuffled nor rewritten.
+    keyed = staged(df.where(involved).withColumn("_ref", per_key(reference, ids, [target])), "matchup", ["variable"])
     pairs = keyed.where(alive(target)).select(F.col("value").alias("_y"), F.col("_ref").alias("_x"), group_label(by).alias("_grp"))
     eligible = F.col("_y").isNotNull() & F.col("_x").isNotNull()
-    counts = pairs.agg(F.count("_y").alias("n_target"), F.count_if(eligible).alias("n_match")).first()
+    counts = pairs.agg(F.count(F.lit(1)).alias("n_rows"), F.count("_y").alias("n_target"), F.count_if(eligible).alias("n_match")).first()
     if counts["n_target"] == 0 or counts["n_match"] < min_n:
         raise ValueError(f"only {counts['n_match']} match-ups between {target} and {reference} (min_n = {min_n})")
     if counts["n_match"] < 0.2 * counts["n_target"]:
@@ -307,13 +314,13 @@ def screen_match_up(
     work, keep = pairs, F.lit(True)
     tables = []
     for p in range(1, passes + 1):
-        table = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows)
+        table = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows, counts["n_rows"])
         tables.append(table)
         if log is not None:
             log.append(table.select(F.lit(p).alias("pass"), "*", F.lit(scale).alias("scale_est"), F.lit(center).alias("center_est")))
         work = joined(table, p, work)
         keep = keep & inside(p)
-    final = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows)
+    final = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows, counts["n_rows"])
 
     out = keyed.withColumns({"_y": F.when(alive(target), F.col("value")), "_x": F.col("_ref"), "_grp": group_label(by)})
     for p, table in enumerate(tables, start=1):
@@ -331,7 +338,7 @@ def screen_match_up(
         out, step, MATCH_STAGE, target, alive(target) & hit,
         reason=F.when(unmatched, F.lit(UNMATCHED)).otherwise(why), resid=last, ref_value=F.col("_x"),
     )
-    return out.select(*cols)
+    return out.select(*cols).unionByName(df.where(~involved))
 
 
 def match_up_summary(df: DataFrame, target: str, reference: str, ids: list[str] | None = None) -> DataFrame:

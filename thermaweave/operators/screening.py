@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_FACTOR, SEASON_DAYS, harmonic_terms, percent, solar_hour, wrap_hours
-from ..functions.lineage import cut, small_side
-from ..functions.quantiles import MAX_GROUP_ROWS, pooled_quantiles
+from ..functions.lineage import BROADCAST_ROWS, cut_counted
+from ..functions.quantiles import MAX_GROUP_ROWS, quantile_table
 from .labelling import id_columns, require_columns
 
 # Stage names and removal reasons.
@@ -71,7 +71,7 @@ def removed(df: DataFrame) -> DataFrame:
     return df.where(logged).select(*lead, *[c for c in df.columns if c not in lead])
 
 
-def mark(df: DataFrame, step: int, stage: str, variable: str, hit: Column, **diagnostics: Column) -> DataFrame:
+def mark(df: DataFrame, step: int | Column, stage: str, variable: str | Column, hit: Column, **diagnostics: Column) -> DataFrame:
     """Flag the rows in ``hit`` that are still alive."""
     hit = F.col("stage").isNull() & F.coalesce(hit, F.lit(False))
     values = {"step": F.lit(step), "stage": F.lit(stage), "stage_variable": F.lit(variable), **diagnostics}
@@ -254,110 +254,134 @@ def wind_counts(keys: DataFrame) -> DataFrame:
 
 
 class SeasonalFit:
-    """Pooled harmonic slopes, one intercept per group, and the residual scale.
+    """Per variable: pooled harmonic slopes and a residual centre and scale; per group: a level.
 
-    ``groups`` is the (small, already written) table of group intercepts.
+    ``groups`` is the (small, already written) table of (variable, group, level); the rest is a
+    handful of numbers per configured variable.
     """
 
-    def __init__(self, groups: DataFrame, group: str, terms: dict[str, Column], beta, n: int):
-        self.groups, self.group, self.terms, self.beta, self.n = groups, group, terms, list(beta), n
-        self.center = self.scale = None
+    def __init__(self, groups: DataFrame, group: str, terms: dict[str, Column], betas: dict[str, list[float]], counts: dict[str, int]):
+        self.groups, self.group, self.terms, self.betas, self.counts = groups, group, terms, betas, counts
+        self.center: dict[str, float] = {}
+        self.scale: dict[str, float] = {}
+
+    def _pick(self, numbers: dict[str, float]) -> Column:
+        """A number by variable; NULL where there is none."""
+        out = F.lit(None).cast("double")
+        for v, x in numbers.items():
+            out = F.when(F.col("variable") == v, F.lit(float(x))).otherwise(out)
+        return out
 
     def residual(self, value: str = "value") -> Column:
         """Raw residual on a table that has ``_level`` joined; NULL where untestable."""
-        trend = functools.reduce(operator.add, [F.lit(float(b)) * t for b, t in zip(self.beta, self.terms.values())])
-        return F.col(value) - trend - F.col("_level")
+        slopes = [self._pick({v: b[k] for v, b in self.betas.items()}) for k in range(len(self.terms))]
+        return F.col(value) - functools.reduce(operator.add, [b * t for b, t in zip(slopes, self.terms.values())]) - F.col("_level")
 
     def score(self, df: DataFrame, name: str = "_score", value: str = "value") -> DataFrame:
         """Standardised residual as a column; a broadcast join when the group table was found small."""
-        if self.scale is None:
+        if not self.scale:
             return df.withColumn(name, F.lit(None).cast("double"))
-        joined = df.join(self.groups, self.group, "left")
-        return joined.withColumn(name, (self.residual(value) - F.lit(self.center)) / F.lit(self.scale)).select(*df.columns, name)
+        joined = df.join(self.groups, ["variable", self.group], "left")
+        score = (self.residual(value) - self._pick(self.center)) / self._pick(self.scale)
+        return joined.withColumn(name, score).select(*df.columns, name)
 
 
 def fit_seasonal(
-    df: DataFrame, value: str = "value", time: str = "time", group: str = "point_id", harmonics: int = 1,
+    df: DataFrame, variables: list[str], value: str = "value", time: str = "time", group: str = "point_id", harmonics: int = 1,
     period: float = SEASON_DAYS, robust: bool = False, max_group_rows: int = MAX_GROUP_ROWS,
-) -> SeasonalFit | None:
-    """Least squares of value on harmonics with group intercepts, without building dummies.
+) -> SeasonalFit:
+    """Least squares of value on harmonics with group intercepts, for several variables at once.
 
-    Centred cross-products are additive over groups, so one partial aggregate per group gives
-    the normal equations; only their sums (2H x 2H numbers) reach the driver. None when there
-    are too few rows or the residual scale is zero.
+    No dummies are built: centred cross-products are additive over groups, so one partial aggregate
+    per (variable, group) gives the normal equations, and only their sums (2H x 2H numbers per
+    variable) reach the driver. A variable with too few rows or no residual scale gets no scores.
     """
     terms = harmonic_terms(time, harmonics, period)
     names = list(terms)
-    usable = F.col(value).isNotNull() & F.col(time).isNotNull() & F.col(group).isNotNull()
-    rows = df.where(usable).select(F.col(group), F.col(time), F.col(value).cast("double").alias("_y"), *[terms[t].alias(t) for t in names])
+    usable = F.col("variable").isin(variables) & F.col(value).isNotNull() & F.col(time).isNotNull() & F.col(group).isNotNull()
+    rows = df.where(usable).select("variable", group, time, F.col(value).cast("double").alias(value))
+    terms_of = rows.withColumns({t: c for t, c in terms.items()})
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    groups = small_side(
-        rows.groupBy(group).agg(
-            F.count(F.lit(1)).alias("_n"), F.avg("_y").alias("_my"), *[F.avg(t).alias(f"_m_{t}") for t in names],
-            *[F.covar_pop(a, b).alias(f"_x_{a}_{b}") for a, b in pairs], *[F.covar_pop(t, "_y").alias(f"_y_{t}") for t in names],
+    groups, n_groups = cut_counted(
+        terms_of.groupBy("variable", group).agg(
+            F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_my"), *[F.avg(t).alias(f"_m_{t}") for t in names],
+            *[F.covar_pop(a, b).alias(f"_x_{a}_{b}") for a, b in pairs], *[F.covar_pop(t, value).alias(f"_y_{t}") for t in names],
         )
     )
-    total = groups.agg(
+    sums = groups.groupBy("variable").agg(
         F.sum("_n").alias("n"), F.count(F.lit(1)).alias("groups"),
         *[F.sum(F.col(f"_x_{a}_{b}") * F.col("_n")).alias(f"x_{a}_{b}") for a, b in pairs],
         *[F.sum(F.col(f"_y_{t}") * F.col("_n")).alias(f"y_{t}") for t in names],
-    ).first()
-    n, n_groups = total["n"] or 0, total["groups"]
-    if n < len(names) + max(n_groups, 1) + 2:
-        return None
-    gram = np.zeros((len(names), len(names)))
-    for a, b in pairs:
-        i, j = names.index(a), names.index(b)
-        gram[i, j] = gram[j, i] = total[f"x_{a}_{b}"]
-    # The pseudo-inverse stands in for dropping aliased terms.
-    beta = np.linalg.pinv(gram, rcond=1e-10) @ np.array([total[f"y_{t}"] for t in names])
-    level = F.col("_my") - functools.reduce(operator.add, [F.lit(float(b)) * F.col(f"_m_{t}") for b, t in zip(beta, names)])
-    slim = groups.select(group, level.alias("_level"))
-    fit = SeasonalFit(slim, group, terms, beta, n)
-
-    resid = rows.withColumnRenamed("_y", value).join(slim, group).select(fit.residual(value).alias("_r"))
+    )
+    betas, counts = {}, {}
+    for total in sums.collect():
+        if total["n"] < len(names) + max(total["groups"], 1) + 2:
+            continue
+        gram = np.zeros((len(names), len(names)))
+        for a, b in pairs:
+            i, j = names.index(a), names.index(b)
+            gram[i, j] = gram[j, i] = total[f"x_{a}_{b}"]
+        # The pseudo-inverse stands in for dropping aliased terms.
+        betas[total["variable"]] = list(np.linalg.pinv(gram, rcond=1e-10) @ np.array([total[f"y_{t}"] for t in names]))
+        counts[total["variable"]] = total["n"]
+    fit = SeasonalFit(groups, group, terms, betas, counts)
+    if not betas:
+        return fit
+    level = F.col("_my")
+    for k, t in enumerate(names):
+        level = level - fit._pick({v: b[k] for v, b in betas.items()}) * F.col(f"_m_{t}")
+    slim = groups.select("variable", group, level.alias("_level"))
+    fit.groups = F.broadcast(slim) if n_groups <= BROADCAST_ROWS else slim
+
+    resid = rows.join(fit.groups, ["variable", group]).select("variable", fit.residual(value).alias("_r")).where(F.col("_r").isNotNull())
+    size = max(counts.values())
     if robust:
-        fit.center = pooled_quantiles(resid, "_r", {"q": 0.5}, max_group_rows)["q"]
-        dev = resid.select(F.abs(F.col("_r") - F.lit(fit.center)).alias("_d"))
-        fit.scale = MAD_FACTOR * pooled_quantiles(dev, "_d", {"q": 0.5}, max_group_rows)["q"]
-    if not robust or not fit.scale or not math.isfinite(fit.scale):
-        moments = resid.agg(F.avg("_r").alias("m"), F.stddev_samp("_r").alias("s")).first()
-        fit.scale = moments["s"]
-        if not robust:
-            fit.center = moments["m"]
-    if not fit.scale or not math.isfinite(fit.scale):
-        return None
+        def by_variable(table: DataFrame, column: str) -> dict[str, float]:
+            return {r["variable"]: r["q"] for r in quantile_table(table, ["variable"], column, {"q": 0.5}, max_group_rows, size).collect()}
+
+        fit.center = by_variable(resid, "_r")
+        dev = resid.select("variable", F.abs(F.col("_r") - fit._pick(fit.center)).alias("_d"))
+        fit.scale = {v: MAD_FACTOR * q for v, q in by_variable(dev, "_d").items()}
+    if not robust or any(not s for s in fit.scale.values()):
+        for r in resid.groupBy("variable").agg(F.avg("_r").alias("m"), F.stddev_samp("_r").alias("s")).collect():
+            if not robust:
+                fit.center[r["variable"]] = r["m"]
+            if not fit.scale.get(r["variable"]):
+                fit.scale[r["variable"]] = r["s"]
+    fit.scale = {v: s for v, s in fit.scale.items() if s and math.isfinite(s)}
     return fit
 
 
 def screen_seasonal(
-    df: DataFrame, variable: str, thresholds=(5.0, 2.58), time: str = "time", group: str = "point_id", harmonics: int = 1,
+    df: DataFrame, variables: str | list[str], thresholds=(5.0, 2.58), time: str = "time", group: str = "point_id", harmonics: int = 1,
     period: float = SEASON_DAYS, robust: bool = False, keep_na: bool = True, step: int = 1, log: list | None = None,
 ) -> DataFrame:
     """Fit, standardise, reject; then refit on the survivors for each further threshold.
 
-    Between passes only the fitted group table is written out. Rows are never rewritten: each
-    pass is a join to that table and an expression.
+    Variables do not affect each other, so a list of them shares every job; they take consecutive
+    step numbers. Between passes only the fitted group table is written out. Rows are never
+    rewritten: each pass is a join to that table and an expression.
     """
     if not thresholds or any(not math.isfinite(t) or t <= 0 for t in thresholds):
         raise ValueError("thresholds must be positive")
+    names = [variables] if isinstance(variables, str) else list(variables)
     df = begin(df)
     require_columns(df, [time, group])
     cols = df.columns
     usable = F.col("value").isNotNull() & F.col(time).isNotNull() & F.col(group).isNotNull()
+    live = F.col("stage").isNull() & F.coalesce(F.col("variable").isin(names), F.lit(False))
+    position = F.array_position(F.array(*map(F.lit, names)), F.col("variable")) + F.lit(step - 1)
     for number, threshold in enumerate(thresholds, start=1):
-        fit = fit_seasonal(df.where(alive(variable)), "value", time, group, harmonics, period, robust)
+        fit = fit_seasonal(df.where(live), names, "value", time, group, harmonics, period, robust)
         if log is not None:
             log.append({"pass": number, "threshold": float(threshold), "fit": fit})
-        if fit is None:
+        if not fit.scale:
             continue
         df = fit.score(df)
-        df = mark(
-            df, step, SEASON_STAGE, variable, alive(variable) & usable & (F.abs("_score") >= threshold),
-            resid=F.col("_score"), removed_pass=F.lit(number),
-        ).select(*cols)
+        hit = live & usable & (F.abs("_score") >= threshold)
+        df = mark(df, position, SEASON_STAGE, F.col("variable"), hit, resid=F.col("_score"), removed_pass=F.lit(number)).select(*cols)
     if not keep_na:
-        df = mark(df, step, SEASON_STAGE, variable, alive(variable) & ~usable, reason=F.lit(MISSING))
+        df = mark(df, position, SEASON_STAGE, F.col("variable"), live & ~usable, reason=F.lit(MISSING))
     return df
 
 
