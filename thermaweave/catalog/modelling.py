@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import SEASON_DAYS
 from ..functions.lineage import cut
 from ..operators import design, grid as g, matchup, reconstruct as rec, smoothing as sm
-from .base import R, celsius_temperatures, query, with_ctes
+from .base import ORACLES, R, celsius_temperatures, query, with_ctes
 from .gridding import SCALES, VARS, grid_ctes, the_grid
 
 M = 2
@@ -34,7 +34,27 @@ REG = [
 ]
 
 
-@query("G8_seasonal_regressions_two_harmonics")
+def elimination_ctes(size: int) -> list[tuple[str, str]]:
+    """Normal equations of ``size`` terms solved in SQL: one step per pivot, then back substitution."""
+    angles = [f"{fn}({2 * k} * pi() * dayofyear(date) / 365.25)" for k in range(1, size // 2 + 1) for fn in ("sin", "cos")]
+    n = range(size)
+    out = [
+        ("e_b", "SELECT variable, site, y, " + ", ".join(f"{a} AS x{i}" for i, a in enumerate(angles)) + " FROM scaled WHERE y IS NOT NULL"),
+        ("e_0", "SELECT variable, site, count(*) AS n, avg(y) AS my, " + ", ".join(f"avg(x{i}) AS m{i}" for i in n) + ", " + ", ".join(f"covar_pop(x{i}, x{j}) AS a{i}_{j}" for i in n for j in n)
+         + ", " + ", ".join(f"covar_pop(x{i}, y) AS b{i}" for i in n) + " FROM e_b GROUP BY 1, 2 HAVING count(*) >= 10"),
+    ]
+    for p in range(size - 1):
+        new = [f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p} AS a{i}_{j}" for i in range(p + 1, size) for j in range(p + 1, size)] + [f"b{i} - a{i}_{p} * b{p} / a{p}_{p} AS b{i}" for i in range(p + 1, size)]
+        out.append((f"e_{p + 1}", f"SELECT * REPLACE ({', '.join(new)}) FROM e_{p}"))
+    cur = f"e_{size - 1}"
+    for i in reversed(n):
+        known = "".join(f" - a{i}_{j} * c{j}" for j in range(i + 1, size))
+        out.append((f"e_s{i}", f"SELECT *, (b{i}{known}) / a{i}_{i} AS c{i} FROM {cur}"))
+        cur = f"e_s{i}"
+    return out
+
+
+@query("G8_seasonal_regressions_two_harmonics", with_ctes("SELECT variable, site, n, " + R("my" + "".join(f" - c{i} * m{i}" for i in range(4))) + " AS mu, " + ", ".join(f"{R(f'c{i}')} AS c{i + 1}" for i in range(4)) + " FROM e_s0", "conv", [*grid_ctes(), *SCALES, SCALED, *elimination_ctes(4)]))
 def g8(spark, sf):
     return design.seasonal_regressions(scaled(spark, sf), 2, SEASON_DAYS, 10)
 
@@ -217,7 +237,17 @@ def g16_collapse(spark, sf):
     return collapsed(spark, sf, the_grid(spark, sf))
 
 
-@query("G16_smoothed_states")
+SMOOTHER = [
+    ("axis", "SELECT s.site, b.bin, c.ybar, c.rbar FROM (SELECT DISTINCT site FROM colla) s CROSS JOIN (SELECT unnest(range(last_bin + 1))::INTEGER AS bin, t0 FROM span) b LEFT JOIN colla c ON c.site = s.site AND c.date = CAST(b.t0 + b.bin AS DATE)"),
+    ("fw", """SELECT site, -1 AS bin, 0.0::DOUBLE AS am, 0.0::DOUBLE AS av, 0.0::DOUBLE AS m, 1.0::DOUBLE AS v FROM (SELECT DISTINCT site FROM colla)
+UNION ALL SELECT a.site, a.bin, 0.9 * f.m, 0.81 * f.v + 0.2, CASE WHEN ybar IS NULL THEN 0.9 * f.m ELSE 0.9 * f.m + (0.81 * f.v + 0.2) / (0.81 * f.v + 0.2 + rbar) * (ybar - 0.9 * f.m) END,
+CASE WHEN ybar IS NULL THEN 0.81 * f.v + 0.2 ELSE (0.81 * f.v + 0.2) * (1 - (0.81 * f.v + 0.2) / (0.81 * f.v + 0.2 + rbar)) END FROM fw f JOIN axis a ON a.site = f.site AND a.bin = f.bin + 1"""),
+    ("bw", """SELECT site, bin, m AS x, v AS w FROM fw WHERE bin = (SELECT last_bin FROM span)
+UNION ALL SELECT f.site, f.bin, f.m + f.v * 0.9 / n.av * (b.x - n.am), f.v + (f.v * 0.9 / n.av) ** 2 * (b.w - n.av) FROM bw b JOIN fw n ON n.site = b.site AND n.bin = b.bin JOIN fw f ON f.site = b.site AND f.bin = b.bin - 1 WHERE f.bin >= 0"""),
+]
+
+
+@query("G16_smoothed_states", "WITH RECURSIVE " + with_ctes(f"SELECT site, CAST(t0 + bin AS DATE) AS date, {R('x')} AS x, {R('sqrt(w)')} AS se FROM bw CROSS JOIN span", "conv", [*grid_ctes(), *SCALES, SCALED, *REG, *COLLAPSED, *SMOOTHER])[5:])
 def g16(spark, sf):
     grid = the_grid(spark, sf)
     return sm.smooth(collapsed(spark, sf, grid), grid.start, grid.last_bin, 0.9, 0.2)
@@ -237,7 +267,7 @@ def g17(spark, sf):
     return sm.log_likelihoods(collapsed(spark, sf, grid), grid.start, CANDIDATES)
 
 
-@query("G17_best_candidate")
+@query("G17_best_candidate", ORACLES["G17_likelihood_grid"] + " ORDER BY log_likelihood DESC LIMIT 1")
 def g17_best(spark, sf):
     grid = the_grid(spark, sf)
     scores = cut(sm.log_likelihoods(collapsed(spark, sf, grid), grid.start, CANDIDATES))

@@ -373,7 +373,33 @@ match_query("G21_free_line_sd_screen", kind="free", scale="sd", passes=2, lower=
 BY_POINT = [("f0", START), *match_sql("f0", "m", "eco_sst", "ref_sst", 1, 2, "point_id", 35)]
 
 
-@query("G5_huber_line")
+def huber_ctes(steps: int = 50) -> list[tuple[str, str]]:
+    """Reweighted least squares, one group of tables per step; a settled group is carried along."""
+    out = [
+        ("hp", "SELECT a.aoi AS g, a.value AS y, b.value AS x FROM conv a JOIN conv b ON a.point_id = b.point_id AND a.time = b.time AND a.variable = 'eco_sst' AND b.variable = 'ref_sst' WHERE a.value - b.value IS NOT NULL"),
+        ("hr", "SELECT g, y, x FROM hp UNION ALL SELECT '{pooled}', y, x FROM hp"),
+        ("h0", "SELECT g, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, false AS done FROM hr GROUP BY g"),
+    ]
+    for i in range(steps):
+        out += [
+            (f"h{i}s", f"SELECT r.g, h.done, h.a, h.b, median(abs(y - h.a - h.b * x)) / 0.6745 AS s FROM hr r JOIN h{i} h ON r.g = h.g GROUP BY ALL"),
+            (f"h{i}w", f"SELECT r.g, x, y, y - a - b * x AS e, CASE WHEN abs(y - a - b * x) <= 1.345 * s THEN 1.0 ELSE 1.345 * s / abs(y - a - b * x) END AS w FROM hr r JOIN h{i}s h ON r.g = h.g WHERE NOT done"),
+            (f"h{i}l", f"SELECT g, (sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2) AS b, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy FROM h{i}w GROUP BY g"),
+            (f"h{i}n", f"SELECT g, (sy - b * sx) / sw AS a, b FROM h{i}l"),
+            (f"h{i}d", f"SELECT w.g, sqrt(sum((w.e - (w.y - n.a - n.b * w.x)) ** 2) / sum(w.e ** 2)) <= 1e-4 AS done FROM h{i}w w JOIN h{i}n n ON w.g = n.g GROUP BY w.g"),
+            (f"h{i + 1}", f"SELECT * FROM h{i} WHERE done UNION ALL SELECT n.g, n.a, n.b, d.done FROM h{i}n n JOIN h{i}d d ON n.g = d.g"),
+        ]
+    last = f"h{steps}"
+    out += [("he", f"SELECT r.g, l.a, l.b, y - l.a - l.b * x AS e FROM hr r JOIN {last} l ON r.g = l.g WHERE l.done"),
+            ("hs", "SELECT g, count(*) AS n, max(a) AS a, max(b) AS b, CASE WHEN mad(e) > 0 THEN 1.4826 * mad(e) ELSE stddev_samp(e) END AS s FROM he GROUP BY g")]
+    return [(n, "MATERIALIZED:" + b) if n.startswith("h") else (n, b) for n, b in out]
+
+
+HUBER_SQL = with_ctes(f"""SELECT g.g AS "group", g.n, {R('CASE WHEN f.n >= 10 AND f.s > 0 THEN f.a ELSE p.a END')} AS intercept, {R('CASE WHEN f.n >= 10 AND f.s > 0 THEN f.b ELSE p.b END')} AS slope, {R('CASE WHEN f.n >= 10 AND f.s > 0 THEN f.s ELSE p.s END')} AS scale, 'none' AS fixed
+FROM (SELECT g, count(*) AS n FROM hp GROUP BY g) g LEFT JOIN hs f ON f.g = g.g CROSS JOIN (SELECT * FROM hs WHERE g = '{{pooled}}') p""", "conv", huber_ctes()).replace("AS (MATERIALIZED:", "AS MATERIALIZED (")
+
+
+@query("G5_huber_line", HUBER_SQL)
 def g5(spark, sf):
     pairs = matchup.match_up_differences(celsius_temperatures(spark, sf), ["eco_sst"], ["ref_sst"], by=["aoi"])
     rows = pairs.select(F.col("aoi").alias("_grp"), F.col("target_value").alias("_y"), F.col("ref_value").alias("_x"), F.lit(True).alias("_use"))

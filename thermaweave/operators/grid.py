@@ -248,16 +248,21 @@ def autocorrelation(cells: DataFrame, keys: list[str], max_lag: int, bin_col: st
     """Autocorrelation by lag with gaps passed over.
 
     Deviations are from the series mean; a lag's sum over observed pairs is divided by
-    (pairs + lag), lag 0 by its own count. Each cell meets only its ``max_lag`` successors by an
-    equality on (series, bin).
+    (pairs + lag), lag 0 by its own count. A series has one cell per bin, so all lags are windows
+    over one shuffle of the cells; lags without a pair give no row.
     """
-    mean = cells.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("_m"))
-    x = cells.where(F.col(value).isNotNull()).join(small_side(mean), keys).select(*keys, F.col(bin_col).alias("_b"), (F.col(value) - F.col("_m")).alias("_x"))
-    ahead = x.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "_b", F.col("_x").alias("_x0"))
-    pairs = ahead.withColumn("_b", F.col("_b") + F.col("lag")).join(x, [*keys, "_b"])
-    cov = pairs.groupBy(*keys, "lag").agg((F.sum(F.col("_x0") * F.col("_x")) / (F.count(F.lit(1)) + F.col("lag"))).alias("_c"), F.count(F.lit(1)).alias("n_pairs"))
-    base = cov.where("lag = 0").select(*keys, F.col("_c").alias("_c0"))
-    return cov.join(small_side(base), keys).select(*keys, "lag", "n_pairs", (F.col("_c") / F.nullif(F.col("_c0"), F.lit(0.0))).alias("acf"))
+    whole = Window.partitionBy(*keys)
+    ahead = whole.orderBy(F.col(bin_col))
+    x = cells.where(F.col(value).isNotNull()).select(*keys, bin_col, (F.col(value) - F.avg(value).over(whole)).alias("_x"))
+    lags = range(max_lag + 1)
+    products = x.select(*keys, *[(F.col("_x") * F.sum("_x").over(ahead.rangeBetween(k, k))).alias(f"_p{k}") for k in lags])
+    sums = products.groupBy(*keys).agg(*[c for k in lags for c in (F.sum(f"_p{k}").alias(f"_s{k}"), F.count(f"_p{k}").alias(f"_n{k}"))])
+    first = F.try_divide("_s0", "_n0")
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("lag"), F.col(f"_n{k}").alias("n_pairs"), F.try_divide(F.try_divide(f"_s{k}", F.col(f"_n{k}") + k), first).alias("acf"))
+        for k in lags
+    ]))
+    return sums.select(*keys, rows.alias("r")).select(*keys, "r.*").where("n_pairs > 0")
 
 
 def calibrate(pairs: DataFrame, target: str, predictor: str) -> tuple[float, float]:
