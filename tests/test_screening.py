@@ -236,3 +236,14 @@ def test_removals_partition_the_input_and_order_does_not_matter(spark):
         return sorted(map(str, sc.removed(out).collect()))
 
     assert run(long(spark, rows)) == run(long(spark, rows[::-1]).repartition(5))
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_trim_falls_back_to_the_ordinary_spread(spark, limit):
+    d = [0.0] * 30 + [5.0, -7.0, 100.0]
+    rows = [(f"s{i}", v, x) for i, diff in enumerate(d) for v, x in (("t", float(i % 5) + diff), ("r", float(i % 5)))]
+    df = spark.createDataFrame(rows, "site string, variable string, value double")
+    got = mu.match_up_variance(df, ["t"], ["r"], trim=1.0, max_group_rows=limit).first()
+    sd = np.std(d, ddof=1)
+    near = [x for x in d if abs(x) <= sd]
+    assert got["rsd"] == 0.0 and got["n_trim"] == len(near) and got["sd_trim"] == pytest.approx(np.std(near, ddof=1))

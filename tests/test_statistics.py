@@ -56,8 +56,8 @@ def test_median_and_mad_attach_to_every_row(frame, data, limit):
 def test_median_band_test_needs_no_median(spark, values, band):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     m = np.median(values)
-    got = q.median_within(df, "v", *band)
-    assert (got["below"], got["above"]) == (m < band[0], m > band[1])
+    got, wide = q.median_within(df, "v", band, (-100.0, 100.0))
+    assert (got["below"], got["above"]) == (m < band[0], m > band[1]) and wide["inside"]
 
 
 @pytest.mark.parametrize("limit", [10**9, 0])

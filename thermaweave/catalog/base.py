@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import convert_unit
+from ..functions.lineage import staged
 from ..operators.labelling import label_variables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +124,11 @@ def celsius_temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*IDS, "variable", convert_unit("value", "K", "C").alias("value"))
 
 
+def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The temperature rows written once as a table, for queries that pass over them several times."""
+    return staged(celsius_temperatures(spark, sf_dir), "extract", ["variable"])
+
+
 CTES = {
     "raw": """SELECT concat('P', CAST(s_nationkey AS VARCHAR)) AS point_id,
   CAST(-43.0 AS DOUBLE) + s_nationkey * CAST(0.1 AS DOUBLE) AS lat,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid as g
 from ..operators.screening import pivot_keys
-from .base import TEMPERATURES, R, celsius_temperatures, query, raw_extended, raw_long, table, with_ctes
+from .base import TEMPERATURES, R, extract, query, raw_extended, raw_long, table, with_ctes
 
 VARS = ["lst_sst", "eco_sst", "ref_sst"]
 POSITION = "CASE variable WHEN 'lst_sst' THEN 1 WHEN 'eco_sst' THEN 2 ELSE 3 END"
@@ -24,7 +24,7 @@ def grid_ctes(step: int = 1, agg: str = "avg", where: str = "variable IN ('lst_s
 
 
 def the_grid(spark, sf, step=1, agg="mean"):
-    return g.build_grid(celsius_temperatures(spark, sf), VARS, step, agg)
+    return g.build_grid(extract(spark, sf), VARS, step, agg)
 
 
 GRID_COLS = f"row, row_key, variable, site, site_index, bin, date, {R('value')} AS value"
@@ -73,7 +73,7 @@ GAPPY = [("gappy", "SELECT * REPLACE (CASE WHEN variable = 'ref_sst' AND aoi IN
 
 def gappy(spark, sf):
     lost = (F.col("variable") == "ref_sst") & F.col("aoi").isin("A0", "A3")
-    return celsius_temperatures(spark, sf).withColumn("value", F.when(~lost, F.col("value")))
+    return extract(spark, sf).withColumn("value", F.when(~lost, F.col("value")))
 
 
 @query("J10_dropped_series", with_ctes("SELECT v.variable, s.site FROM (SELECT DISTINCT site FROM sel) s CROSS JOIN (VALUES ('lst_sst'), ('eco_sst'), ('ref_sst')) v(variable) WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.variable = v.variable AND c.site = s.site)", "conv", [*GAPPY, *grid_ctes(source="gappy")]))

@@ -9,7 +9,7 @@ from ..functions.lineage import staged
 from ..operators import guards, matchup, screening, summaries
 from ..operators.labelling import conversion_report, convert_temperature, label_matches, label_variables
 from ..operators.screening import kept, removed
-from .base import IDS, SPECS, TEMPERATURES, R, celsius, celsius_temperatures, labelled, query, raw_extended, raw_long, raw_wide, table, with_ctes
+from .base import IDS, SPECS, TEMPERATURES, R, celsius, celsius_temperatures, extract, labelled, query, raw_extended, raw_long, raw_wide, table, with_ctes
 
 ID_SQL = ", ".join(IDS)
 EARLY, LATE, CALM = 9.0, 18.0, 2.0
@@ -315,13 +315,13 @@ def j2(spark, sf):
 
 @query("G1_seasonal_residual", with_ctes(f"SELECT point_id, time, {R('value')} AS value, {R('z')} AS score FROM g", "conv", residual_sql("conv", "g", "variable = 'eco_sst'", robust=False)))
 def g1(spark, sf):
-    rows = celsius_temperatures(spark, sf).where((F.col("variable") == "eco_sst") & F.col("value").isNotNull()).select("point_id", "time", "variable", "value")
+    rows = extract(spark, sf).where((F.col("variable") == "eco_sst") & F.col("value").isNotNull()).select("point_id", "time", "variable", "value")
     return screening.fit_seasonal(rows, ["eco_sst"]).score(rows, "score").drop("variable")
 
 
 @query("G1_seasonal_residual_robust", with_ctes(f"SELECT point_id, time, {R('value')} AS value, {R('z')} AS score FROM g", "conv", residual_sql("conv", "g", "variable = 'lst_sst'", robust=True)))
 def g1_robust(spark, sf):
-    rows = celsius_temperatures(spark, sf).where((F.col("variable") == "lst_sst") & F.col("value").isNotNull()).select("point_id", "time", "variable", "value")
+    rows = extract(spark, sf).where((F.col("variable") == "lst_sst") & F.col("value").isNotNull()).select("point_id", "time", "variable", "value")
     return screening.fit_seasonal(rows, ["lst_sst"], robust=True).score(rows, "score").drop("variable")
 
 
@@ -330,14 +330,14 @@ SEASON = [("f0", START), *season_sql("f0", "o", "eco_sst", THRESHOLDS, 1)]
 
 @query("G2_seasonal_screen", with_ctes(f"SELECT {ID_SQL}, variable, {R('value')} AS value, stage, {R('resid')} AS resid, removed_pass FROM o WHERE variable = 'eco_sst'", "conv", SEASON))
 def g2(spark, sf):
-    out = screening.screen_seasonal(celsius_temperatures(spark, sf), "eco_sst", THRESHOLDS, robust=True)
+    out = screening.screen_seasonal(extract(spark, sf), "eco_sst", THRESHOLDS, robust=True)
     return out.where("variable = 'eco_sst'").select(*IDS, "variable", "value", "stage", "resid", "removed_pass")
 
 
 @query("G2_seasonal_summary", with_ctes(f"""SELECT CAST(1 AS INTEGER) AS pass, {THRESHOLDS[0]}::DOUBLE AS threshold, count(*) AS n_in, count(*) FILTER (WHERE removed_pass = 1) AS n_removed FROM o WHERE variable = 'eco_sst' AND value IS NOT NULL
 UNION ALL SELECT 2, {THRESHOLDS[1]}::DOUBLE, count(*) FILTER (WHERE coalesce(removed_pass, 9) > 1), count(*) FILTER (WHERE removed_pass = 2) FROM o WHERE variable = 'eco_sst' AND value IS NOT NULL""", "conv", SEASON))
 def g2_summary(spark, sf):
-    out = screening.screen_seasonal(celsius_temperatures(spark, sf), "eco_sst", THRESHOLDS, robust=True)
+    out = screening.screen_seasonal(extract(spark, sf), "eco_sst", THRESHOLDS, robust=True)
     return screening.seasonal_summary(out, "eco_sst", THRESHOLDS)
 
 
@@ -401,7 +401,7 @@ FROM (SELECT g, count(*) AS n FROM hp GROUP BY g) g LEFT JOIN hs f ON f.g = g.g
 
 @query("G5_huber_line", HUBER_SQL)
 def g5(spark, sf):
-    pairs = matchup.match_up_differences(celsius_temperatures(spark, sf), ["eco_sst"], ["ref_sst"], by=["aoi"])
+    pairs = matchup.match_up_differences(extract(spark, sf), ["eco_sst"], ["ref_sst"], by=["aoi"])
     rows = pairs.select(F.col("aoi").alias("_grp"), F.col("target_value").alias("_y"), F.col("ref_value").alias("_x"), F.lit(True).alias("_use"))
     return matchup.fit_match_up(rows, 10, "mad", "median", slope=None, intercept=None)
 
@@ -443,12 +443,12 @@ CASE WHEN n >= {min_n} THEN n_trim END AS n_trim, CASE WHEN n >= {min_n} AND n_t
 
 @query("A7_match_up_variance", spread_sql([("eco_sst", "ref_sst"), ("lst_sst", "ref_sst")], "aoi", None, None, 1.5, 10))
 def a7(spark, sf):
-    return matchup.match_up_variance(celsius_temperatures(spark, sf), ["eco_sst", "lst_sst"], ["ref_sst"], by=["aoi"], trim=1.5)
+    return matchup.match_up_variance(extract(spark, sf), ["eco_sst", "lst_sst"], ["ref_sst"], by=["aoi"], trim=1.5)
 
 
 @query("A8_trimmed_spread_in_valid_range", spread_sql([("eco_sst", "lst_sst"), ("ref_sst", "lst_sst"), ("lst_sst", "ref_sst"), ("eco_sst", "ref_sst")], None, 2.0, 38.0, 1.0, 10))
 def a8(spark, sf):
-    return matchup.match_up_variance(celsius_temperatures(spark, sf), ["eco_sst", "ref_sst", "lst_sst"], ["lst_sst", "ref_sst"], valid_range=(2.0, 38.0), trim=1.0)
+    return matchup.match_up_variance(extract(spark, sf), ["eco_sst", "ref_sst", "lst_sst"], ["lst_sst", "ref_sst"], valid_range=(2.0, 38.0), trim=1.0)
 
 
 @query("J3_match_up_pairs", with_ctes(f"""SELECT a.point_id, a.time, {R('a.value')} AS target_value, {R('b.value')} AS ref_value, {R('a.value - b.value')} AS diff

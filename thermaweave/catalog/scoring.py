@@ -6,20 +6,20 @@ from pyspark.sql import functions as F
 
 from ..operators import scoring as s
 from ..operators.guards import missing_keys
-from .base import R, celsius_temperatures, query, with_ctes
+from .base import R, celsius_temperatures, extract, query, with_ctes
 from .gridding import grid_ctes, the_grid
 
 REPLICATES = 60
 SEED = 1
 
 
-def daily(spark, sf):
-    return celsius_temperatures(spark, sf).select(F.col("point_id").alias("site"), F.col("time").alias("date"), "aoi", "variable", "value")
+def daily(spark, sf, source=celsius_temperatures):
+    return source(spark, sf).select(F.col("point_id").alias("site"), F.col("time").alias("date"), "aoi", "variable", "value")
 
 
 def parts(spark, sf):
     """(truth, fused, reference model, reference raw) as the tables a run would have written."""
-    rows = daily(spark, sf).where("variable = 'ref_sst' and value is not null").select("site", "date", "value")
+    rows = daily(spark, sf, extract).where("variable = 'ref_sst' and value is not null").select("site", "date", "value")
     rows = rows.withColumn("mon", F.month("date"))
     mean = rows.groupBy("site").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("se"))
     month = rows.groupBy("site", "mon").agg(F.avg("value").alias("mm"))

@@ -157,23 +157,24 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, floa
     return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
 
 
-def median_within(df: DataFrame, value: str, low: float, high: float) -> dict:
-    """Whether the median lies in ``[low, high]``, exactly, from one partial aggregate.
+def median_within(df: DataFrame, value: str, *bands: tuple[float, float]) -> list[dict]:
+    """For each closed band, whether the median lies in it: exact, from one partial aggregate.
 
-    The median is below ``low`` when more than half of the values are; with exactly half, it
-    is the mean of the two values around the cut. The same holds for ``high``.
+    The median is below a bound when more than half of the values are; with exactly half, it is
+    the mean of the two values around the cut. No quantile is needed.
     """
     v = F.col(value)
-    row = df.agg(
-        F.count(v).alias("n"),
-        F.count_if(v < low).alias("under"),
-        F.max(F.when(v < low, v)).alias("under_top"),
-        F.min(F.when(v >= low, v)).alias("in_bottom"),
-        F.count_if(v > high).alias("over"),
-        F.min(F.when(v > high, v)).alias("over_bottom"),
-        F.max(F.when(v <= high, v)).alias("in_top"),
-    ).first()
-    n = row["n"]
-    below = 2 * row["under"] > n or (n and 2 * row["under"] == n and (row["under_top"] + row["in_bottom"]) / 2 < low)
-    above = 2 * row["over"] > n or (n and 2 * row["over"] == n and (row["over_bottom"] + row["in_top"]) / 2 > high)
-    return {"n": n, "below": bool(below), "above": bool(above), "inside": bool(n) and not below and not above}
+    aggs = [F.count(v).alias("n")]
+    for i, (low, high) in enumerate(bands):
+        aggs += [
+            F.count_if(v < low).alias(f"under{i}"), F.max(F.when(v < low, v)).alias(f"under_top{i}"), F.min(F.when(v >= low, v)).alias(f"in_bottom{i}"),
+            F.count_if(v > high).alias(f"over{i}"), F.min(F.when(v > high, v)).alias(f"over_bottom{i}"), F.max(F.when(v <= high, v)).alias(f"in_top{i}"),
+        ]
+    row = df.agg(*aggs).first()
+    n, out = row["n"], []
+    for i, (low, high) in enumerate(bands):
+        under, over = row[f"under{i}"], row[f"over{i}"]
+        below = 2 * under > n or (n and 2 * under == n and (row[f"under_top{i}"] + row[f"in_bottom{i}"]) / 2 < low)
+        above = 2 * over > n or (n and 2 * over == n and (row[f"over_bottom{i}"] + row[f"in_top{i}"]) / 2 > high)
+        out.append({"n": n, "below": bool(below), "above": bool(above), "inside": bool(n) and not below and not above})
+    return out

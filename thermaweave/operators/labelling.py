@@ -95,13 +95,11 @@ def convert_temperature(
     if check_range:
         scale, shift = linear_unit_map(src, dst)
         low, high = UNIT_BANDS[dst]
-        for label, band in (
-            (f"values do not look like {src}", UNIT_BANDS[src]),
-            (f"converted values are implausible as {dst}", ((low - shift) / scale, (high - shift) / scale)),
-        ):
-            verdict = median_within(df.where(chosen), value_col, *band)
-            if verdict["n"] == 0:
-                return df
+        bands = [UNIT_BANDS[src], ((low - shift) / scale, (high - shift) / scale)]
+        before, after = median_within(df.where(chosen), value_col, *bands)
+        if before["n"] == 0:
+            return df
+        for verdict, label in ((before, f"values do not look like {src}"), (after, f"converted values are implausible as {dst}")):
             if not verdict["inside"]:
                 if strict:
                     raise ValueError(label + "; already converted?")

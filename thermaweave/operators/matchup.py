@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_FACTOR, correlation, percent
@@ -103,7 +103,9 @@ def match_up_variance(
 ) -> DataFrame:
     """Bias, spread, quantiles, correlation and trimmed spread of target - reference, pooled and by group."""
     diffs = match_up_differences(df, targets, references, pairs, ids, by, valid_range)
-    rows = with_levels(diffs, group_label(by), pooled_only=not by)
+    # The pivot is the one shuffle of the input: its narrow result is written, and every later pass reads that.
+    diffs = staged(diffs.select("target", "reference", group_label(by).alias("_g"), "target_value", "ref_value", "diff"), "differences")
+    rows = with_levels(diffs, F.col("_g"), pooled_only=not by)
     rows = rows.select("target", "reference", "pooled", "group", "target_value", "ref_value", "diff")
     return spread_statistics(rows, ["target", "reference", "pooled", "group"], trim, min_n, max_group_rows)
 
@@ -122,9 +124,14 @@ def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = Non
         F.stddev_samp(y).alias("_sy"), F.stddev_samp(x).alias("_sx"), correlation(y, x).alias("_r"), F.regr_slope(y, x).alias("_b"),
     ]
     names = ["bias", "sd", "rmsd", "median_bias", "rsd", "p025", "p975"]
+    one_pass = size <= max_group_rows
     if trim is not None:
-        # A robust spread of zero falls back to the ordinary one, so both trims are gathered at once.
-        near = F.col("_dev") <= F.lit(float(trim)) * F.col("rsd")
+        width = F.col("rsd")
+        if one_pass:
+            # A robust spread of zero falls back to the ordinary one, taken over the same window partition.
+            width = F.coalesce(F.when(F.col("rsd") > 0, F.col("rsd")), F.col("_sd"))
+            rows = rows.withColumn("_sd", F.stddev_samp("diff").over(Window.partitionBy(*keys)))
+        near = F.col("_dev") <= F.lit(float(trim)) * width
         base += [F.count_if(near).alias("_nt"), F.stddev_samp(F.when(near, d)).alias("_st")]
     out = rows.groupBy(*keys).agg(*base)
     enough = F.col("n") >= min_n
@@ -133,6 +140,9 @@ def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = Non
             F.when(varied, F.col("_r")).alias("r"), F.when(varied, F.col("_b")).alias("slope_ols")]
     if trim is None:
         return out.select(*cols)
+    if one_pass:
+        n_trim = F.when(enough, F.col("_nt"))
+        return out.select(*cols, n_trim.alias("n_trim"), F.when(enough & (n_trim >= 2), F.col("_st")).alias("sd_trim"))
     flat = small_side(out.where(enough & (F.col("rsd") == 0)).select(*keys, "sd", F.col("median_bias").alias("_m")))
     redo = rows.select(*keys, "diff").join(flat, keys).groupBy(*keys).agg(
         F.count_if(F.abs(d - F.col("_m")) <= F.lit(float(trim)) * F.col("sd")).alias("_nt2"),
