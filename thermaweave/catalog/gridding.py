@@ -105,10 +105,10 @@ def p9(spark, sf):
     return g.select_period(the_grid(spark, sf).long(), SITES, "1993-01-15", "1996-06-30").select("row", "site", "date", "value")
 
 
-@query("T9_holdout_fit_rows", with_ctes(f"SELECT variable, site, count(*) AS n, {R('sum(value)')} AS total FROM grid WHERE NOT (site IN ({SITES_SQL}) AND variable = 'eco_sst') GROUP BY 1, 2", "conv", grid_ctes()))
+@query("T9_holdout_fit_rows", with_ctes(f"SELECT variable, site, count(*) AS n, {R('avg(value)')} AS mean FROM grid WHERE NOT (site IN ({SITES_SQL}) AND variable = 'eco_sst') GROUP BY 1, 2", "conv", grid_ctes()))
 def t9_fit(spark, sf):
     fit, _ = g.split_holdout(the_grid(spark, sf).long(), SITES, ["eco_sst"])
-    return fit.groupBy("variable", "site").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return fit.groupBy("variable", "site").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
 @query("T9_holdout_withheld", with_ctes(f"SELECT date, site, variable, {R('value')} AS value FROM grid WHERE site IN ({SITES_SQL}) AND variable = 'eco_sst'", "conv", grid_ctes()))

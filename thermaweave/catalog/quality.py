@@ -28,11 +28,11 @@ def p1(spark, sf):
 OVERLAP = {"any_300": {"stat": ["nanmean", "nearest"], "radius_m": 300}, "mean_only": {"stat": "nanmean", "radius_m": 300}, "eco_near": {"stat": "nearest", "radius_m": 300, "variable": "eco_sst"}}
 
 
-@query("P1_last_match_wins", with_ctes(f"""SELECT variable, count(*) AS n, count(value) AS n_values, {R('sum(value)')} AS total FROM (
+@query("P1_last_match_wins", with_ctes(f"""SELECT variable, count(*) AS n, count(value) AS n_values, {R('avg(value)')} AS mean FROM (
 SELECT CASE WHEN stat = 'nearest' AND variable = 'eco_sst' THEN 'eco_near' WHEN stat = 'nanmean' THEN 'mean_only' ELSE 'any_300' END AS variable, value FROM raw) GROUP BY 1""", "raw"))
 def p1_last(spark, sf):
     out = label_variables(raw_long(spark, sf), OVERLAP)
-    return out.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.sum("value").alias("total"))
+    return out.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.avg("value").alias("mean"))
 
 
 @query("P1_match_counts", with_ctes("""SELECT CAST(1 + (CASE WHEN stat = 'nanmean' THEN 1 ELSE 0 END) + (CASE WHEN stat = 'nearest' AND variable = 'eco_sst' THEN 1 ELSE 0 END) AS BIGINT) AS n_specs,
@@ -676,11 +676,11 @@ def v5(spark, sf):
 # ---- scalar functions -----------------------------------------------------------------------
 
 
-@query("F1_unit_conversions", with_ctes(f"SELECT variable, {R('sum(value - 273.15::DOUBLE)')} AS c, {R('sum((value - 273.15::DOUBLE) * 9 / 5 + 32)')} AS f, {R('sum(value)')} AS k FROM raw GROUP BY 1", "raw"))
+@query("F1_unit_conversions", with_ctes(f"SELECT variable, {R('avg(value - 273.15::DOUBLE)')} AS c, {R('avg((value - 273.15::DOUBLE) * 9 / 5 + 32)')} AS f, {R('avg(value)')} AS k FROM raw GROUP BY 1", "raw"))
 def f1(spark, sf):
     k = F.col("value")
     f = convert_unit(k, "K", "F")
-    return raw_long(spark, sf).groupBy("variable").agg(F.sum(convert_unit(k, "K", "C")).alias("c"), F.sum(f).alias("f"), F.sum(convert_unit(f, "F", "K")).alias("k"))
+    return raw_long(spark, sf).groupBy("variable").agg(F.avg(convert_unit(k, "K", "C")).alias("c"), F.avg(f).alias("f"), F.avg(convert_unit(f, "F", "K")).alias("k"))
 
 
 @query("F2_local_solar_time", with_ctes(f"SELECT point_id, time, variable, stat, {R('(hour + lon / 15) - 24 * floor((hour + lon / 15) / 24)')} AS solar, {R('(hour - 30) - 24 * floor((hour - 30) / 24)')} AS wrapped FROM raw", "raw"))
@@ -712,14 +712,14 @@ def f7(spark, sf):
                     F.regexp_replace(F.concat(F.lit("has_"), "source"), "^has_", "").alias("bare"), "n")
 
 
-@query("F9_F10_rounding_and_defaults", with_ctes(f"SELECT variable, {R('sum(round(hour + 0.5::DOUBLE, 0))')} AS half_up, {R('sum(round_even(hour + 0.5::DOUBLE, 0))')} AS half_even, {R('sum(round(value / 3, 2))')} AS two_places, {R('sum(coalesce(value, 0))')} AS zero_filled, {R('100.0 * count(value) / greatest(count(*), 1)')} AS pct FROM raw GROUP BY variable", "raw"))
+@query("F9_F10_rounding_and_defaults", with_ctes(f"SELECT variable, {R('sum(round(hour + 0.5::DOUBLE, 0))')} AS half_up, {R('sum(round_even(hour + 0.5::DOUBLE, 0))')} AS half_even, {R('avg(round(value / 3, 2))')} AS two_places, {R('avg(coalesce(value, 0))')} AS zero_filled, {R('100.0 * count(value) / greatest(count(*), 1)')} AS pct FROM raw GROUP BY variable", "raw"))
 def f9(spark, sf):
     from ..functions.exprs import percent
 
     v, h = F.col("value"), F.col("hour") + 0.5
     out = raw_wide(spark, sf).groupBy("variable").agg(
-        F.sum(F.round(h, 0)).alias("half_up"), F.sum(F.bround(h, 0)).alias("half_even"), F.sum(F.round(v / 3, 2)).alias("two_places"),
-        F.sum(F.coalesce(v, F.lit(0.0))).alias("zero_filled"), F.count(v).alias("n"), F.count(F.lit(1)).alias("t"))
+        F.sum(F.round(h, 0)).alias("half_up"), F.sum(F.bround(h, 0)).alias("half_even"), F.avg(F.round(v / 3, 2)).alias("two_places"),
+        F.avg(F.coalesce(v, F.lit(0.0))).alias("zero_filled"), F.count(v).alias("n"), F.count(F.lit(1)).alias("t"))
     return out.select("variable", "half_up", "half_even", "two_places", "zero_filled", percent("n", "t").alias("pct"))
 
 

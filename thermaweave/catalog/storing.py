@@ -25,11 +25,11 @@ def r1(spark, sf):
     return rd.read_long(spark, path)
 
 
-@query("R1_read_parquet_extract", with_ctes(f"SELECT variable, count(*) AS n, count(value) AS n_values, {R('sum(value)')} AS total FROM raw WHERE variable = 'eco_sst' GROUP BY 1", "raw"))
+@query("R1_read_parquet_extract", with_ctes(f"SELECT variable, count(*) AS n, count(value) AS n_values, {R('avg(value)')} AS mean FROM raw WHERE variable = 'eco_sst' GROUP BY 1", "raw"))
 def r1_parquet(spark, sf):
     path = wr.write_table(raw_long(spark, sf), scratch_path(spark, "extract"), partition_by=["variable"])
     rows = rd.read_long(spark, path, "parquet").where("variable = 'eco_sst'")
-    return rows.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.sum("value").alias("total"))
+    return rows.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.avg("value").alias("mean"))
 
 
 @query("R2_parse_dates", with_ctes("SELECT time, count(*) AS n FROM (SELECT CASE WHEN variable = 'ref_sst' AND stat = 'nearest' THEN NULL ELSE time END AS time FROM raw) GROUP BY 1", "raw"))
