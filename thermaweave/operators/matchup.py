@@ -215,12 +215,13 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None, max_
 
 def fit_match_up(
     df: DataFrame, min_n: int = 30, scale: str = "mad", center: str = "median", slope: float | None = 1.0, intercept: float | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS, group_rows: int | None = None,
+    max_group_rows: int = MAX_GROUP_ROWS, group_rows: int | None = None, single: bool = False,
 ) -> DataFrame:
     """Line and scale per group from columns ``_grp``, ``_y``, ``_x``, ``_use``; one small table.
 
     Columns: group, n (the group's own match-ups), intercept, slope, scale, fixed. Groups with
-    fewer than ``min_n`` match-ups, or no usable fit, carry the pooled triple.
+    fewer than ``min_n`` match-ups, or no usable fit, carry the pooled triple. ``single`` says that
+    there is one group only, which then is the pool.
     """
     if scale not in ("mad", "sd") or center not in ("median", "mean"):
         raise ValueError("scale must be 'mad' or 'sd'; center 'median' or 'mean'")
@@ -228,7 +229,7 @@ def fit_match_up(
     # Unused rows stay, with NULLs, so that every group appears; aggregates pass over them.
     use = F.col("_use") & F.col("_y").isNotNull() & F.col("_x").isNotNull()
     base = df.select("_grp", F.when(use, F.col("_y")).alias("_y"), F.when(use, F.col("_x")).alias("_x"))
-    rows = with_levels(base, F.col("_grp")).where("pooled or group is not null").select(*keys, "_y", "_x")
+    rows = with_levels(base, F.col("_grp"), single).where("pooled or group is not null").select(*keys, "_y", "_x")
     size = largest_group(rows, keys) if group_rows is None else group_rows
     x, y = F.col("_x"), F.col("_y")
     fix_b, fix_a = slope is not None, intercept is not None
@@ -268,7 +269,7 @@ def fit_match_up(
     ok = (F.col("n") >= min_n) & F.col("s").isNotNull() & F.col("a").isNotNull()
     pick = {"intercept": "a", "slope": "b", "scale": "s"}
     own = F.broadcast(fits) if n_fits <= BROADCAST_ROWS else fits
-    return own.where("not pooled").select(
+    return (own if single else own.where("not pooled")).select(
         "group", "n", *[F.when(ok, F.col(c)).otherwise(F.lit(float(whole[c]))).alias(n) for n, c in pick.items()], F.lit(fixed).alias("fixed"),
     )
 
@@ -317,20 +318,26 @@ def screen_match_up(
         return test | F.coalesce(bounds, F.lit(False))
 
     def joined(table: DataFrame, p: int, to: DataFrame) -> DataFrame:
+        residual = F.col("_y") - (F.col(f"_a{p}") + F.col(f"_b{p}") * F.col("_x"))
+        if not by:
+            # One group: three numbers, no join.
+            one = table.first()
+            numbers = {f"_a{p}": one["intercept"], f"_b{p}": one["slope"], f"_s{p}": one["scale"]}
+            return to.withColumns({k: F.lit(float(v)) for k, v in numbers.items()}).withColumn(f"_r{p}", residual)
         slim = table.select(F.col("group").alias("_grp"), F.col("intercept").alias(f"_a{p}"), F.col("slope").alias(f"_b{p}"), F.col("scale").alias(f"_s{p}"))
         out = to.join(slim, "_grp", "left")
-        return out.withColumn(f"_r{p}", F.col("_y") - (F.col(f"_a{p}") + F.col(f"_b{p}") * F.col("_x")))
+        return out.withColumn(f"_r{p}", residual)
 
     work, keep = pairs, F.lit(True)
     tables = []
     for p in range(1, passes + 1):
-        table = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows, counts["n_rows"])
+        table = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows, counts["n_rows"], not by)
         tables.append(table)
         if log is not None:
             log.append(table.select(F.lit(p).alias("pass"), "*", F.lit(scale).alias("scale_est"), F.lit(center).alias("center_est")))
         work = joined(table, p, work)
         keep = keep & inside(p)
-    final = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows, counts["n_rows"])
+    final = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows, counts["n_rows"], not by)
 
     out = keyed.withColumns({"_y": F.when(alive(target), F.col("value")), "_x": F.col("_ref"), "_grp": group_label(by)})
     for p, table in enumerate(tables, start=1):
