@@ -185,12 +185,14 @@ def test_config_reports_every_problem_at_once():
         cf.from_dict(cf.PreprocessConfig, {"range": {"lowr": 1}})
 
 
-def test_model_config_problems():
+def test_model_config_problems(spark):
     kinds = {"tag": "x", "intercept": "site", "seasonality": "shared"}
     cfg = cf.ModelConfig(instruments={"t": kinds, "r": {**kinds}}, sites=["a", "b", "zz"], holdout_sites=["b", "q"], holdout_variables=["t"], scale_reference="r", factors=9)
-    found = va.model_problems(cfg, {("t", "a"), ("t", "b"), ("r", "a"), ("w", "a")})
+    series = spark.createDataFrame([("t", "a"), ("t", "b"), ("r", "a"), ("w", "a")], "variable string, site string")
+    with pytest.raises(va.ConfigError) as caught:
+        va.validate_model(cfg, series)
     for part in ("no data at zz", "q is not a selected site", "tags must be unique", "no entry for w", "nothing is left at b", "no r at b", "factors"):
-        assert any(part in f for f in found), part
+        assert any(part in f for f in caught.value.problems), part
 
 
 def synthetic(spark):

@@ -95,15 +95,36 @@ def validate_preprocessing(cfg: PreprocessConfig, df: DataFrame) -> PreprocessCo
     return cfg
 
 
-def model_problems(cfg: ModelConfig, pairs: set[tuple[str, str]]) -> list[str]:
-    """What is wrong with a model configuration for a grid holding these (variable, site) series."""
-    out = []
-    sites = {s for _, s in pairs}
-    chosen = set(cfg.sites) if cfg.sites is not None else sites
-    out += [f"sites: no data at {s}" for s in sorted(chosen - sites)]
-    held = set(cfg.holdout_sites)
-    out += [f"holdout_sites: {s} is not a selected site" for s in sorted(held - chosen)]
-    if held and cfg.scale_reference in cfg.holdout_variables:
+def series_facts(cfg: ModelConfig, series: DataFrame, examples: int = 20) -> dict:
+    """What the checks need to know about the (variable, site) series of a grid.
+
+    Aggregated in Spark: one row per variable, one per site the configuration names, a count and a few
+    examples reach the driver, never the series themselves.
+    """
+    pairs = series.select("variable", "site").distinct()
+    chosen = F.lit(True) if cfg.sites is None else F.col("site").isin(list(cfg.sites))
+    held = F.col("site").isin(list(cfg.holdout_sites)) & F.col("variable").isin(list(cfg.holdout_variables))
+    live = chosen & ~held
+    by_variable = pairs.groupBy("variable").agg(F.count_if(chosen).alias("chosen"), F.count_if(live).alias("live")).collect()
+    named = sorted(set(cfg.sites or []) | set(cfg.holdout_sites))
+    by_site = pairs.where(F.col("site").isin(named)).groupBy("site").agg(F.count_if(live).alias("live")).collect()
+    per_site = pairs.where(chosen).groupBy("site").agg(F.count_if(live & (F.col("variable") == F.lit(cfg.scale_reference))).alias("ref"))
+    unscaled = [] if cfg.scale_reference is None else [r["site"] for r in per_site.where("ref = 0").orderBy("site").limit(examples).collect()]
+    return {
+        "variables": {r["variable"]: (r["chosen"], r["live"]) for r in by_variable}, "sites": {r["site"]: r["live"] for r in by_site},
+        "n_sites": per_site.count(), "unscaled": unscaled,
+    }
+
+
+def model_problems(cfg: ModelConfig, facts: dict) -> list[str]:
+    """What is wrong with a model configuration, given :func:`series_facts`."""
+    out = [f"sites: no data at {s}" for s in sorted(set(cfg.sites or []) - set(facts["sites"]))]
+    for s in sorted(set(cfg.holdout_sites)):
+        if (cfg.sites is not None and s not in cfg.sites) or s not in facts["sites"]:
+            out.append(f"holdout_sites: {s} is not a selected site")
+        elif facts["sites"][s] == 0:
+            out.append(f"holdout: nothing is left at {s}")
+    if cfg.holdout_sites and cfg.scale_reference in cfg.holdout_variables:
         out.append("holdout_variables: the scaling reference cannot be withheld")
     tags = [s["tag"] for s in cfg.instruments.values()]
     if len(set(tags)) < len(tags):
@@ -113,18 +134,13 @@ def model_problems(cfg: ModelConfig, pairs: set[tuple[str, str]]) -> list[str]:
             out.append(f"instruments[{v}]: unknown intercept kind {s['intercept']}")
         if s["seasonality"] not in SEASONALITIES:
             out.append(f"instruments[{v}]: unknown seasonality kind {s['seasonality']}")
-    live = {(v, s) for v, s in pairs if s in chosen and not (s in held and v in cfg.holdout_variables)}
-    for v in sorted({v for v, s in pairs if s in chosen}):
-        if v not in cfg.instruments:
+    for v, (chosen, live) in sorted(facts["variables"].items()):
+        if chosen and v not in cfg.instruments:
             out.append(f"instruments: no entry for {v}")
-        elif not any(x == v for x, _ in live):
+        elif chosen and not live:
             out.append(f"holdout: {v} is withheld everywhere")
-    for s in sorted(held & chosen):
-        if not any(x == s for _, x in live):
-            out.append(f"holdout: nothing is left at {s}")
-    if cfg.scale_reference is not None:
-        out += [f"scale_reference: no {cfg.scale_reference} at {s}" for s in sorted(chosen & sites) if (cfg.scale_reference, s) not in live]
-    if cfg.factors > len(chosen):
+    out += [f"scale_reference: no {cfg.scale_reference} at {s}" for s in facts["unscaled"]]
+    if cfg.factors > facts["n_sites"]:
         out.append("factors: cannot exceed the number of sites")
     if cfg.start is not None and cfg.end is not None and not str(cfg.start) < str(cfg.end):
         out.append("start must be before end")
@@ -132,9 +148,8 @@ def model_problems(cfg: ModelConfig, pairs: set[tuple[str, str]]) -> list[str]:
 
 
 def validate_model(cfg: ModelConfig, series: DataFrame) -> ModelConfig:
-    """One read of the (small) series dimension, then all checks."""
-    pairs = {(r["variable"], r["site"]) for r in series.select("variable", "site").distinct().toLocalIterator()}
-    problems = model_problems(cfg, pairs)
+    """All checks of a model configuration against a grid's series, in one error."""
+    problems = model_problems(cfg, series_facts(cfg, series))
     if problems:
         raise ConfigError(problems)
     return cfg
