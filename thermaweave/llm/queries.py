@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -22,3 +22,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where does each piece of each document stand in sequences of 2048 tokens?"""
     parts = packing.pieces(read(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are linked by fingerprints that differ in at most three bits?"""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
