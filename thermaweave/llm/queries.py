@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, simhash
+from . import decontam, packing, secrets, simhash
 from .common import read
 
 QUERIES: dict = {}
@@ -34,3 +34,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents share a passage with which benchmark item?"""
     return decontam.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which secrets stand where in each document?"""
+    return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
