@@ -86,7 +86,7 @@ class WordCoder:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        fresh = set(words) - known.keys()
+        fresh = [w for w in set(words) if w not in known]
         if len(known) + len(fresh) > self.memo:
             known.clear()
             fresh = set(words)
