@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, secrets, simhash
+from . import decontam, packing, quality, secrets, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -40,3 +40,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which secrets stand where in each document?"""
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents")))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely is each document toxic?"""
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely is each document of good quality?"""
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
