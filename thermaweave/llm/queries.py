@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, secrets, simhash, toxicity
+from . import ann, chat, decontam, packing, quality, secrets, sharding, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -54,3 +54,29 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely is each document of good quality?"""
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
+@query
+def op3_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which 20 vectors have the largest inner product with each vector whose id is divisible by 20?"""
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which shard of at most a mebibyte of text holds each document?"""
+    placed, _ = sharding.assign(read(spark, sf_dir, "documents"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return placed.select("doc_id", size.alias("bytes"), "shard_depth", "shard_prefix")
+
+
+ORACLES["op6_sharding"] = sharding.ORACLE
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from each formatted conversation?"""
+    talks = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.turns(talks.unionByName(extra)))
