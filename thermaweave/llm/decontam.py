@@ -117,16 +117,10 @@ def overlaps(
     masks=MASKS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """One row per document and item that share a passage: ids, doc_start, item_start, words, matched."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text")).where(F.length(F.trim("_text")) > 0)
-    total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
-    for block in range(blocks):
-        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in chosen.collect()])  # about block_bytes
+    for sent in _blocks(benchmark, item_col, item_text, block_bytes):
         index: list[SeedIndex] = []
 
         def rows(batch, sent=sent, index=index):
@@ -144,6 +138,31 @@ def overlaps(
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_item", item_col)
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int):
+    """The items as broadcasts of about ``block_bytes`` bytes each."""
+    items = benchmark.select(F.col(item_col).alias("_item"), F.col(item_text).alias("_text")).where(F.length(F.trim("_text")) > 0)
+    total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    for block in range(blocks):
+        chosen = items if blocks == 1 else items.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block)
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in chosen.collect()])
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", masks=MASKS, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that share a passage with the benchmark; all columns stay."""
+    for sent in _blocks(benchmark, item_col, item_text, block_bytes):
+        index: list[SeedIndex] = []
+
+        def rows(batch, sent=sent, index=index):
+            if not index:
+                index.append(SeedIndex(sent.value, masks, similarity, least_words))
+            keep = [not index[0].overlaps(t) for t in batch[text_col]]
+            return {c: [v for v, k in zip(vs, keep) if k] for c, vs in batch.items()}
+
+        docs = map_batches(docs, rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents that share a passage with the benchmark, one row each: id, items, longest (words)."""
     key = options.get("id_col", "doc_id")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, packing, quality, secrets, sharding, simhash, toxicity
+from . import ann, chat, decontam, lm, packing, quality, secrets, sharding, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -80,3 +81,14 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
     return chat.digests(chat.turns(talks.unionByName(extra)))
+
+
+@query
+def op9_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How probable is each document for a unigram and for a context-mixing model?"""
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -186,3 +186,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, id_co
     named = member.join(named, "root").select("fingerprint", "_named")
     classes = least.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("_named", "_least").alias("component_id"))
     return prints.join(classes, "fingerprint").select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int, bits: int, text_col: str = "text") -> DataFrame:
+    """``docs`` with the first row of each component only; all columns stay.
+
+    ``docs`` is read from files, so its rows keep their numbers when they are read again.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = near_duplicates(numbered, words, bits, "_row", text_col)
+    gone = found.where(F.col("_row") != F.col("component_id")).select("_row")
+    return numbered.join(gone, "_row", "left_anti").drop("_row")
