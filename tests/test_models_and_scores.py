@@ -251,3 +251,15 @@ def test_three_jobs_end_to_end(spark, tmp_path):
     assert overall["full"]["MSE"] < overall["ref_raw"]["MSE"] and overall["full"]["n"] == data.holdout.count()
     assert tables["by_site"].count() == 3
     wr.write_scores(f"{root}/scores", tables)
+
+
+def test_every_fault_of_a_configuration_is_reported_at_once():
+    from thermaweave.plans.validate import preprocessing_problems
+
+    cfg = cf.PreprocessConfig(variables={"t": {"variable": "x"}, "r": {"variable": "y"}})
+    cfg.units.src, cfg.wind.threshold, cfg.match_up.scale, cfg.match_up.center = "X", -1.0, "foo", "bar"
+    cfg.match_up.by, cfg.variance.pairs, cfg.variance.valid_range = ["nowhere"], "zip", [5, 1]
+    cfg.grid.variables, cfg.grid.site, cfg.grid.harmonics = ["t", "t"], "nosite", 0
+    found = " / ".join(preprocessing_problems(cfg, ["variable", "value", "point_id", "time"]))
+    for part in ("units: src", "wind: threshold", "scale must", "center must", "no group column nowhere", "pairs must", "valid_range", "named twice", "no column nosite", "harmonics must"):
+        assert part in found, part

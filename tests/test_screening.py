@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thermaweave.functions import quantiles
 from thermaweave.operators import matchup as mu, screening as sc, summaries
 from thermaweave.operators.labelling import convert_temperature, label_variables
 
@@ -188,8 +189,9 @@ def huber_line(y, x):
     return None
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_huber_line_equals_reweighted_least_squares(spark, limit):
+@pytest.mark.parametrize("limit", [10**9, 10])
+def test_huber_line_equals_reweighted_least_squares(spark, limit, monkeypatch):
+    monkeypatch.setattr(quantiles, "RANKED", limit)
     rng = np.random.default_rng(9)
     rows, want = [], {}
     for g in ("a", "b"):
@@ -199,7 +201,7 @@ def test_huber_line_equals_reweighted_least_squares(spark, limit):
         rows += [(g, float(a), float(b), True) for a, b in zip(y, x)]
         want[g] = huber_line(y, x)
     df = spark.createDataFrame(rows, "_grp string, _y double, _x double, _use boolean")
-    for r in mu.fit_match_up(df, 10, slope=None, intercept=None, max_group_rows=limit).collect():
+    for r in mu.fit_match_up(df, 10, slope=None, intercept=None).collect():
         assert (r["intercept"], r["slope"]) == pytest.approx(tuple(want[r["group"]]), abs=1e-8)
 
 
@@ -211,16 +213,18 @@ def test_spread_below_min_n_is_null_and_a_group_may_be_called_all(spark):
     assert got[False, "b"]["n"] == 3 and got[False, "b"]["bias"] is None and got[False, "b"]["n_trim"] is None
 
 
-def test_large_group_way_gives_the_same_tables(spark):
+def test_narrowing_gives_the_same_tables(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(f"s{i}", "ab"[i % 2], v, float(x)) for i in range(600) for v, x in (("t", rng.normal()), ("r", rng.normal()))]
     df = spark.createDataFrame(rows, "site string, aoi string, variable string, value double").cache()
     small = mu.match_up_variance(df, ["t"], ["r"], by=["aoi"], trim=1.5).orderBy("pooled", "group").toPandas()
-    large = mu.match_up_variance(df, ["t"], ["r"], by=["aoi"], trim=1.5, max_group_rows=0).orderBy("pooled", "group").toPandas()
+    monkeypatch.setattr(quantiles, "RANKED", 30)
+    large = mu.match_up_variance(df, ["t"], ["r"], by=["aoi"], trim=1.5).orderBy("pooled", "group").toPandas()
     assert np.allclose(small.select_dtypes("number"), large.select_dtypes("number"))
     frame = summaries.kept_removed_frame(sc.screen_range(df, "t", -1, 1), "aoi")
+    b = summaries.variable_summary(frame).orderBy("variable", "pooled", "group").toPandas()
+    monkeypatch.undo()
     a = summaries.variable_summary(frame).orderBy("variable", "pooled", "group").toPandas()
-    b = summaries.variable_summary(frame, max_group_rows=0).orderBy("variable", "pooled", "group").toPandas()
     assert np.allclose(a.select_dtypes("number").astype(float), b.select_dtypes("number").astype(float), equal_nan=True)
 
 
@@ -238,12 +242,22 @@ def test_removals_partition_the_input_and_order_does_not_matter(spark):
     assert run(long(spark, rows)) == run(long(spark, rows[::-1]).repartition(5))
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_trim_falls_back_to_the_ordinary_spread(spark, limit):
+@pytest.mark.parametrize("limit", [10**9, 10])
+def test_trim_falls_back_to_the_ordinary_spread(spark, limit, monkeypatch):
+    monkeypatch.setattr(quantiles, "RANKED", limit)
     d = [0.0] * 30 + [5.0, -7.0, 100.0]
     rows = [(f"s{i}", v, x) for i, diff in enumerate(d) for v, x in (("t", float(i % 5) + diff), ("r", float(i % 5)))]
     df = spark.createDataFrame(rows, "site string, variable string, value double")
-    got = mu.match_up_variance(df, ["t"], ["r"], trim=1.0, max_group_rows=limit).first()
+    got = mu.match_up_variance(df, ["t"], ["r"], trim=1.0).first()
     sd = np.std(d, ddof=1)
     near = [x for x in d if abs(x) <= sd]
     assert got["rsd"] == 0.0 and got["n_trim"] == len(near) and got["sd_trim"] == pytest.approx(np.std(near, ddof=1))
+
+
+def test_nan_is_missing_from_labelling_on(spark):
+    rows = [("s1", "x", float("nan")), ("s2", "x", 5.0), ("s3", "x", None)]
+    df = label_variables(spark.createDataFrame(rows, "site string, variable string, value double"), {"t": {"variable": "x"}})
+    out = sc.screen_range(df, "t", 0.0, 40.0)
+    assert sc.removed(out).count() == 0 and sc.kept(out).where("value is null").count() == 2
+    got = {r["reason"]: r["n"] for r in sc.range_summary(df, ["t"]).collect()}
+    assert got == {"retained": 1, sc.MISSING: 2, sc.BELOW: 0, sc.ABOVE: 0}

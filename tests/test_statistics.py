@@ -1,4 +1,4 @@
-"""Distributed statistics against NumPy, on both the small-group and the large-group way."""
+"""Distributed statistics against NumPy, with no, one and many rounds of narrowing."""
 
 import numpy as np
 import pytest
@@ -24,25 +24,38 @@ def frame(spark, data):
     return spark.createDataFrame(rows, "g string, v double").repartition(8).cache()
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_quantiles_are_exact(frame, data, limit):
-    got = {r["g"]: r for r in q.quantile_table(frame, ["g"], "v", PROBS, max_group_rows=limit).collect()}
+LIMITS = pytest.mark.parametrize("limit", [10**9, 5000, 20])
+
+
+@LIMITS
+def test_quantiles_are_exact(frame, data, limit, monkeypatch):
+    monkeypatch.setattr(q, "RANKED", limit)
+    got = {r["g"]: r for r in q.quantile_table(frame, ["g"], "v", PROBS).collect()}
+    assert set(got) == {*data, "void"} and all(got["void"][name] is None for name in PROBS)
     for g, vs in data.items():
         for name, p in PROBS.items():
             assert got[g][name] == pytest.approx(np.quantile(vs, p), abs=1e-12), (g, name)
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_pooled_quantiles_are_exact(frame, data, limit):
+@LIMITS
+def test_pooled_quantiles_are_exact(frame, data, limit, monkeypatch):
+    monkeypatch.setattr(q, "RANKED", limit)
     every = [v for vs in data.values() for v in vs]
-    got = q.pooled_quantiles(frame, "v", PROBS, limit)
+    got = q.pooled_quantiles(frame, "v", PROBS)
     for name, p in PROBS.items():
         assert got[name] == pytest.approx(np.quantile(every, p), abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_median_and_mad_attach_to_every_row(frame, data, limit):
-    out = q.attach_median_mad(frame, ["g"], "v", max_group_rows=limit)
+def test_nan_is_missing(spark):
+    rows = [("a", float(k)) for k in range(1, 10)] + [("a", float("nan"))] * 3 + [("b", float("nan"))]
+    got = {r["g"]: (r["m"], r["t"]) for r in q.quantile_table(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"m": 0.5, "t": 0.99}).collect()}
+    assert got == {"a": (5.0, pytest.approx(np.quantile(range(1, 10), 0.99))), "b": (None, None)}
+
+
+@LIMITS
+def test_median_and_mad_attach_to_every_row(frame, data, limit, monkeypatch):
+    monkeypatch.setattr(q, "RANKED", limit)
+    out = q.attach_median_mad(frame, ["g"], "v")
     assert out.count() == frame.count()
     got = {r["g"]: (r["m"], r["d"]) for r in out.groupBy("g").agg(F.max("median").alias("m"), F.max("mad").alias("d")).collect()}
     for g, vs in data.items():
@@ -60,10 +73,9 @@ def test_median_band_test_needs_no_median(spark, values, band):
     assert (got["below"], got["above"]) == (m < band[0], m > band[1]) and wide["inside"]
 
 
-@pytest.mark.parametrize("limit", [10**9, 0])
-def test_row_numbers_cover_every_group(spark, limit):
+def test_row_numbers_cover_every_group(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 5000).alias("o")).repartition(7)
-    got = number_rows(df, ["g"], ["o"], max_group_rows=limit)
+    got = number_rows(df, ["g"], ["o"])
     assert got.groupBy("g").agg(F.count_distinct("row_no").alias("d"), F.max("row_no").alias("m"), F.min("row_no").alias("f")).where("d <> m or f <> 1").count() == 0
     by = {}
     for r in got.collect():
@@ -78,3 +90,20 @@ def test_top_per_group_matches_a_sort(spark):
     for r in df.collect():
         by.setdefault(r["g"], []).append(r["o"])
     assert got == sorted((g, o) for g, os in by.items() for o in sorted(os)[:4])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    from thermaweave.functions.lineage import shared_dir
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ranking import number_rows
 from ..operators import combine as c
 from .base import R, query, raw_long, table, with_ctes
 
-MODELS = ["A2", "A0", "A1"]
+MODELS = ["A2", "A0", "A1", "A4", "A3"]
 FLAGS = {"test_site": ["P1", "P2", "P8"], "calibration": ["P2"], "other_region_site": ["P20", "P21"]}
 KEEP = "point_id, lat, lon, aoi, time, variable, stat"
 
@@ -50,14 +51,12 @@ def j5_unknown(spark, sf):
     return c.unknown_sites(states(spark, sf), locations(spark, sf))
 
 
-@query("O3_model_site_date_order", with_ctes("SELECT model, site, count(*) AS n, CAST(row_number() OVER (ORDER BY CASE model WHEN 'A2' THEN 1 WHEN 'A0' THEN 2 ELSE 3 END, site) AS INTEGER) AS position FROM states WHERE model IN ('A0', 'A1', 'A2') GROUP BY 1, 2", "raw", [STATES]))
+@query("O3_model_site_date_order", with_ctes("SELECT model, site, count(*) AS n, CAST(row_number() OVER (ORDER BY CASE model WHEN 'A2' THEN 1 WHEN 'A0' THEN 2 WHEN 'A1' THEN 3 WHEN 'A4' THEN 4 ELSE 5 END, site) AS INTEGER) AS position FROM states GROUP BY 1, 2", "raw", [STATES]))
 def o3(spark, sf):
-    from pyspark.sql import Window
-
-    rows = states(spark, sf).where(F.col("model").isin(MODELS)).groupBy("model", "site").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("date"))
-    # Numbered only to make the order visible to a comparison: one row per model and site.
-    order = Window.partitionBy(F.lit(1)).orderBy(c.model_order(MODELS), "site")
-    return c.in_model_order(rows, MODELS).withColumn("position", F.row_number().over(order)).drop("date")
+    rows = states(spark, sf).groupBy("model", "site").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("date"))
+    # Numbered to make the order visible to a comparison.
+    numbered = number_rows(c.in_model_order(rows, MODELS), [], [c.model_order(MODELS), "site"], "position")
+    return numbered.withColumn("position", F.col("position").cast("int")).drop("date")
 
 
 FLAG_SQL = ", ".join(f"point_id IN ({', '.join(repr(s) for s in v)}) AS {k}" for k, v in FLAGS.items())
@@ -73,26 +72,27 @@ def p10_small(spark, sf):
     return c.benchmark_subset(raw_long(spark, sf), ["eco_sst", "ref_sst"], "nanmean", FLAGS, after="1995-10-01", days_of_month=["01", "10", "20"])
 
 
-@query("U2_stacked_runs", with_ctes(f"SELECT site, date, variable, {R('value')} AS value, CASE model WHEN 'A0' THEN 'north' ELSE 'south' END AS sites, CASE model WHEN 'A0' THEN 'yes' ELSE 'no' END AS converged FROM states WHERE model IN ('A0', 'A3')", "raw", [STATES]))
+@query("U2_stacked_runs", with_ctes(f"SELECT site, date, variable, {R('value')} AS value, CASE model WHEN 'A0' THEN 'north' ELSE 'south' END AS sites, CASE model WHEN 'A0' THEN 'yes' ELSE 'no' END AS converged FROM states", "raw", [STATES]))
 def u2(spark, sf):
     s = states(spark, sf)
     cols = ["site", "date", "variable", "value"]
-    return c.stack_runs([(s.where("model = 'A0'").select(*cols), {"sites": "north", "converged": "yes"}), (s.where("model = 'A3'").select(*cols), {"sites": "south", "converged": "no"})])
+    labels = {m: {"sites": "north", "converged": "yes"} if m == "A0" else {"sites": "south", "converged": "no"} for m in MODELS}
+    return c.stack_runs([(s.where(F.col("model") == m).select(*cols), label) for m, label in labels.items()])
 
 
-@query("U2_benchmark_in_runs", with_ctes(f"SELECT point_id AS site, lat, lon, time AS date, variable, {R('value')} AS value FROM raw WHERE stat = 'nearest' AND value IS NOT NULL AND point_id IN (SELECT site FROM states WHERE model IN ('A0', 'A3'))", "raw", [STATES]))
+@query("U2_benchmark_in_runs", with_ctes(f"SELECT point_id AS site, lat, lon, time AS date, variable, {R('value')} AS value FROM raw WHERE stat = 'nearest' AND value IS NOT NULL AND point_id IN (SELECT site FROM states)", "raw", [STATES]))
 def u2_bench(spark, sf):
     bench = raw_long(spark, sf).where("stat = 'nearest' and value is not null")
     names = {"point_id": "site", "time": "date"}
     bench = bench.select(*[F.col(x).alias(names.get(x, x)) for x in ("point_id", "lat", "lon", "time", "variable", "value")])
-    run_sites = states(spark, sf).where("model in ('A0', 'A3')").select("site").distinct()
+    run_sites = states(spark, sf).select("site").distinct()
     return bench.withColumns({x: F.round(x, 6) for x in ("lat", "lon")}).join(c.small_side(run_sites), "site", "left_semi")
 
 
-@query("U3_observations_with_estimates", with_ctes(f"""SELECT 'data' AS model, CAST(NULL AS VARCHAR) AS run, point_id AS site, time AS date, variable, {R('value')} AS value, CAST(NULL AS DOUBLE) AS se, 'long-term monitoring' AS notes FROM raw WHERE variable = 'ref_sst' AND stat = 'nearest' AND point_id IN ('P1', 'P2')
+@query("U3_observations_with_estimates", with_ctes(f"""SELECT 'data' AS model, CAST(NULL AS VARCHAR) AS run, point_id AS site, time AS date, variable, {R('value')} AS value, CAST(NULL AS DOUBLE) AS se, 'long-term monitoring' AS notes FROM raw WHERE variable = 'ref_sst' AND stat = 'nearest'
 UNION ALL SELECT model, run, site, date, variable, {R('value')}, {R('se')}, NULL FROM states""", "raw", [STATES]))
 def u3(spark, sf):
-    obs = raw_long(spark, sf).where("variable = 'ref_sst' and stat = 'nearest' and point_id in ('P1', 'P2')")
+    obs = raw_long(spark, sf).where("variable = 'ref_sst' and stat = 'nearest'")
     obs = obs.select(F.lit("data").alias("model"), F.col("point_id").alias("site"), F.col("time").alias("date"), "variable", "value", F.lit("long-term monitoring").alias("notes"))
     return c.stack([obs, states(spark, sf)])
 

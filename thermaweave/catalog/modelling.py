@@ -130,7 +130,7 @@ def j13_optional(spark, sf):
 
 # ---- reconstruction -------------------------------------------------------------------------
 
-STEP = 30
+STEP = 1
 
 
 def states(grid):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.exprs import PRIME, STREAMS
 from ..operators import scoring as s
 from ..operators.guards import missing_keys
 from .base import R, celsius_temperatures, extract, query, with_ctes
 from .gridding import grid_ctes, the_grid
 
-REPLICATES = 60
+REPLICATES = 10_000
 SEED = 1
 
 
@@ -139,20 +140,32 @@ def b5(spark, sf):
 # ---- bootstrap ------------------------------------------------------------------------------
 
 
-def md5_sql(*parts: str) -> str:
-    text = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT)"
+def stir_sql(state: str, part: str) -> str:
+    """The step of the library's integer hash."""
+    x = f"(({state}) * 48271 + ({part}) % {PRIME} + 11) % {PRIME}"
+    return f"list_transform([{x}], lambda h: (h * (h + 12345) % {PRIME} * 69621 + 7) % {PRIME})[1]"
+
+
+def streams_sql(seed: int, *parts: str) -> list[str]:
+    out = []
+    for start in STREAMS:
+        x = f"{start + seed}::BIGINT"
+        for p in parts:
+            x = stir_sql(x, p)
+        out.append(x)
+    return out
 
 
 def draw_ctes(source: str = "preds", name: str = "draws", seed: int = SEED, reps: int = REPLICATES, where: str = "true") -> list[tuple[str, str]]:
     stats = ", ".join(f"avg(e_{m} ** 2) AS mse_{m}, avg(e_{m}) AS bias_{m}" for m in s.MODELS)
     errs = ", ".join(f"{c} - obs AS e_{m}" for m, c in s.MODELS.items())
+    x, y = streams_sql(seed, "b", "slot")
     return [
         (f"{name}_e", f"SELECT site AS unit, row_number() OVER (PARTITION BY site ORDER BY date) AS row_no, {errs} FROM {source} WHERE {where}"),
         (f"{name}_u", f"SELECT unit, n_rows, row_number() OVER (ORDER BY unit) AS unit_no, count(*) OVER () AS n_units FROM (SELECT unit, count(*) AS n_rows FROM {name}_e GROUP BY 1)"),
-        (f"{name}_s", f"SELECT b, slot, {md5_sql(str(seed), 'b', 'slot')} % n_units + 1 AS unit_no FROM (SELECT unnest(range({reps})) AS b), (SELECT unit_no - 1 AS slot, n_units FROM {name}_u)"),
-        (f"{name}_d", f"SELECT b, slot, unit, n_rows, unnest(range(n_rows)) AS j FROM {name}_s JOIN {name}_u USING (unit_no)"),
-        (f"{name}_h", f"SELECT b, unit, {md5_sql(str(seed), 'b', 'slot', 'j')} % n_rows + 1 AS row_no FROM {name}_d"),
+        (f"{name}_s", f"SELECT b, x, y, (x * {PRIME} + y) % n_units + 1 AS unit_no FROM (SELECT b, n_units, {x} AS x, {y} AS y FROM (SELECT unnest(range({reps})) AS b), (SELECT unit_no - 1 AS slot, n_units FROM {name}_u))"),
+        (f"{name}_d", f"SELECT b, x, y, unit, n_rows, unnest(range(1, n_rows + 1)) AS j FROM {name}_s JOIN {name}_u USING (unit_no)"),
+        (f"{name}_h", f"SELECT b, unit, ({stir_sql('x', 'j')} * {PRIME} + {stir_sql('y', 'j')}) % n_rows + 1 AS row_no FROM {name}_d"),
         (name, f"SELECT b, count(*) AS n_draws, {stats} FROM {name}_h JOIN {name}_e USING (unit, row_no) GROUP BY b"),
     ]
 
@@ -181,9 +194,11 @@ def b2(spark, sf):
 
 def by_unit_ctes() -> list[tuple[str, str]]:
     stats = ", ".join(f"avg(e_{m} ** 2) AS mse_{m}, avg(e_{m}) AS bias_{m}" for m in s.MODELS)
+    x, y = streams_sql(SEED, "b", "unit_no")
     return [
-        ("bd", f"SELECT unit, b, n_rows, unnest(range(n_rows)) AS j FROM draws_u, (SELECT unnest(range({REPLICATES})) AS b)"),
-        ("bh", f"SELECT b, unit, {md5_sql(str(SEED), 'unit', 'b', 'j')} % n_rows + 1 AS row_no FROM bd"),
+        ("bx", f"SELECT unit, b, n_rows, {x} AS x, {y} AS y FROM draws_u, (SELECT unnest(range({REPLICATES})) AS b)"),
+        ("bd", "SELECT unit, b, n_rows, x, y, unnest(range(1, n_rows + 1)) AS j FROM bx"),
+        ("bh", f"SELECT b, unit, ({stir_sql('x', 'j')} * {PRIME} + {stir_sql('y', 'j')}) % n_rows + 1 AS row_no FROM bd"),
         ("bs", f"SELECT unit, b, {stats} FROM bh JOIN draws_e USING (unit, row_no) GROUP BY 1, 2"), *interval_ctes("bs", "biv", "unit, "),
     ]
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import scratch_path
+from ..functions.lineage import scratch_path, staged
 from ..operators import combine
-from ..operators.grid import split_holdout
+from ..operators.grid import site_ranks, split_holdout
+from ..operators.scoring import skill
 from ..operators.screening import kept, removed
 from ..operators.summaries import kept_removed_frame, variable_summary
 from ..schemas import STATES as STATES_SCHEMA
@@ -15,6 +16,7 @@ from .base import IDS, R, celsius_temperatures, query, raw_long, with_ctes
 from .combining import LOCATIONS, STATES, COMBINED_SQL, locations, states
 from .gridding import GRID_COLS, SITES, SITES_SQL, grid_ctes, the_grid
 from .quality import CHAIN, ID_SQL, ranged
+from .scoring import GROUPED, LEVELS, labelled_preds, skill_cols
 
 RAW_OUT = f"{ID_SQL}, variable, stat, radius_m, {R('value')} AS value"
 
@@ -25,10 +27,10 @@ def r1(spark, sf):
     return rd.read_long(spark, path)
 
 
-@query("R1_read_parquet_extract", with_ctes(f"SELECT variable, count(*) AS n, count(value) AS n_values, {R('avg(value)')} AS mean FROM raw WHERE variable = 'eco_sst' GROUP BY 1", "raw"))
+@query("R1_read_parquet_extract", with_ctes(f"SELECT variable, count(*) AS n, count(value) AS n_values, {R('avg(value)')} AS mean FROM raw GROUP BY 1", "raw"))
 def r1_parquet(spark, sf):
     path = wr.write_table(raw_long(spark, sf), scratch_path(spark, "extract"), partition_by=["variable"])
-    rows = rd.read_long(spark, path, "parquet").where("variable = 'eco_sst'")
+    rows = rd.read_long(spark, path, "parquet")
     return rows.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"), F.avg("value").alias("mean"))
 
 
@@ -41,25 +43,25 @@ def r2(spark, sf):
 
 
 def write_runs(spark, sf):
-    """Every model's and year's reconstruction under <root>/<model>/<run>/states.parquet."""
+    """Every model's and year's reconstruction under <root>/<model>/<run>/states.parquet; (root, what was written)."""
     root = scratch_path(spark, "runs")
-    rows = states(spark, sf).where("model in ('A0', 'A1') and run in ('cfg_1995-06-30', 'cfg_1996-06-30')")
-    for model in ("A0", "A1"):
-        for run in ("cfg_1995-06-30", "cfg_1996-06-30"):
-            part = rows.where((F.col("model") == model) & (F.col("run") == run)).select("date", "site", "variable", "value", "se")
-            wr.write_views({"": part}, f"{root}/{model}/{run}")
-    return root
+    rows = staged(states(spark, sf), "states", ["model", "run"])
+    runs = [(r.model, r.run) for r in rows.select("model", "run").distinct().collect()]  # one row per run
+    for model, run in runs:
+        part = rows.where((F.col("model") == model) & (F.col("run") == run)).select("date", "site", "variable", "value", "se")
+        wr.write_views({"": part.coalesce(1)}, f"{root}/{model}/{run}")
+    return root, runs
 
 
-@query("R4_read_runs_with_labels", with_ctes(f"SELECT model, run, date, site, variable, {R('value')} AS value, {R('se')} AS se FROM states WHERE model IN ('A0', 'A1') AND run IN ('cfg_1995-06-30', 'cfg_1996-06-30')", "raw", [STATES]))
+@query("R4_read_runs_with_labels", with_ctes(f"SELECT model, run, date, site, variable, {R('value')} AS value, {R('se')} AS se FROM states", "raw", [STATES]))
 def r4(spark, sf):
-    root = write_runs(spark, sf)
-    return rd.read_runs(spark, [f"{root}/{m}/{r}/states.parquet" for m in ("A0", "A1") for r in ("cfg_1995-06-30", "cfg_1996-06-30")])
+    root, runs = write_runs(spark, sf)
+    return rd.read_runs(spark, [f"{root}/{m}/{r}/states.parquet" for m, r in runs])
 
 
-@query("R3_run_listing", with_ctes("SELECT DISTINCT model, 'cfg_1996-06-30' AS run FROM states WHERE model IN ('A0', 'A1')", "raw", [STATES]))
+@query("R3_run_listing", with_ctes("SELECT model, max(run) AS run FROM states GROUP BY 1", "raw", [STATES]))
 def r3_listing(spark, sf):
-    return combine.latest_runs(rd.run_registry(spark, write_runs(spark, sf)), "states.parquet")
+    return combine.latest_runs(rd.run_registry(spark, write_runs(spark, sf)[0]), "states.parquet")
 
 
 @query("W1_write_clean_and_removed", with_ctes(f"SELECT {ID_SQL}, variable, {R('value')} AS value, reason, stage IS NULL AS retained FROM f2", "conv", CHAIN[:3]))
@@ -78,31 +80,44 @@ def w2(spark, sf):
     return spark.read.parquet(f"{root}/grid")
 
 
-@query("W3_write_views", with_ctes(f"SELECT date, site, variable, {R('value')} AS value, {R('se')} AS se FROM states WHERE variable = 'ref_sst'", "raw", [STATES]))
+@query("W3_write_views", with_ctes(f"SELECT f AS format, date, site, variable, {R('value')} AS value, {R('se')} AS se FROM states, (VALUES ('parquet'), ('csv')) v(f)", "raw", [STATES]))
 def w3(spark, sf):
     s = states(spark, sf).select("date", "site", "variable", "value", "se")
     root = scratch_path(spark, "views")
-    wr.write_views({"": s.where("variable = 'eco_sst'"), "ref": s.where("variable = 'ref_sst'")}, root, ["parquet", "csv"])
-    return spark.read.schema(STATES_SCHEMA).option("header", True).csv(f"{root}/states_ref_only.csv")
+    wr.write_views({"": s.where("variable <> 'ref_sst'"), "ref": s.where("variable = 'ref_sst'")}, root, ["parquet", "csv"])
+    names = ("states", "states_ref_only")
+    csv = spark.read.schema(STATES_SCHEMA).option("header", True).csv([f"{root}/{n}.csv" for n in names])
+    parquet = spark.read.schema(STATES_SCHEMA).parquet(*[f"{root}/{n}.parquet" for n in names])
+    return parquet.select(F.lit("parquet").alias("format"), "*").unionByName(csv.select(F.lit("csv").alias("format"), "*"))
 
 
-@query("W4_write_model_inputs", with_ctes(f"SELECT date, site, variable, {R('value')} AS value FROM grid WHERE site IN ({SITES_SQL}) AND variable = 'eco_sst'", "conv", grid_ctes()))
+@query("W4_write_model_inputs", with_ctes(f"""SELECT CASE WHEN site IN ({SITES_SQL}) AND variable = 'eco_sst' THEN 'validation' ELSE 'observations' END AS part, date, site, variable, {R('value')} AS value, CAST(NULL AS BIGINT) AS number FROM grid
+UNION ALL SELECT 'design', NULL, site, variable, NULL, row FROM series UNION ALL SELECT 'scales', NULL, site, NULL, NULL, site_index FROM sites""", "conv", grid_ctes()))
 def w4(spark, sf):
     grid = the_grid(spark, sf)
     fit, held = split_holdout(grid.long(), SITES, ["eco_sst"])
     root = scratch_path(spark, "model")
-    written = wr.write_model_inputs(root, grid.sites, grid.series, fit, held)
-    empty = wr.write_model_inputs(scratch_path(spark, "model"), grid.sites, grid.series, fit, held.where("false"))
+    sites = site_ranks(grid.series)
+    written = wr.write_model_inputs(root, sites, grid.series, fit, held)
+    empty = wr.write_model_inputs(scratch_path(spark, "model"), sites, grid.series, fit, held.where("false"))
     assert written and not empty
-    return spark.read.parquet(f"{root}/validation")
+    columns = {"date": "date", "site": "string", "variable": "string", "value": "double", "number": "bigint"}
+    out = None
+    for part, number in (("validation", None), ("observations", None), ("design", "row"), ("scales", "site_index")):
+        read = spark.read.parquet(f"{root}/{part}")
+        read = read.withColumn("number", F.col(number) if number else F.lit(None))
+        read = read.select(F.lit(part).alias("part"), *[(F.col(c) if c in read.columns and not (number and c in ("date", "value")) else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+        out = read if out is None else out.unionByName(read)
+    return out
 
 
-@query("W5_write_scores", with_ctes(f"SELECT variable, count(value) AS n, {R('avg(value)')} AS mean FROM conv WHERE variable IN ('eco_sst', 'lst_sst', 'ref_sst') GROUP BY 1"))
+@query("W5_write_scores", with_ctes(f"SELECT level, unit, model, n, {skill_cols()} FROM sk", "conv", GROUPED))
 def w5(spark, sf):
-    table = celsius_temperatures(spark, sf).groupBy("variable").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    preds, _ = labelled_preds(spark, sf)
+    scores = skill(preds, LEVELS)
     root = scratch_path(spark, "scores")
-    wr.write_scores(root, {"overall": table, "by_site": table})
-    return spark.read.schema("variable string, n bigint, mean double").option("header", True).csv(f"{root}/overall")
+    wr.write_scores(root, {level: scores.where(F.col("level") == level) for level in LEVELS})
+    return spark.read.schema(scores.schema).option("header", True).option("nullValue", "NA").csv([f"{root}/{level}" for level in LEVELS])
 
 
 @query("W6_write_combined", with_ctes(COMBINED_SQL, "raw", [STATES, LOCATIONS]))

@@ -99,9 +99,26 @@ def percent(part, whole, digits: int | None = None) -> Column:
 
 
 def md5_int(*parts) -> Column:
-    """Non-negative integer below 2**32 from the md5 of the '|'-joined parts."""
+    """Non-negative integer below 2**60 from the md5 of the '|'-joined parts."""
     text = F.concat_ws("|", *[_col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+#: The prime of :func:`stir`, and the starts of the two streams of a draw.
+PRIME = 2_147_483_647
+STREAMS = (12_345, 987_654_321)
+
+
+def stir(state, part) -> Column:
+    """One step of an integer hash below :data:`PRIME`: cheap, and the same in any engine with 64-bit integers."""
+    big = lambda n: F.lit(n).cast("bigint")
+    x = (_col(state) * big(48_271) + _col(part) % big(PRIME) + big(11)) % big(PRIME)
+    return (x * (x + big(12_345)) % big(PRIME) * big(69_621) + big(7)) % big(PRIME)
+
+
+def draw(first, second) -> Column:
+    """A number below 2**62 from two stirred streams."""
+    return _col(first).cast("bigint") * F.lit(PRIME) + _col(second)
 
 
 def warming_covariate(hour, wind) -> Column:

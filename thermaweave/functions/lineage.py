@@ -18,9 +18,15 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a private one is set only where none is configured."""
+    """The session's checkpoint folder. Only a session that runs in one process may do without: it gets a private one.
+
+    On a cluster a folder of its own would be local to each executor, so a missing setting is an error there.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master is {master})")
         configured = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)

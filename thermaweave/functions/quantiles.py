@@ -1,160 +1,120 @@
 """Exact quantiles that do not need a whole group in one task.
 
-``percentile`` buffers every distinct value of a group on one executor. It is used here only
-after the largest group was counted and found small. Beyond that, the quantile is located in
-three map-side-combined steps: a mergeable rank sketch brackets each wanted rank, rows below
-the bracket are only counted, and just the bracket's distinct values are ranked.
-The result is the same linear-interpolation quantile on both ways.
+``percentile`` buffers every distinct value of a group on one executor. Here each wanted rank is
+first enclosed: a mergeable sketch of a group's values gives a bracket, counts give what lies below and inside it,
+and this repeats inside the bracket until a fixed number of values is left (or all are equal). Only
+these are ranked. A group that has no more values from the start is ranked at once, by the same code.
+NULL and NaN are missing; a group without values has NULL quantiles.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .exprs import MAD_FACTOR
-from .lineage import null_safe_join, small_side
+from .lineage import cut, null_safe_join, small_side
 
-#: Largest group (rows) that one task may buffer or sort.
-MAX_GROUP_ROWS = 2_000_000
-#: Rank accuracy of the bracketing sketch: relative rank error 1/ACCURACY.
+#: Values of one bracket that a task ranks.
+RANKED = 10_000
+#: Steps of the sketch's grid: a round narrows a bracket to a few of them.
+GRID = 128
+#: Relative rank error of the sketch is one in so many, far below a step.
 ACCURACY = 10_000
 
 
-def largest_group(df: DataFrame, keys: list[str], value: str | None = None) -> int:
-    """Rows in the biggest group (one partial aggregate, one number to the driver)."""
-    rows = df if value is None else df.where(F.col(value).isNotNull())
-    if not keys:
-        return rows.count()
-    top = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(top or 0)
-
-
-def quantile_table(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    max_group_rows: int = MAX_GROUP_ROWS,
-    group_rows: int | None = None,
-) -> DataFrame:
-    """One row per key with exact quantiles of ``value``; NULLs are ignored."""
-    size = largest_group(df, keys, value) if group_rows is None else group_rows
-    if size > max_group_rows:
-        return _bracketed(df, keys, value, probs)
-    both = df.groupBy(*keys).agg(F.percentile(F.col(value), F.array(*map(F.lit, probs.values()))).alias("_q"))
-    return both.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-
-
-def pooled_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], max_group_rows: int = MAX_GROUP_ROWS, group_rows: int | None = None,
-) -> dict[str, float]:
+def present(value):
+    """The column as a double with NaN folded to NULL."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.nanvl(v.cast("double"), F.lit(None).cast("double"))
+
+
+def _cut_with_most(state: DataFrame) -> tuple[DataFrame, int]:
+    seen = Observation()
+    table = cut(state.observe(seen, F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_inside"))).alias("most")))
+    return table, int(seen.get.get("most") or 0)
+
+
+def quantile_table(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """One row per key with exact linear-interpolation quantiles of ``value``."""
+    by = list(keys) or ["_all"]
+    vals = df.select(*(keys or [F.lit(1).alias("_all")]), present(value).alias("_v"))
+    inf = F.lit(math.inf)
+    start = vals.groupBy(*by).agg(F.count("_v").alias("_n"))
+    start = start.select(*by, "_n", (-inf).alias("_lo"), inf.alias("_hi"), F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside"))
+    state, most = _cut_with_most(start)
+    whole = state.select(*by)
+    position = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    within = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+
+    def rows(brackets: DataFrame) -> DataFrame:
+        """Values beside each of their key's brackets."""
+        per_key = brackets.groupBy(*by, "_n").agg(F.collect_list(F.struct("_lo", "_hi", "_below", "_inside")).alias("_b"))  # one a quantile at most
+        joined = null_safe_join(vals.where(F.col("_v").isNotNull()), small_side(per_key), by, "inner")
+        return joined.select(*by, "_v", "_n", F.explode("_b").alias("b")).select(*by, "_v", "_n", "b.*")
+
+    while most > RANKED:
+        wide = (F.col("_inside") > RANKED) & (F.col("_lo") < F.col("_hi"))
+        grid = F.percentile_approx("_v", [k / GRID for k in range(GRID + 1)], ACCURACY)
+        sketch = rows(state.where(wide)).where(within).groupBy(*by, "_n", "_lo", "_hi", "_below", "_inside").agg(grid.alias("_e"))
+        inner = []
+        for p in position.values():
+            rank = F.floor(p)
+            first = F.floor((rank - F.col("_below")) / F.col("_inside") * GRID).cast("int") - 1
+            last = F.ceil((rank + 2 - F.col("_below")) / F.col("_inside") * GRID).cast("int") + 1
+            low = F.when(first < 1, F.col("_lo")).otherwise(F.element_at("_e", F.greatest(first, F.lit(0)) + 1))
+            high = F.when(last > GRID, F.col("_hi")).otherwise(F.element_at("_e", F.least(last, F.lit(GRID)) + 1))
+            here = (rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_inside"))
+            inner.append(F.when(here, F.struct(low.alias("_lo"), high.alias("_hi"))))
+        fresh = sketch.select(*by, "_n", F.explode(F.array_distinct(F.array_compact(F.array(*inner)))).alias("b")).select(*by, "_n", "b.*")
+        fresh = fresh.withColumns({"_below": F.lit(0).cast("bigint"), "_inside": F.lit(0).cast("bigint")})
+        counted = rows(fresh).groupBy(*by, "_n", "_lo", "_hi").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(within).alias("_inside"))
+        narrowed, now = _cut_with_most(state.where(~wide).unionByName(counted))
+        state, before, most = narrowed, most, now
+        if 2 * most > before:
+            break  # what is left is few values, very often each
+    cells = rows(state).where(within).groupBy(*by, "_n", "_lo", "_hi", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy(*by, "_lo", "_hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("_to", F.col("_below") + F.sum("_c").over(order))
+
+    def at(rank):
+        return F.max(F.when((F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+    picks = []
+    for name, p in position.items():
+        low = F.floor(p)
+        picks += [at(low).alias(f"_a_{name}"), at(F.least(low + 1, F.col("_n") - 1)).alias(f"_z_{name}"), F.max(p - low).alias(f"_f_{name}")]
+    found = ranked.groupBy(*by).agg(*picks)
+    out = []
+    for name in probs:
+        a, z, f = F.col(f"_a_{name}"), F.col(f"_z_{name}"), F.col(f"_f_{name}")
+        missed = F.raise_error("a quantile's bracket missed its rank").cast("double")
+        out.append(F.when(a.isNotNull() & z.isNotNull(), F.when(a == z, a).otherwise(a + f * (z - a))).when(f.isNotNull(), missed).alias(name))
+    return null_safe_join(whole, found.select(*by, *out), by).select(*keys, *probs)
+
+
+def pooled_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> dict[str, float]:
     """Quantiles over all rows as a handful of driver-side numbers."""
-    row = quantile_table(df, [], value, probs, max_group_rows, group_rows).first()
+    row = quantile_table(df, [], value, probs).first()
     return {name: (row[name] if row else None) for name in probs}
 
 
-def attach_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    max_group_rows: int = MAX_GROUP_ROWS,
-    group_rows: int | None = None,
-) -> DataFrame:
-    """``df`` with its group's exact quantiles of ``value`` as extra columns.
-
-    Small groups: one window over ``keys``, so several calls and a following ``groupBy(keys)``
-    share a single shuffle. Large groups: bracketed table joined back on the keys.
-    """
+def attach_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """``df`` with its group's exact quantiles of ``value`` as extra columns, by a join to the table of groups."""
     if not keys:
-        fixed = pooled_quantiles(df, value, probs, max_group_rows, group_rows)
+        fixed = pooled_quantiles(df, value, probs)
         return df.select("*", *[F.lit(fixed[name]).cast("double").alias(name) for name in probs])
-    size = largest_group(df, keys, value) if group_rows is None else group_rows
-    if size <= max_group_rows:
-        over = Window.partitionBy(*keys)
-        q = F.percentile(F.col(value), F.array(*map(F.lit, probs.values()))).over(over)
-        out = df.withColumn("_q", q)
-        return out.select(*df.columns, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-    table = small_side(quantile_table(df, keys, value, probs, max_group_rows, size))
-    return null_safe_join(df, table, keys).select(*df.columns, *probs)
-
-
-def attach_median_mad(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    median: str = "median",
-    mad: str = "mad",
-    max_group_rows: int = MAX_GROUP_ROWS,
-    group_rows: int | None = None,
-) -> DataFrame:
-    """Group median and scaled median absolute deviation as extra columns."""
-    if group_rows is None:
-        group_rows = largest_group(df, keys, value)
-    out = attach_quantiles(df, keys, value, {median: 0.5}, max_group_rows, group_rows)
-    out = out.withColumn("__dev", F.abs(F.col(value) - F.col(median)))
-    out = attach_quantiles(out, keys, "__dev", {"__half": 0.5}, max_group_rows, group_rows)
-    return out.withColumn(mad, F.lit(MAD_FACTOR) * F.col("__half")).drop("__dev", "__half")
-
+    return null_safe_join(df, small_side(quantile_table(df, keys, value, probs)), keys).select(*df.columns, *probs)
 
-def _bracketed(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
-    margin = 4.0 / accuracy
-    names = list(probs)
-    vals = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    edges = [max(p - margin, 0.0) for p in probs.values()] + [min(p + margin, 1.0) for p in probs.values()]
-    sketch = vals.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
-    )
-    inf = F.lit(math.inf)
-    brackets = []
-    for i, p in enumerate(probs.values()):
-        # A group no larger than the sketch resolution is ranked whole.
-        exact = F.col("_n") <= F.lit(accuracy)
-        low = F.when(exact | F.lit(p <= margin), -inf).otherwise(F.col("_e")[i])
-        high = F.when(exact | F.lit(p >= 1.0 - margin), inf).otherwise(F.col("_e")[len(names) + i])
-        brackets.append(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high")))
-    sketch = sketch.select(*keys, "_n", F.array(*brackets).alias("_b"))
-
-    if keys:
-        rows = null_safe_join(vals, small_side(sketch), keys, "inner")
-    else:
-        one = sketch.first()
-        if not one["_n"]:
-            return sketch.select(*[F.lit(None).cast("double").alias(n) for n in names])
-        rows = vals.select(
-            "_v",
-            F.lit(one["_n"]).alias("_n"),
-            F.array(*[F.struct(F.lit(b["i"]).alias("i"), F.lit(b["p"]).alias("p"), F.lit(b["low"]).alias("low"), F.lit(b["high"]).alias("high")) for b in one["_b"]]).alias("_b"),
-        )
-    # Rows above a bracket never matter; rows below it collapse to one count per task.
-    cells = (
-        rows.select(*keys, "_n", "_v", F.explode("_b").alias("b"))
-        .where(F.col("_v") <= F.col("b.high"))
-        .groupBy(*keys, "_n", F.col("b.i").alias("_i"), F.col("b.p").alias("_p"), F.when(F.col("_v") >= F.col("b.low"), F.col("_v")).alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    order = Window.partitionBy(*keys, "_i").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cells.withColumn("_to", F.sum("_c").over(order))
-    position = (F.col("_n") - 1) * F.col("_p")
-    floor_rank = F.floor(position)
-    ceil_rank = F.least(floor_rank + 1, F.col("_n") - 1)
 
-    def at(rank):
-        return F.max(F.when((F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to")), F.col("_x")))
-
-    picked = ranked.groupBy(*keys, "_i").agg(
-        at(floor_rank).alias("_a"), at(ceil_rank).alias("_z"), F.first(position - floor_rank).alias("_f")
-    )
-    found = F.col("_a").isNotNull() & F.col("_z").isNotNull()
-    exact = F.when(found, F.col("_a") + F.col("_f") * (F.col("_z") - F.col("_a"))).otherwise(
-        F.raise_error("quantile bracket missed its rank").cast("double")
-    )
-    picked = picked.select(*keys, "_i", exact.alias("_q"))
-    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
+def attach_median_mad(df: DataFrame, keys: list[str], value: str, median: str = "median", mad: str = "mad") -> DataFrame:
+    """Group median and scaled median absolute deviation as extra columns."""
+    out = attach_quantiles(df, keys, value, {median: 0.5})
+    out = out.withColumn("__dev", F.abs(present(value) - F.col(median)))
+    out = attach_quantiles(out, keys, "__dev", {"__half": 0.5})
+    return out.withColumn(mad, F.lit(MAD_FACTOR) * F.col("__half")).drop("__dev", "__half")
 
 
 def median_within(df: DataFrame, value: str, *bands: tuple[float, float]) -> list[dict]:

@@ -6,21 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import null_safe_join, small_side, staged
-from .quantiles import MAX_GROUP_ROWS, largest_group
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list, name: str = "row_no", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list, name: str = "row_no") -> DataFrame:
     """1-based position of each row in its group.
 
-    Small groups use a window. Otherwise rows are range-partitioned by (keys, order), which
-    spreads one group over many tasks; each task numbers its own slice and a small table of
-    slice sizes supplies the offset.
+    Rows are range-partitioned by (keys, order), which spreads one group over many tasks; each
+    task numbers its own slice and a small table of slice sizes supplies the offset.
     """
-    if largest_group(df, keys) <= max_group_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     cols = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(parts, *cols).sortWithinPartitions(*cols)
+    spread = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
     spread = staged(spread.withColumn("_id", F.monotonically_increasing_id()), "ranked")
     slice_no = F.shiftright("_id", 33)
     slices = spread.groupBy(*keys, slice_no.alias("_slice")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))

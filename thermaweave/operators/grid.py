@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SEASON_DAYS, finite, harmonic_terms
-from ..functions.lineage import cut_counted, null_safe_join, small_side
-from ..functions.quantiles import MAX_GROUP_ROWS, attach_quantiles
+from ..functions.lineage import cut, null_safe_join, small_side
+from ..functions.quantiles import quantile_table
 from ..functions.ranking import number_rows
 from .labelling import require_columns
 
@@ -85,34 +85,28 @@ def build_grid(
     present = rows.where(finite("value").isNotNull() | F.col("value").isin(float("inf"), float("-inf")))
     present = present.select("variable", "site", F.floor(F.datediff("date", F.lit(span["a"])) / F.lit(time_step)).cast("int").alias("bin"), "value")
     if agg == "median":
-        cells = attach_quantiles(present, keys, "value", {"_q": 0.5}).groupBy(*keys).agg(F.max("_q").alias("value"))
+        cells = quantile_table(present, keys, "value", {"_q": 0.5}).select(*keys, F.col("_q").alias("value"))
     elif agg in AGGREGATES:
         cells = present.groupBy(*keys).agg(AGGREGATES[agg]("value").alias("value"))
     else:
         raise ValueError(f"agg must be one of median, {', '.join(AGGREGATES)}")
 
-    pairs, n_pairs = cut_counted(present.select("variable", "site").distinct())
-    series = index_series(pairs, variables, n_pairs)
+    pairs = cut(present.select("variable", "site").distinct())
+    series = index_series(pairs, variables)
     sites = rows.select("site").distinct()
     wanted = sites.select("site", F.explode(F.array(*map(F.lit, variables))).alias("variable"))
     dropped = null_safe_join(wanted, pairs, ["variable", "site"], "left_anti").select("variable", "site")
     return Grid(cells, series, sites, dropped, span["a"], int(last_bin), int(time_step))
 
 
-def index_series(pairs: DataFrame, variables: list[str], n_pairs: int, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def index_series(pairs: DataFrame, variables: list[str]) -> DataFrame:
     """Row numbers in caller's variable order, sites sorted inside, and the index of each site.
 
-    ``pairs`` is the series dimension; it is ranked in one task only when its counted size allows.
+    ``pairs`` is the series dimension, ranked by range partitions.
     """
     order = F.array_position(F.array(*map(F.lit, variables)), F.col("variable"))
-    if n_pairs <= max_group_rows:
-        one = Window.partitionBy(F.lit(1))
-        rows = pairs.select(
-            "variable", "site", F.row_number().over(one.orderBy(order, "site")).cast("bigint").alias("row"),
-            F.dense_rank().over(one.orderBy("site")).cast("bigint").alias("site_index"))
-    else:
-        rows = number_rows(pairs.select("variable", "site"), [], [order, "site"], "row", max_group_rows)
-        rows = rows.join(small_side(site_ranks(pairs)), "site")
+    rows = number_rows(pairs.select("variable", "site"), [], [order, "site"], "row")
+    rows = rows.join(small_side(site_ranks(pairs)), "site")
     return small_side(rows.select("row", F.concat_ws("_", "variable", "site").alias("row_key"), "variable", "site", "site_index"))
 
 

@@ -31,6 +31,13 @@ def _listed(values) -> list:
     return list(values) if isinstance(values, (list, tuple, set)) else [values]
 
 
+def missing_as_null(df: DataFrame, column: str) -> Column:
+    """The column with NaN folded to NULL: both stand for a missing value, and NaN would sort above every number."""
+    if df.schema[column].dataType.typeName() not in ("double", "float"):
+        return F.col(column)
+    return F.when(~F.isnan(column), F.col(column))
+
+
 def spec_predicate(spec: dict) -> Column:
     """Conjunction of column memberships; a NULL cell never matches."""
     out = F.lit(True)
@@ -58,7 +65,7 @@ def label_variables(df: DataFrame, specs: dict[str, dict], value_col: str = "val
     return (
         rows.withColumn("_label", label)
         .where(F.col("_label").isNotNull())
-        .select(*kept, F.col("_label").alias("variable"), F.col(value_col).alias("value"))
+        .select(*kept, F.col("_label").alias("variable"), missing_as_null(rows, value_col).alias("value"))
     )
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_FACTOR, correlation, percent
 from ..functions.lineage import BROADCAST_ROWS, cut, cut_counted, small_side, staged
-from ..functions.quantiles import MAX_GROUP_ROWS, attach_median_mad, attach_quantiles, largest_group
+from ..functions.quantiles import attach_median_mad, attach_quantiles
 from .labelling import id_columns, require_columns
 from .screening import DIAGNOSTICS, MATCH_STAGE, alive, begin, mark, per_key, pivot_keys
 
@@ -99,7 +99,7 @@ def match_up_differences(
 def match_up_variance(
     df: DataFrame, targets: list[str], references: list[str], pairs: str = "cross", ids: list[str] | None = None,
     by: list[str] | None = None, valid_range: tuple[float, float] | None = None, trim: float | None = None,
-    min_n: int = 10, max_group_rows: int = MAX_GROUP_ROWS,
+    min_n: int = 10,
 ) -> DataFrame:
     """Bias, spread, quantiles, correlation and trimmed spread of target - reference, pooled and by group."""
     diffs = match_up_differences(df, targets, references, pairs, ids, by, valid_range)
@@ -107,15 +107,14 @@ def match_up_variance(
     diffs = staged(diffs.select("target", "reference", group_label(by).alias("_g"), "target_value", "ref_value", "diff"), "differences")
     rows = with_levels(diffs, F.col("_g"), pooled_only=not by)
     rows = rows.select("target", "reference", "pooled", "group", "target_value", "ref_value", "diff")
-    return spread_statistics(rows, ["target", "reference", "pooled", "group"], trim, min_n, max_group_rows)
+    return spread_statistics(rows, ["target", "reference", "pooled", "group"], trim, min_n)
 
 
-def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = None, min_n: int = 10, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = None, min_n: int = 10) -> DataFrame:
     """The statistic block of :func:`match_up_variance` for prepared ``diff`` rows."""
-    size = largest_group(rows, keys, "diff")
-    rows = attach_quantiles(rows, keys, "diff", {"p025": 0.025, "median_bias": 0.5, "p975": 0.975}, max_group_rows, size)
+    rows = attach_quantiles(rows, keys, "diff", {"p025": 0.025, "median_bias": 0.5, "p975": 0.975})
     rows = rows.withColumn("_dev", F.abs(F.col("diff") - F.col("median_bias")))
-    rows = attach_quantiles(rows, keys, "_dev", {"_mad": 0.5}, max_group_rows, size)
+    rows = attach_quantiles(rows, keys, "_dev", {"_mad": 0.5})
     rows = rows.withColumn("rsd", F.lit(MAD_FACTOR) * F.col("_mad"))
     d, y, x = F.col("diff"), F.col("target_value"), F.col("ref_value")
     base = [
@@ -124,13 +123,8 @@ def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = Non
         F.stddev_samp(y).alias("_sy"), F.stddev_samp(x).alias("_sx"), correlation(y, x).alias("_r"), F.regr_slope(y, x).alias("_b"),
     ]
     names = ["bias", "sd", "rmsd", "median_bias", "rsd", "p025", "p975"]
-    one_pass = size <= max_group_rows
     if trim is not None:
         width = F.col("rsd")
-        if one_pass:
-            # A robust spread of zero falls back to the ordinary one, taken over the same window partition.
-            width = F.coalesce(F.when(F.col("rsd") > 0, F.col("rsd")), F.col("_sd"))
-            rows = rows.withColumn("_sd", F.stddev_samp("diff").over(Window.partitionBy(*keys)))
         near = F.col("_dev") <= F.lit(float(trim)) * width
         base += [F.count_if(near).alias("_nt"), F.stddev_samp(F.when(near, d)).alias("_st")]
     out = rows.groupBy(*keys).agg(*base)
@@ -140,9 +134,7 @@ def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = Non
             F.when(varied, F.col("_r")).alias("r"), F.when(varied, F.col("_b")).alias("slope_ols")]
     if trim is None:
         return out.select(*cols)
-    if one_pass:
-        n_trim = F.when(enough, F.col("_nt"))
-        return out.select(*cols, n_trim.alias("n_trim"), F.when(enough & (n_trim >= 2), F.col("_st")).alias("sd_trim"))
+    # A robust spread of zero falls back to the ordinary one.
     flat = small_side(out.where(enough & (F.col("rsd") == 0)).select(*keys, "sd", F.col("median_bias").alias("_m")))
     redo = rows.select(*keys, "diff").join(flat, keys).groupBy(*keys).agg(
         F.count_if(F.abs(d - F.col("_m")) <= F.lit(float(trim)) * F.col("sd")).alias("_nt2"),
@@ -158,7 +150,7 @@ def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = Non
 # ---- fits -----------------------------------------------------------------------------------
 
 
-def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None, max_group_rows: int) -> DataFrame:
+def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None) -> DataFrame:
     """Huber M-estimate of a line per key by reweighted sums: one aggregate per iteration.
 
     Starts from least squares; the scale of each step is ``median(|r|) / 0.6745``. A key stops
@@ -184,12 +176,11 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None, max_
     a, b = solve(start)
     active, n_active = cut_counted(start.where(F.col("lo") < F.col("hi")).select(*keys, a.alias("a"), b.alias("b")))
     finished = None
-    size = largest_group(rows, keys, "_y")
     for _ in range(IRLS_STEPS):
         if n_active == 0:
             break
         cur = rows.join(F.broadcast(active) if n_active <= BROADCAST_ROWS else active, keys).withColumn("_r", y - F.col("a") - F.col("b") * x).withColumn("_ar", F.abs(F.col("_r")))
-        cur = attach_quantiles(cur, keys, "_ar", {"_m": 0.5}, max_group_rows, size).withColumn("_s", F.col("_m") / F.lit(MAD_DIVISOR))
+        cur = attach_quantiles(cur, keys, "_ar", {"_m": 0.5}).withColumn("_s", F.col("_m") / F.lit(MAD_DIVISOR))
         weight = F.when(F.col("_ar") <= F.lit(HUBER_K) * F.col("_s"), F.lit(1.0)).otherwise(F.lit(HUBER_K) * F.col("_s") / F.col("_ar"))
         sums = cur.groupBy(*keys).agg(
             F.max("a").alias("a0"), F.max("b").alias("b0"), F.max("_s").alias("scale"), F.count(F.lit(1)).alias("n"),
@@ -215,7 +206,7 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None, max_
 
 def fit_match_up(
     df: DataFrame, min_n: int = 30, scale: str = "mad", center: str = "median", slope: float | None = 1.0, intercept: float | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS, group_rows: int | None = None, single: bool = False,
+    single: bool = False,
 ) -> DataFrame:
     """Line and scale per group from columns ``_grp``, ``_y``, ``_x``, ``_use``; one small table.
 
@@ -230,7 +221,6 @@ def fit_match_up(
     use = F.col("_use") & F.col("_y").isNotNull() & F.col("_x").isNotNull()
     base = df.select("_grp", F.when(use, F.col("_y")).alias("_y"), F.when(use, F.col("_x")).alias("_x"))
     rows = with_levels(base, F.col("_grp"), single).where("pooled or group is not null").select(*keys, "_y", "_x")
-    size = largest_group(rows, keys) if group_rows is None else group_rows
     x, y = F.col("_x"), F.col("_y")
     fix_b, fix_a = slope is not None, intercept is not None
     fixed = {(True, True): "slope + intercept", (True, False): "slope", (False, True): "intercept", (False, False): "none"}[fix_b, fix_a]
@@ -239,12 +229,12 @@ def fit_match_up(
     elif fix_b:
         off = rows.withColumn("b", F.lit(float(slope))).withColumn("_d", y - F.col("b") * x)
         if center == "median":
-            lined = attach_quantiles(off, keys, "_d", {"a": 0.5}, max_group_rows, size)
+            lined = attach_quantiles(off, keys, "_d", {"a": 0.5})
         else:
             lined = off.join(small_side(off.groupBy(*keys).agg(F.avg("_d").alias("a"))), keys)
     elif center == "median":
         used = rows.where(F.col("_y").isNotNull())
-        lined = rows.join(small_side(_huber_lines(used, keys, intercept, max_group_rows)), keys, "left")
+        lined = rows.join(small_side(_huber_lines(used, keys, intercept)), keys, "left")
     elif fix_a:
         a = float(intercept)
         sums = rows.groupBy(*keys).agg((F.sum(x * (y - F.lit(a))) / F.nullif(F.sum(x * x), F.lit(0.0))).alias("b"), F.min(x).alias("lo"), F.max(x).alias("hi"))
@@ -254,7 +244,7 @@ def fit_match_up(
         lined = rows.join(small_side(sums), keys, "left")
     lined = lined.withColumn("_r", y - F.col("a") - F.col("b") * x)
     if scale == "mad":
-        lined = attach_median_mad(lined, keys, "_r", "_rm", "_mad", max_group_rows, size)
+        lined = attach_median_mad(lined, keys, "_r", "_rm", "_mad")
     else:
         lined = lined.withColumn("_mad", F.lit(None).cast("double"))
     fits = lined.groupBy(*keys).agg(
@@ -278,7 +268,6 @@ def screen_match_up(
     df: DataFrame, target: str, reference: str, lower: float = 2.58, upper: float | None = 3.0, slope: float | None = 1.0,
     intercept: float | None = None, ids: list[str] | None = None, by: list[str] | None = None, passes: int = 1, scale: str = "mad",
     center: str = "median", keep_na: bool = True, min_n: int = 30, step: int = 1, log: list | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Reject target rows whose residual from the reference leaves ``(-lower * s, upper * s)``.
 
@@ -331,13 +320,13 @@ def screen_match_up(
     work, keep = pairs, F.lit(True)
     tables = []
     for p in range(1, passes + 1):
-        table = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows, counts["n_rows"], not by)
+        table = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, not by)
         tables.append(table)
         if log is not None:
             log.append(table.select(F.lit(p).alias("pass"), "*", F.lit(scale).alias("scale_est"), F.lit(center).alias("center_est")))
         work = joined(table, p, work)
         keep = keep & inside(p)
-    final = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, max_group_rows, counts["n_rows"], not by)
+    final = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, not by)
 
     out = keyed.withColumns({"_y": F.when(alive(target), F.col("value")), "_x": F.col("_ref"), "_grp": group_label(by)})
     for p, table in enumerate(tables, start=1):

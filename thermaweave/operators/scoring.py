@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import correlation, md5_int
-from ..functions.lineage import cut, small_side
+from ..functions.exprs import STREAMS, correlation, draw, stir
+from ..functions.lineage import cut, small_side, staged
 from ..functions.quantiles import quantile_table
 from ..functions.ranking import number_rows
 from .matchup import POOLED
@@ -118,39 +118,70 @@ def group_contrast(scores: DataFrame, group_a: str, group_b: str) -> DataFrame:
 # ---- bootstrap ------------------------------------------------------------------------------
 
 
+def _units(preds: DataFrame, unit: str, time: str) -> DataFrame:
+    """One row per unit: its number (from 1), its number of rows, and its errors as arrays in order of time.
+
+    A unit has at most one row per date, so an array is bounded by the date axis.
+    """
+    errors = [(F.col(c) - F.col("obs")).alias(f"e_{m}") for m, c in MODELS.items()]
+    rows = preds.select(F.col(unit).alias("unit"), F.col(time).alias("_t"), *errors)
+    packed = rows.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("_t", *[f"e_{m}" for m in MODELS]))).alias("_e"))
+    packed = staged(packed.select("unit", F.size("_e").cast("bigint").alias("n_rows"), *[F.col(f"_e.e_{m}").alias(f"e_{m}") for m in MODELS]), "units")
+    return packed.join(number_rows(packed.select("unit"), [], ["unit"], "unit_no"), "unit")
+
+
+def _redrawn(slots: DataFrame) -> DataFrame:
+    """Sums of errors and squares over ``n_rows`` draws from each row's own arrays.
+
+    Draw ``j`` goes on from the row's two streams ``_x`` and ``_y``. Everything happens inside one expression of
+    the row: draws are never rows.
+    """
+    js = F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))
+    picks = F.transform(js, lambda j: (draw(stir("_x", j), stir("_y", j)) % F.col("n_rows") + 1).cast("int"))
+    out = slots.withColumn("_i", picks)
+
+    def total(of) -> Column:
+        return F.aggregate("_i", F.lit(0.0), lambda a, i: a + of(i))
+
+    sums = []
+    for m in MODELS:
+        own = F.col(f"e_{m}")
+        sums += [total(lambda i, own=own: F.element_at(own, i)).alias(f"s_{m}"), total(lambda i, own=own: F.element_at(own, i) * F.element_at(own, i)).alias(f"q_{m}")]
+    return out.select("b", "unit", "n_rows", *sums)
+
+
+def _statistics(sums: DataFrame, keys: list[str]) -> DataFrame:
+    n = F.sum("n_rows")
+    stats = [(F.sum(f"q_{m}") / n).alias(f"mse_{m}") for m in MODELS] + [(F.sum(f"s_{m}") / n).alias(f"bias_{m}") for m in MODELS]
+    return sums.groupBy(*keys).agg(n.alias("n_draws"), *stats)
+
+
+def _streams(seed: int, *parts) -> dict[str, Column]:
+    out = {}
+    for name, start in zip(("_x", "_y"), STREAMS):
+        x = F.lit(start + seed).cast("bigint")
+        for p in parts:
+            x = stir(x, p)
+        out[name] = x
+    return out
+
+
 def bootstrap_draws(preds: DataFrame, replicates: int, seed: int = 1, unit: str = "site", time: str = "date") -> DataFrame:
     """Per replicate: MSE and bias of the three models on a two-stage resample.
 
-    Stage one draws as many units as there are, with replacement; stage two draws each drawn
-    unit's rows with replacement. Draw ``j`` of slot ``i`` of replicate ``b`` is the md5 of
-    (seed, b, i, j) modulo the pool size, so any task can make it alone and a lost task redraws the
-    same. One draw scores every model and both statistics. Draws are consumed inside the map
-    stage: only sums per replicate are shuffled.
+    Stage one draws as many units as there are, with replacement; stage two draws each drawn unit's rows with
+    replacement. All draws are an integer hash of (seed, replicate, slot, draw), so any task can make them alone and a lost
+    task redraws the same. One draw scores every model and both statistics. Only (replicate, slot) rows meet the units,
+    by unit number: replicates times units, never times rows.
     """
-    errors = [(F.col(c) - F.col("obs")).alias(f"e_{m}") for m, c in MODELS.items()]
-    rows = cut(number_rows(preds.select(F.col(unit).alias("unit"), F.col(time).alias("_t"), *errors), ["unit"], ["_t"], "row_no"))
-    sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n_rows"))
-    units = cut(number_rows(sizes, [], ["unit"], "unit_no"))
+    units = staged(_units(preds, unit, time), "numbered")
     n_units = units.count()
-    slots = units.sparkSession.range(replicates).withColumnRenamed("id", "b").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_units - 1))))
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = units.sparkSession.range(replicates * n_units)
+    slots = slots.select(F.floor(F.col("id") / F.lit(max(n_units, 1))).cast("bigint").alias("b"), (F.col("id") % F.lit(max(n_units, 1))).alias("slot"))
+    slots = slots.withColumns(_streams(seed, "b", "slot"))
     # With one unit there is nothing to draw at the first stage: the pool has size one.
-    slots = slots.withColumn("unit_no", md5_int(F.lit(seed), "b", "slot") % F.lit(n_units) + 1)
-    drawn = _expand(slots.join(small_side(units), "unit_no"), ["b", "slot"], parts)
-    drawn = drawn.withColumn("row_no", md5_int(F.lit(seed), "b", "slot", "j") % F.col("n_rows") + 1)
-    hit = drawn.select("b", "unit", "row_no").join(small_side(rows.drop("_t")), ["unit", "row_no"])
-    stats = [F.avg(F.col(f"e_{m}") * F.col(f"e_{m}")).alias(f"mse_{m}") for m in MODELS] + [F.avg(f"e_{m}").alias(f"bias_{m}") for m in MODELS]
-    return hit.groupBy("b").agg(F.count(F.lit(1)).alias("n_draws"), *stats)
-
-
-def _expand(slots: DataFrame, keys: list[str], parts: int, chunk: int = 10_000) -> DataFrame:
-    """A row per draw ``j`` below ``n_rows``, in chunks spread over tasks, so that a hot unit is
-    neither one array nor one task."""
-    blocks = slots.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_rows") - 1) / F.lit(chunk)))))
-    blocks = blocks.repartition(parts, *keys, "_k")
-    first = F.col("_k") * F.lit(chunk)
-    last = F.least(first + F.lit(chunk - 1), F.col("n_rows") - 1)
-    return blocks.withColumn("j", F.explode(F.sequence(first, last))).drop("_k")
+    slots = slots.withColumn("unit_no", draw("_x", "_y") % F.lit(max(n_units, 1)) + 1)
+    return _statistics(_redrawn(slots.join(units, "unit_no")), ["b"])
 
 
 def bootstrap_intervals(draws: DataFrame, alpha: float = 0.05, alpha2: float = 0.10, keys: list[str] = ()) -> DataFrame:
@@ -186,15 +217,10 @@ def score_table(preds: DataFrame, replicates: int, seed: int = 1, alpha: float =
 
 def bootstrap_by_unit(preds: DataFrame, replicates: int, seed: int = 1, alpha: float = 0.05, alpha2: float = 0.10, unit: str = "site", time: str = "date") -> DataFrame:
     """Intervals for every unit on its own, all units at once: rows are redrawn within the unit."""
-    errors = [(F.col(c) - F.col("obs")).alias(f"e_{m}") for m, c in MODELS.items()]
-    rows = cut(number_rows(preds.select(F.col(unit).alias("unit"), F.col(time).alias("_t"), *errors), ["unit"], ["_t"], "row_no"))
-    sizes = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n_rows"))
-    slots = small_side(sizes).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = _expand(slots, ["unit", "b"], int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    drawn = drawn.withColumn("row_no", md5_int(F.lit(seed), "unit", "b", "j") % F.col("n_rows") + 1)
-    hit = drawn.select("b", "unit", "row_no").join(small_side(rows.drop("_t")), ["unit", "row_no"])
-    stats = [F.avg(F.col(f"e_{m}") * F.col(f"e_{m}")).alias(f"mse_{m}") for m in MODELS] + [F.avg(f"e_{m}").alias(f"bias_{m}") for m in MODELS]
-    return bootstrap_intervals(hit.groupBy("unit", "b").agg(*stats), alpha, alpha2, ["unit"])
+    units = staged(_units(preds, unit, time), "numbered")
+    slots = units.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+    slots = slots.withColumns(_streams(seed, "b", "unit_no"))
+    return bootstrap_intervals(_statistics(_redrawn(slots), ["unit", "b"]), alpha, alpha2, ["unit"])
 
 
 def contrast_intervals(draws_a: DataFrame, draws_b: DataFrame, alpha: float = 0.05, alpha2: float = 0.10) -> DataFrame:

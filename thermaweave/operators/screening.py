@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_FACTOR, SEASON_DAYS, harmonic_terms, percent, solar_hour, wrap_hours
 from ..functions.lineage import BROADCAST_ROWS, cut_counted
-from ..functions.quantiles import MAX_GROUP_ROWS, quantile_table
+from ..functions.quantiles import quantile_table
 from .labelling import id_columns, require_columns
 
 # Stage names and removal reasons.
@@ -288,7 +288,7 @@ class SeasonalFit:
 
 def fit_seasonal(
     df: DataFrame, variables: list[str], value: str = "value", time: str = "time", group: str = "point_id", harmonics: int = 1,
-    period: float = SEASON_DAYS, robust: bool = False, max_group_rows: int = MAX_GROUP_ROWS,
+    period: float = SEASON_DAYS, robust: bool = False,
 ) -> SeasonalFit:
     """Least squares of value on harmonics with group intercepts, for several variables at once.
 
@@ -334,10 +334,9 @@ def fit_seasonal(
     fit.groups = F.broadcast(slim) if n_groups <= BROADCAST_ROWS else slim
 
     resid = rows.join(fit.groups, ["variable", group]).select("variable", fit.residual(value).alias("_r")).where(F.col("_r").isNotNull())
-    size = max(counts.values())
     if robust:
         def by_variable(table: DataFrame, column: str) -> dict[str, float]:
-            return {r["variable"]: r["q"] for r in quantile_table(table, ["variable"], column, {"q": 0.5}, max_group_rows, size).collect()}
+            return {r["variable"]: r["q"] for r in quantile_table(table, ["variable"], column, {"q": 0.5}).collect()}
 
         fit.center = by_variable(resid, "_r")
         dev = resid.select("variable", F.abs(F.col("_r") - fit._pick(fit.center)).alias("_d"))

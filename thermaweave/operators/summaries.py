@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_FACTOR, METRES_PER_DEGREE, finite, percent
 from ..functions.lineage import small_side
-from ..functions.quantiles import MAX_GROUP_ROWS, attach_quantiles, largest_group
+from ..functions.quantiles import attach_quantiles
 from .matchup import POOLED, with_levels
 
 KEPT_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -19,16 +19,15 @@ def kept_removed_frame(df: DataFrame, group: str | None = None) -> DataFrame:
     return df.select("variable", label.alias("group"), F.col("value").cast("double").alias("value"), F.col("stage").isNull().alias("retained"))
 
 
-def variable_summary(frame: DataFrame, by_group: bool = True, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def variable_summary(frame: DataFrame, by_group: bool = True) -> DataFrame:
     """Counts under both denominators and the kept / removed distributions, pooled and by group."""
     rows = with_levels(frame.withColumnRenamed("group", "_g"), F.col("_g"), pooled_only=not by_group)
     keys = ["variable", "pooled", "group"]
     rows = rows.select(*keys, "value", "retained", F.when(F.col("retained"), F.col("value")).alias("_k"), F.when(~F.col("retained"), F.col("value")).alias("_m"))
-    size = largest_group(rows, keys)
-    rows = attach_quantiles(rows, keys, "_k", KEPT_PROBS, max_group_rows, size)
-    rows = attach_quantiles(rows, keys, "_m", {"rm_median": 0.5}, max_group_rows, size)
+    rows = attach_quantiles(rows, keys, "_k", KEPT_PROBS)
+    rows = attach_quantiles(rows, keys, "_m", {"rm_median": 0.5})
     rows = rows.withColumn("_dev", F.abs(F.col("_k") - F.col("median")))
-    rows = attach_quantiles(rows, keys, "_dev", {"_mad": 0.5}, max_group_rows, size)
+    rows = attach_quantiles(rows, keys, "_dev", {"_mad": 0.5})
     k, m = F.col("_k"), F.col("_m")
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_input"), F.count("value").alias("n_present"),
@@ -85,12 +84,12 @@ def histogram(frame: DataFrame, bins: int = 100) -> DataFrame:
     return out.select("variable", "retained", "bin", (F.col("_lo") + F.col("bin") * width).alias("bin_start"), "n")
 
 
-def group_display(frame: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def group_display(frame: DataFrame) -> DataFrame:
     """Per variable and group: counts, removal rate and the retained five-number summary."""
     keys = ["variable", "group"]
     rows = frame.where(F.col("value").isNotNull()).withColumn("_k", F.when(F.col("retained"), F.col("value")))
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    rows = attach_quantiles(rows, keys, "_k", probs, max_group_rows)
+    rows = attach_quantiles(rows, keys, "_k", probs)
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("retained")).alias("n_removed"), F.min("_k").alias("min"),
         *[F.max(p).alias(p) for p in probs], F.max("_k").alias("max"),

@@ -71,7 +71,9 @@ class Fitted:
 
 
 def fit(data: ModelData, cfg: ModelConfig, shared_from: str, spread_reference: str) -> Fitted:
-    """Estimate and smooth. ``shared_from`` names the instrument whose regressions give the shared terms."""
+    """Estimate and smooth. Shared factors are not fitted: a configuration that asks for them is refused. ``shared_from`` names the instrument whose regressions give the shared terms."""
+    if cfg.factors:
+        raise ValueError("factors are not fitted here; give loadings and factor states to the reconstruction")
     spark = data.observed.sparkSession
     spec = design.instrument_table(spark, cfg.instruments)
     regressions = cut(design.seasonal_regressions(data.scaled, cfg.harmonics, cfg.period, cfg.min_obs))

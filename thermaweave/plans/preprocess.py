@@ -7,12 +7,13 @@ partial aggregate.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
 from ..functions.lineage import staged
-from ..operators import matchup, screening, summaries
+from ..operators import guards, matchup, screening, summaries
 from ..operators.grid import Grid, build_grid, seasonal_basis
 from ..operators.labelling import convert_temperature, label_variables
 from .config import PreprocessConfig
@@ -84,6 +85,16 @@ class Preprocessed:
         return out
 
 
+def check_alignment(df: DataFrame, spec: dict, ids: list[str] | None = None) -> None:
+    """Stop when no key has both wind and hour, and warn when few have or their values look odd."""
+    m = guards.alignment_metrics(screening.kept(df), spec["target"], spec["wind"], spec["hour"], ids=ids).first()
+    if m["n_any"] and not m["n_usable"]:
+        raise ValueError(f"{spec['target']}: no observation has both {spec['wind']} and {spec['hour']}; the extracts are not aligned")
+    for flag, text in (("poorly_aligned", "under half of the observations have wind and hour"), ("hour_out_of_range", "hours outside 0 to 24"), ("wind_suspicious", "winds over 60")):
+        if m[flag]:
+            warnings.warn(f"{spec['target']}: {text}", stacklevel=2)
+
+
 def preprocess(raw: DataFrame, cfg: PreprocessConfig, validate: bool = True) -> Preprocessed:
     """Label, convert, screen in order: range, wind, season, match-up."""
     if validate:
@@ -103,6 +114,8 @@ def preprocess(raw: DataFrame, cfg: PreprocessConfig, validate: bool = True) ->
         df = screening.screen_range(df, v, cfg.range.lower, cfg.range.upper, cfg.range.keep_na, step(screening.RANGE_STAGE, v))
     w = cfg.wind
     for s in w.variables:
+        if validate:
+            check_alignment(df, s, w.ids)
         df = screening.screen_wind(df, s["target"], s["wind"], s["hour"], w.early, w.late, w.threshold, w.local_time, w.lon, w.ids,
                                    w.drop_covariates, w.keep_na, step(screening.WIND_STAGE, s["target"]))
     df = staged(df, "screened", ["variable"])

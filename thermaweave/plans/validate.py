@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import UNIT_BANDS
 from ..operators.design import INTERCEPTS, SEASONALITIES
 from .config import ModelConfig, PreprocessConfig
 
@@ -77,6 +78,28 @@ def preprocessing_problems(cfg: PreprocessConfig, columns: list[str]) -> list[st
     known("grid", cfg.grid.variables)
     if cfg.grid.time_step < 1:
         out.append("grid: time_step must be at least one day")
+    for name, unit in (("src", cfg.units.src), ("dst", cfg.units.dst)):
+        if unit.upper() not in UNIT_BANDS:
+            out.append(f"units: {name} must be one of {', '.join(UNIT_BANDS)}")
+    if cfg.wind.threshold <= 0:
+        out.append("wind: threshold must be positive")
+    if cfg.match_up.scale not in ("mad", "sd"):
+        out.append("match_up: scale must be mad or sd")
+    if cfg.match_up.center not in ("median", "mean"):
+        out.append("match_up: center must be median or mean")
+    if cfg.variance.pairs not in ("cross", "elementwise"):
+        out.append("variance: pairs must be cross or elementwise")
+    bounds = cfg.variance.valid_range
+    if bounds and not bounds[0] < bounds[1]:
+        out.append("variance: valid_range must increase")
+    if len(set(cfg.grid.variables)) < len(cfg.grid.variables):
+        out.append("grid: a variable is named twice")
+    if cfg.grid.harmonics < 1:
+        out.append("grid: harmonics must be at least 1")
+    if cfg.grid.variables:
+        out += [f"grid: no column {c}" for c in (cfg.grid.site, cfg.grid.time) if c not in after]
+    for where, by in (("match_up", cfg.match_up.by), ("variance", cfg.variance.by)):
+        out += [f"{where}: no group column {c}" for c in by or [] if c not in after]
     for where, ids in (("wind", cfg.wind.ids), ("match_up", cfg.match_up.ids), ("variance", cfg.variance.ids)):
         out += [f"{where}: no id column {c}" for c in ids or [] if c not in after]
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.labelling import missing_as_null
 from ..schemas import RAW_LONG, RAW_LONG_TEXT_TIME, STATES
 
 
@@ -13,8 +14,11 @@ def read_long(spark: SparkSession, path, fmt: str = "csv", schema: T.StructType
     """A long table with an explicit schema: no inference pass, and only the needed columns are read."""
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
-    return reader.format(fmt).load(path)
+        rows = reader.option("header", True).option("nullValue", "NA").option("emptyValue", "").csv(path)
+    else:
+        rows = reader.format(fmt).load(path)
+    # NaN stands for a missing value, like NULL.
+    return rows.select(*[missing_as_null(rows, c).alias(c) for c in rows.columns])
 
 
 def read_long_parse_time(spark: SparkSession, path, fmt: str = "csv") -> DataFrame:
