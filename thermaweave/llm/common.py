@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from thermaweave.functions.lineage import staged
 
-__all__ = ["fold", "map_batches", "read", "staged", "training_fold"]
+__all__ = ["fold", "map_batches", "most_frequent", "read", "staged", "training_fold"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +62,18 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.Reco
     each = max(1, int(n * most_bytes / max(batch.nbytes, 1)))
     for at in range(0, n, each):
         yield batch.slice(at, each)
+
+
+def most_frequent(counted: DataFrame, word: str, n: str, most: int) -> DataFrame:
+    """The ``most`` rows of largest ``n``, ties by ``word``; ``counted`` is a written table.
+
+    The count at the cut comes from a histogram of counts, so that only rows from it upward are
+    sorted: partitions do not each send their own candidates.
+    """
+    left = most
+    least = 1
+    for r in counted.groupBy(n).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc(n)).limit(most).collect():
+        least, left = r[n], left - r["words"]
+        if left <= 0:
+            break
+    return counted.where(F.col(n) >= least).orderBy(F.desc(n), word).limit(most)

@@ -24,7 +24,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, most_frequent, staged
 
 KINDS = ("assign", "access", "hex", "guess")
 LEAST_COST = 8.0
@@ -159,7 +159,8 @@ def ranked_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY
         return take() if len(held) > COUNTED else {"word": [], "n": []}
 
     counted = map_batches(docs.select(F.col(text_col).alias("_text")), rows, "word string, n bigint", take)
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    total = staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = most_frequent(total, "word", "n", most).collect()
     return {r.word: k for k, r in enumerate(top, 1)}
 
 
