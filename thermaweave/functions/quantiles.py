@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .exprs import MAD_FACTOR
-from .lineage import cut, null_safe_join, small_side
+from .lineage import BROADCAST_ROWS, cut, null_safe_join
 
 #: Values of one bracket that a task ranks.
 RANKED = 10_000
@@ -31,20 +31,35 @@ def present(value):
     return F.nanvl(v.cast("double"), F.lit(None).cast("double"))
 
 
-def _cut_with_most(state: DataFrame) -> tuple[DataFrame, int]:
+def _cut_with_most(state: DataFrame) -> tuple[DataFrame, int, int]:
+    """The written table of brackets, its rows, and the most values in one bracket (both observed while writing)."""
     seen = Observation()
-    table = cut(state.observe(seen, F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_inside"))).alias("most")))
-    return table, int(seen.get.get("most") or 0)
+    widest = F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_inside"))).alias("most")
+    table = cut(state.observe(seen, widest, F.count(F.lit(1)).alias("rows")))
+    found = seen.get
+    return table, int(found.get("rows") or 0), int(found.get("most") or 0)
 
 
-def quantile_table(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per key with exact linear-interpolation quantiles of ``value``."""
+def count_values(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, int, int]:
+    """The values of each key, written, with the number of keys and of the most values: for several quantiles of equally many values."""
     by = list(keys) or ["_all"]
     vals = df.select(*(keys or [F.lit(1).alias("_all")]), present(value).alias("_v"))
     inf = F.lit(math.inf)
     start = vals.groupBy(*by).agg(F.count("_v").alias("_n"))
-    start = start.select(*by, "_n", (-inf).alias("_lo"), inf.alias("_hi"), F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside"))
-    state, most = _cut_with_most(start)
+    return _cut_with_most(start.select(*by, "_n", (-inf).alias("_lo"), inf.alias("_hi"), F.lit(0).cast("bigint").alias("_below"), F.col("_n").alias("_inside")))
+
+
+def quantile_table(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """One row per key with exact linear-interpolation quantiles of ``value``."""
+    return _quantiles(df, keys, value, probs)[0]
+
+
+def _quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], counted: tuple[DataFrame, int, int] | None = None) -> tuple[DataFrame, int]:
+    """:func:`quantile_table` and its number of rows."""
+    by = list(keys) or ["_all"]
+    vals = df.select(*(keys or [F.lit(1).alias("_all")]), present(value).alias("_v"))
+    state, n_keys, most = counted or count_values(df, keys, value)
+    n_rows = n_keys
     whole = state.select(*by)
     position = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
     within = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
@@ -52,7 +67,8 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     def rows(brackets: DataFrame) -> DataFrame:
         """Values beside each of their key's brackets."""
         per_key = brackets.groupBy(*by, "_n").agg(F.collect_list(F.struct("_lo", "_hi", "_below", "_inside")).alias("_b"))  # one a quantile at most
-        joined = null_safe_join(vals.where(F.col("_v").isNotNull()), small_side(per_key), by, "inner")
+        per_key = F.broadcast(per_key) if n_rows <= BROADCAST_ROWS else per_key
+        joined = null_safe_join(vals.where(F.col("_v").isNotNull()), per_key, by, "inner")
         return joined.select(*by, "_v", "_n", F.explode("_b").alias("b")).select(*by, "_v", "_n", "b.*")
 
     while most > RANKED:
@@ -71,8 +87,8 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         fresh = sketch.select(*by, "_n", F.explode(F.array_distinct(F.array_compact(F.array(*inner)))).alias("b")).select(*by, "_n", "b.*")
         fresh = fresh.withColumns({"_below": F.lit(0).cast("bigint"), "_inside": F.lit(0).cast("bigint")})
         counted = rows(fresh).groupBy(*by, "_n", "_lo", "_hi").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count_if(within).alias("_inside"))
-        narrowed, now = _cut_with_most(state.where(~wide).unionByName(counted))
-        state, before, most = narrowed, most, now
+        before = most
+        state, n_rows, most = _cut_with_most(state.where(~wide).unionByName(counted))
         if 2 * most > before:
             break  # what is left is few values, very often each
     cells = rows(state).where(within).groupBy(*by, "_n", "_lo", "_hi", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -92,7 +108,7 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: dict[str,
         a, z, f = F.col(f"_a_{name}"), F.col(f"_z_{name}"), F.col(f"_f_{name}")
         missed = F.raise_error("a quantile's bracket missed its rank").cast("double")
         out.append(F.when(a.isNotNull() & z.isNotNull(), F.when(a == z, a).otherwise(a + f * (z - a))).when(f.isNotNull(), missed).alias(name))
-    return null_safe_join(whole, found.select(*by, *out), by).select(*keys, *probs)
+    return null_safe_join(whole, found.select(*by, *out), by).select(*keys, *probs), n_keys
 
 
 def pooled_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> dict[str, float]:
@@ -101,12 +117,16 @@ def pooled_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> dict
     return {name: (row[name] if row else None) for name in probs}
 
 
-def attach_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """``df`` with its group's exact quantiles of ``value`` as extra columns, by a join to the table of groups."""
+def attach_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], counted: tuple[DataFrame, int, int] | None = None) -> DataFrame:
+    """``df`` with its group's exact quantiles of ``value`` as extra columns, by a join to the table of groups.
+
+    ``counted`` (:func:`count_values`) spares counting again where the number of values is known; it may have more keys.
+    """
     if not keys:
         fixed = pooled_quantiles(df, value, probs)
         return df.select("*", *[F.lit(fixed[name]).cast("double").alias(name) for name in probs])
-    return null_safe_join(df, small_side(quantile_table(df, keys, value, probs)), keys).select(*df.columns, *probs)
+    table, n_keys = _quantiles(df, keys, value, probs, counted)
+    return null_safe_join(df, F.broadcast(table) if n_keys <= BROADCAST_ROWS else table, keys).select(*df.columns, *probs)
 
 
 def attach_median_mad(df: DataFrame, keys: list[str], value: str, median: str = "median", mad: str = "mad") -> DataFrame:

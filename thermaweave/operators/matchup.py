@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MAD_FACTOR, correlation, percent
-from ..functions.lineage import BROADCAST_ROWS, cut, cut_counted, small_side, staged
-from ..functions.quantiles import attach_median_mad, attach_quantiles
+from ..functions.lineage import BROADCAST_ROWS, cut_counted, small_side, staged
+from ..functions.quantiles import attach_median_mad, attach_quantiles, count_values
 from .labelling import id_columns, require_columns
 from .screening import DIAGNOSTICS, MATCH_STAGE, alive, begin, mark, per_key, pivot_keys
 
@@ -176,11 +176,12 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None) -> D
     a, b = solve(start)
     active, n_active = cut_counted(start.where(F.col("lo") < F.col("hi")).select(*keys, a.alias("a"), b.alias("b")))
     finished = None
+    counted = count_values(rows, keys, "_y")  # each step has a residual for each value
     for _ in range(IRLS_STEPS):
         if n_active == 0:
             break
         cur = rows.join(F.broadcast(active) if n_active <= BROADCAST_ROWS else active, keys).withColumn("_r", y - F.col("a") - F.col("b") * x).withColumn("_ar", F.abs(F.col("_r")))
-        cur = attach_quantiles(cur, keys, "_ar", {"_m": 0.5}).withColumn("_s", F.col("_m") / F.lit(MAD_DIVISOR))
+        cur = attach_quantiles(cur, keys, "_ar", {"_m": 0.5}, counted).withColumn("_s", F.col("_m") / F.lit(MAD_DIVISOR))
         weight = F.when(F.col("_ar") <= F.lit(HUBER_K) * F.col("_s"), F.lit(1.0)).otherwise(F.lit(HUBER_K) * F.col("_s") / F.col("_ar"))
         sums = cur.groupBy(*keys).agg(
             F.max("a").alias("a0"), F.max("b").alias("b0"), F.max("_s").alias("scale"), F.count(F.lit(1)).alias("n"),
@@ -197,10 +198,12 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None) -> D
             *keys, F.when(flat, F.col("a0")).otherwise(F.col("a1")).alias("a"), F.when(flat, F.col("b0")).otherwise(F.col("b1")).alias("b"),
             (flat | settled).alias("done"),
         )
-        fresh = cut(fresh)
+        # Written, not checkpointed: a checkpoint hands its constraints on, and they multiply from step to step.
+        fresh = staged(fresh, "huber-step")
         done = fresh.where("done").drop("done")
         finished = done if finished is None else finished.unionByName(done)
-        active, n_active = cut_counted(fresh.where(~F.col("done")).drop("done"))
+        active = fresh.where(~F.col("done")).drop("done")
+        n_active = active.count()
     return active.where("false") if finished is None else finished
 
 
