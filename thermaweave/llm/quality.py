@@ -116,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", held: int
 
     got = map_batches(sample, rows, f"key {labels.schema[id_col].dataType.simpleString()}, label int, terms binary").collect()
     got.sort(key=lambda r: (r.key, r.label, r.terms))
-    x = np.frombuffer(b"".join(r.terms for r in got), np.float16).reshape(len(got), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(r.terms for r in got), np.float16).reshape(len(got), 2 * TERMS + 37).astype(np.float32)
     return Model(x, np.array([r.label for r in got], np.int64))
 
 
