@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermaweave.llm import decontam, packing, secrets, simhash, toxicity
+from thermaweave.llm import decontam, packing, secrets, similar, toxicity
 from thermaweave.llm.common import read, staged
 
-#: Near duplicates here: shingles of five words, fingerprints that differ in at most six bits of 64, which
-#: texts of a similarity of about 0.9 or more do (SimHash sees similarity through its bits only).
-WORDS, BITS = 5, 6
+#: Near duplicates here: shingles of five words whose sets have a Jaccard similarity of 0.8 or more.
+WORDS, SIMILARITY = 5, 0.8
+#: Radius of the earlier rule (fingerprints only), which no stage uses.
+BITS = 6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return simhash.keep_one(docs, WORDS, BITS)
+    return similar.keep_one(docs, WORDS, SIMILARITY)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
