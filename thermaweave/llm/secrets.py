@@ -4,10 +4,10 @@ Fixed patterns: an assignment to a credential name, an access key id, a long run
 The method looks at every value that stands after a credential name (``pwd: ...``, ``passphrase is ...``, also
 with characters that the fixed patterns do not take) and finds, by dynamic programming, the cheapest way to guess it:
 a segmentation into dictionary words, dates, repeats, keyboard or alphabet walks and brute-force
-characters, each with its number of guesses. Costs are log10 of guesses; each segment also costs a factor
-of two for its place. A value of ``least_cost`` or more is a secret; ``changeme2020`` or
-``qwertyuiop111`` are not. A value of letters in one case, with or without a capital, is taken for a
-word of prose. The dictionary is the corpus's own: its ``DICTIONARY`` most frequent words, counted over all whole texts.
+characters, each with its number of guesses. A brute-force character costs the size of its own class (26 letters of a case,
+10 digits, 33 others). Costs are log10 of guesses; each segment also costs a factor
+of two for its place. A value of ``least_cost`` or more is a secret, whatever its form; ``changeme2020``,
+``qwertyuiop111`` or a word that the dictionary knows are not. The dictionary is the corpus's own: its ``DICTIONARY`` most frequent words, counted over all whole texts.
 
 Spans are code points, end exclusive. A value inside a fixed pattern's span adds nothing.
 
@@ -69,6 +69,7 @@ def _steps() -> set[str]:
 
 STEPS = _steps()
 SEGMENT = math.log10(2)
+LETTER, DIGIT, OTHER = math.log10(26), 1.0, math.log10(33)
 
 
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
@@ -88,7 +89,7 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     for i in range(1, n + 1):
         c = low[i - 1]
         # A brute-force character goes on a brute-force segment or starts one.
-        brute[i] = min(brute[i - 1], best[i - 1] + SEGMENT) + 1.0
+        brute[i] = min(brute[i - 1], best[i - 1] + SEGMENT) + (LETTER if c.isalpha() else DIGIT if c.isdigit() else OTHER)
         found = brute[i]
         for length in range(3, min(i, LONGEST_WORD) + 1):
             j = i - length
@@ -118,10 +119,6 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     return best[n]
 
 
-def prose_word(value: str) -> bool:
-    return value.isalpha() and value[1:].islower()
-
-
 def spans(text: str | None, ranks: dict[str, int], least_cost: float = LEAST_COST) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value), in order of start, then of kind."""
     if not text:
@@ -136,7 +133,7 @@ def spans(text: str | None, ranks: dict[str, int], least_cost: float = LEAST_COS
     for m in CONTEXT.finditer(text):
         start, value = m.start(1), m[1].rstrip(TRAILING)
         end = start + len(value)
-        if len(value) < 6 or prose_word(value) or any(s <= start and end <= e for s, _, e, _ in base):
+        if len(value) < 6 or any(s <= start and end <= e for s, _, e, _ in base):
             continue
         if guess_cost(value, ranks) >= least_cost:
             found.append((start, 3, end, start))
