@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, lm, packing, quality, secrets, sharding, simhash, toxicity
+from . import ann, chat, decontam, exact, lm, packing, quality, secrets, sharding, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -89,6 +89,15 @@ def op9_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"))
 
 
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stays for each text?"""
+    return exact.assign(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = exact.ORACLE
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
