@@ -45,7 +45,7 @@ def frequent(rows: DataFrame, total: int, counters: int = COUNTERS, winners: int
     """The digests that hold at least one row in ``winners`` (and two at least), counted exactly: digest, first row, size."""
     short = F.conv(F.substring("_sha", 1, 15), 16, 10).cast("bigint")
     parts = rows.select(short.alias("_short"), (F.spark_partition_id() % MERGES).alias("_part")).groupBy("_part").agg(F.expr(f"approx_top_k_accumulate(_short, {counters})").alias("_s"))
-    named = parts.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(_s, {counters})").alias("_s")).select(F.explode(F.expr(f"approx_top_k_estimate(_s, {min(2 * winners, counters)})")).alias("_e"))
+    named = parts.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(_s, {counters})").alias("_s")).select(F.explode(F.expr(f"approx_top_k_estimate(_s, {min(2 * winners, counters)})")).alias("_e"))
     candidates = rows.join(F.broadcast(named.select(F.col("_e.item").alias("_short"))), short == F.col("_short"), "left_semi")
     counted = candidates.groupBy("_sha").agg(F.min(_order()).alias("_first"), F.count(F.lit(1)).alias("_size"))
     return counted.where((F.col("_size") >= 2) & (F.col("_size") * winners >= total))
