@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, exact, lm, packing, quality, secrets, sharding, simhash, toxicity
+from . import ann, chat, decontam, exact, lm, packing, quality, repair, secrets, sharding, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -98,6 +98,12 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op12_exact_dedup"] = exact.ORACLE
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each damaged conversation, and what is its cheapest repair?"""
+    return repair.repair(repair.damage(read(spark, sf_dir, "conversations")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
