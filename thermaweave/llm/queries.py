@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, exact, lm, packing, quality, repair, secrets, sharding, simhash, toxicity
+from . import align, ann, chat, decontam, exact, lm, packing, quality, repair, secrets, sharding, simhash, toxicity
 from .common import read
 
 QUERIES: dict = {}
@@ -89,6 +89,12 @@ def op9_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How do two tokenizers align on each document, and how common are its links?"""
+    return align.alignments(read(spark, sf_dir, "documents"))
+
+
 @query
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which document stays for each text?"""
