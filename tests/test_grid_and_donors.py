@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thermaweave.operators.spheretree import search
 from thermaweave.operators import donors as dn, grid as g, guards
 from thermaweave.functions.exprs import haversine_km
 
@@ -134,6 +135,34 @@ def test_distance_ties_go_to_the_first_id_and_thin_donors_are_passed_over(spark)
     assert {x["site"]: x["donor"] for x in dn.covered_donors(r, tied, None, 1.0).collect()}["r"] == "b"
 
 
+def test_tree_search_equals_brute_force_for_dense_points_and_remote_recipients(spark):
+    rng = np.random.default_rng(9)
+    spots = np.column_stack([-43 + rng.uniform(0, 0.05, 20_000), 147 + rng.uniform(0, 0.05, 20_000)])
+    spots[:3000] = spots[0]  # many at one position
+    n_valid = rng.integers(1, 60, 20_000)
+    donors = [(f"d{i:05d}", *map(float, p), int(n)) for i, (p, n) in enumerate(zip(spots, n_valid))]
+    recips = [(f"r{i}", float(np.degrees(np.arcsin(z))), float(l)) for i, (z, l) in enumerate(zip(rng.uniform(-1, 1, 100), rng.uniform(-180, 180, 100)))]
+    recips += [donors[7][:3], ("in", -42.98, 147.02), ("nowhere", None, 1.0), ("odd", float("nan"), 1.0)]
+    rd, dd = spark.createDataFrame(recips, "site string, lat double, lon double"), spark.createDataFrame(donors, SITE).repartition(8)
+    for k, limit, most in ((2, None, None), (1, 12_000.0, None), (1, None, "n_valid"), (1, 9000.0, "n_valid")):
+        visits: list = []
+        got = {}
+        for r in search(rd, dd, k, limit, most, visits=visits).orderBy("site", "rank").collect():
+            got.setdefault(r["site"], []).append(r["donor"])
+        for s, la, lo in recips[:-2]:
+            p = np.radians
+            h = np.sin(p(spots[:, 0] - la) / 2) ** 2 + np.cos(p(la)) * np.cos(p(spots[:, 0])) * np.sin(p(spots[:, 1] - lo) / 2) ** 2
+            far = 2 * 6371 * np.arcsin(np.minimum(1, np.sqrt(h)))
+            near = [i for i in np.lexsort((np.arange(20_000), far, -n_valid if most else np.zeros(20_000)))[:50] if donors[i][0] != s]
+            near = [i for i in (near if limit is None else [j for j in np.lexsort((np.arange(20_000), far, -n_valid if most else np.zeros(20_000))) if far[j] <= limit]) if donors[i][0] != s][:k]
+            want = [(round(float(far[i]), 3), int(n_valid[i])) for i in near]
+            have = [(round(float(far[int(d[1:])]), 3), int(n_valid[int(d[1:])])) for d in got.get(s, [])]
+            assert [w[0] for w in have] == [w[0] for w in want] and (not most or have == want), (s, k, limit, most)
+        assert sum(visits) <= 40 * 32 * len(recips), (k, limit, most, visits)  # some leaves a recipient, of 625
+    assert search(rd, dd.limit(0), 1).count() == 0 and search(rd.limit(0), dd, 1).count() == 0
+    assert search(rd, dd, 1, 1e-6).where("site = 'in'").count() == 0
+
+
 def test_fill_keeps_gaps_and_refuses_duplicate_donor_dates(spark):
     schema = "point_id string, lat double, lon double, time date, variable string, value double"
     rows = [("d", 0.0, 0.0, day(0), "v", 1.5), ("d", 0.0, 0.0, day(1), "v", None), ("r", 0.0, 0.05, day(0), "v", None), ("r", 0.0, 0.05, day(1), "v", None),

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import EARTH_RADIUS_KM, haversine_km
 from ..functions.lineage import cut, small_side
-
-HALF_WAY_ROUND_KM = math.pi * EARTH_RADIUS_KM
+from .spheretree import search
 
 
 def site_positions(df: DataFrame, site: str = "point_id", order: str = "time") -> DataFrame:
@@ -30,80 +25,19 @@ def donor_coverage(df: DataFrame, where: Column, site: str = "point_id", value:
     return out.withColumn("has_values", F.col("n_valid") > 0)
 
 
-def _xyz(km: float) -> list[Column]:
-    """Cube indices of a position on the sphere: no seam at the date line or the poles."""
-    lat, lon, r = F.radians("lat"), F.radians("lon"), F.lit(EARTH_RADIUS_KM)
-    side = F.lit(float(km))
-    axes = (r * F.cos(lat) * F.cos(lon), r * F.cos(lat) * F.sin(lon), r * F.sin(lat))
-    return [F.floor(a / side).alias(f"c{i}") for i, a in enumerate(axes)]
-
-
-def neighbours_within(recipients: DataFrame, donors: DataFrame, km: float) -> DataFrame:
-    """All (recipient, donor) pairs no further apart than ``km``.
-
-    Both sides are hashed to cubes of that size and each recipient visits its 27 neighbours, so
-    this is an equality join; a chord is never longer than its arc, so no pair is missed.
-    Callers reduce the pairs at once, so they are consumed in the join stage.
-    """
-    steps = F.array(*[F.struct(*[F.lit(s).alias(f"d{i}") for i, s in enumerate(d)]) for d in itertools.product((-1, 0, 1), repeat=3)])
-    left = recipients.select("site", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "lat", "lon")
-    left = left.select("site", "_lat", "_lon", *_xyz(km)).withColumn("d", F.explode(steps))
-    left = left.select("site", "_lat", "_lon", *[(F.col(f"c{i}") + F.col(f"d.d{i}")).alias(f"c{i}") for i in range(3)])
-    extra = [c for c in donors.columns if c not in ("site", "lat", "lon")]
-    right = donors.select(F.col("site").alias("donor"), "lat", "lon", *extra, *_xyz(km))
-    pairs = left.join(right, ["c0", "c1", "c2"])
-    out = pairs.withColumn("km", haversine_km("_lat", "_lon", "lat", "lon"))
-    return out.where(F.col("km") <= F.lit(float(km))).select("site", "donor", "km", *extra)
-
-
-def nearest_donors(recipients: DataFrame, donors: DataFrame, k: int = 1, limit_km: float | None = None, first_km: float = 12.5) -> DataFrame:
-    """The ``k`` nearest donors of every recipient, ties by donor id; columns site, rank, donor, km, ....
-
-    Searches outwards: a radius that yields ``k`` donors settles a recipient exactly, so dense
-    areas finish in small cubes and only sparse ones see wide ones. The last radius is the limit,
-    or half the globe, and takes whatever is found.
-    """
-    last = HALF_WAY_ROUND_KM * 1.0000001 if limit_km is None else float(limit_km)
-    donors = small_side(donors)
-    todo, done, radius = cut(recipients.select("site", "lat", "lon")), [], min(first_km, last)
-    order = Window.partitionBy("site").orderBy("km", "donor")
-    while True:
-        near = neighbours_within(todo, donors, radius).where(F.col("site") != F.col("donor"))
-        near = cut(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        if radius >= last:
-            done.append(near)
-            break
-        settled = near.where(F.col("rank") == k).select("site")
-        done.append(near.join(settled, "site", "left_semi"))
-        todo = cut(todo.join(settled, "site", "left_anti"))
-        if todo.isEmpty():
-            break
-        radius = min(radius * 4.0, last)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+def nearest_donors(recipients: DataFrame, donors: DataFrame, k: int = 1, limit_km: float | None = None) -> DataFrame:
+    """The ``k`` nearest donors of every recipient, ties by donor id; columns site, rank, donor, km, ...."""
+    return search(recipients, donors, k, limit_km)
 
 
 def covered_donors(recipients: DataFrame, donors: DataFrame, limit_km: float | None, min_fraction: float) -> DataFrame:
     """Nearest donor within the limit, unless it holds less than ``min_fraction`` of the best
     covered one's values; then the best covered (ties to the nearer). ``donors`` carries ``n_valid``.
-
-    Both candidates come from one partial aggregate over the pairs. Without a limit the best
-    covered donors are the same for everyone, so two nearest searches do.
     """
-    if limit_km is None:
-        most = donors.agg(F.max("n_valid")).first()[0]
-        near = nearest_donors(recipients, donors).select("site", F.struct("donor", "km", "n_valid").alias("near"))
-        best = nearest_donors(recipients, donors.where(F.col("n_valid") == F.lit(most))).select("site", F.struct("donor", "km", "n_valid").alias("best"))
-        return _pick_covered(near.join(best, "site"), min_fraction)
-    pairs = neighbours_within(recipients, small_side(donors), limit_km).where(F.col("site") != F.col("donor"))
     fields = F.struct("donor", "km", "n_valid")
-    both = pairs.groupBy("site").agg(
-        F.min_by(fields, F.struct("km", "donor")).alias("near"),
-        F.min_by(fields, F.struct(-F.col("n_valid"), "km", "donor")).alias("best"),
-    )
-    return _pick_covered(both, min_fraction)
+    near = search(recipients, donors, 1, limit_km).select("site", fields.alias("near"))
+    best = search(recipients, donors, 1, limit_km, "n_valid").select("site", fields.alias("best"))
+    return _pick_covered(near.join(best, "site"), min_fraction)
 
 
 def _pick_covered(both: DataFrame, min_fraction: float) -> DataFrame:
