@@ -22,10 +22,10 @@ a million characters, and only a stretch without a single space is encoded at on
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
-from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -38,7 +38,11 @@ BUCKETS = 1024
 SALTS = 8
 BLOCK = 1 << 22
 #: Chunks (and distinct links of chunks) that a worker remembers before it starts anew.
-REMEMBERED, REMEMBERED_LINKS = 250_000, 3_000_000
+REMEMBERED, REMEMBERED_LINKS = 400_000, 4_000_000
+#: Chunks that are encoded as one text, and links of a group beyond which its distinct pairs are counted.
+TOGETHER, LARGE = 20_000, 4096
+#: Characters of a chunk that is encoded together with others.
+SHORT = 200
 #: Distinct pairs that a task gathers before it gives them out.
 GATHERED = 2_000_000
 #: Characters of one block of a long text.
@@ -73,22 +77,34 @@ class Aligner:
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_file=path(second))
         letters = _byte_letters()
-        self.a_bytes: dict[int, bytes] = {}
+        a_bytes = [b""] * self.first.get_vocab_size(with_added_tokens=True)
         for entry, k in self.first.get_vocab(with_added_tokens=False).items():
             if all(c in letters for c in entry):
-                self.a_bytes[k] = bytes(letters[c] for c in entry)
+                a_bytes[k] = bytes(letters[c] for c in entry)
+        self.ranked = _ranked(self.first, a_bytes, public_tokenizers.PATTERN)
         pieces = [self.second.id_to_piece(k) for k in range(self.second.get_piece_size())]
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.bytes = _Bytes(a_bytes), _Bytes(b_bytes)
+        # Every id as text before what may follow it: a comma, a bar, a comma, a semicolon.
+        self.letters = [f"{k}{sign}" for n, signs in ((len(a_bytes), ",|"), (len(b_bytes), ",;")) for sign in signs for k in range(n)]
         self.space = self.second.piece_to_id("▁")
-        self.born = 0
+        self.born, self.writes = 0, True
         self.forget()
 
+    def encode(self, text: str) -> list[int]:
+        """The first tokenizer's ids, as they are."""
+        return self.first.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode_short(self, text: str) -> list[int]:
+        """The same ids for a text of chunks of at most ``SHORT`` characters."""
+        return self.ranked.encode_ordinary(text) if self.ranked else self.encode(text)
+
     def forget(self):
         self.born += 1
         self.known: dict[str, int] = {}
-        self.written: list[str | None] = []  # None where the bytes differ
-        self.sizes = array("q")  # tokens of both, groups, links: four a chunk
+        self.written: list[str] = []  # groups as text, each with a semicolon after it
+        self.sizes = array("q")  # tokens of both, groups, links: four a chunk; zeros where the bytes differ
         self.starts, self.pairs, self.times = array("q", [0]), array("q"), array("q")
 
     def blocks(self, text: str):
@@ -118,11 +134,12 @@ class Aligner:
         if len(self.known) + len(fresh) > REMEMBERED or len(self.pairs) > REMEMBERED_LINKS:
             self.forget()
             fresh = wanted
-        fresh = list(fresh)
-        encoded = self.first.encode_batch_fast([" " + c for c in fresh], add_special_tokens=False)
-        for c, a, b in zip(fresh, encoded, self.second.encode(fresh, num_threads=1)):
-            self.known[c] = len(self.written)
-            self._add(c, a.ids, b if c else [self.space])
+        whole = [c for c in fresh if 0 < len(c) <= SHORT and "▁" not in c and not c[-1].isspace()]
+        for at in range(0, len(whole), TOGETHER):
+            part = whole[at : at + TOGETHER]
+            self._add_all(part, self.encode_short(" " + " ".join(part)), self.second.encode(" ".join(part)))
+        for c in fresh.difference(whole):  # these are long, cannot stand before a space and keep their tokens, or do not give back their bytes
+            self._add_all([c], self.encode(" " + c), self.second.encode(c) if c else [self.space])
 
     def each_block(self, texts: list[str | None]):
         """Index of the text, whether the block is its first, and the block's chunks by number (good until the next block)."""
@@ -137,36 +154,64 @@ class Aligner:
                     self.learn([chunks])
                     yield i, k == 0, list(map(self.known.__getitem__, chunks))
 
-    def _add(self, chunk: str, a: list[int], b: list[int]):
-        a_parts, b_parts = [self.a_bytes.get(k, b"") for k in a], [self.b_bytes[k] for k in b]
-        whole = (" " + chunk).encode("utf-8", "surrogatepass")
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            self.written.append(None)
-            self.sizes.extend((0, 0, 0, 0))
-            self.starts.append(len(self.pairs))
-            return
-        groups = [(a, b)]
-        if len(a) > 1 and len(b) > 1:
-            a_ends, b_ends = list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts)))
-            both = set(a_ends) & set(b_ends)
-            if len(both) > 1:
-                a_cuts = [k + 1 for k, e in enumerate(a_ends) if e in both]
-                b_cuts = [k + 1 for k, e in enumerate(b_ends) if e in both]
-                groups = [(a[i:j], b[k:m]) for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts)]
-        links: dict[int, int] = {}
-        n_links = 0
-        for x, y in groups:
-            n_links += len(x) * len(y)
-            xs, ys = _counted(x), _counted(y)
-            for i, n in xs.items():
-                for j, m in ys.items():
-                    key = i << 32 | j
-                    links[key] = links.get(key, 0) + n * m
-        self.written.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-        self.sizes.extend((len(a), len(b), len(groups), n_links))
-        self.pairs.extend(links)
-        self.times.extend(links.values())
-        self.starts.append(len(self.pairs))
+    def _add_all(self, chunks: list[str], a: list[int], b: list[int]):
+        """Align chunks that were encoded as one text."""
+        raw = [(" " + c).encode("utf-8", "surrogatepass") for c in chunks]
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        ids = np.asarray(a, np.int64), np.asarray(b, np.int64)
+        ends = [table.ends(k) for table, k in zip(self.bytes, ids)]
+        if not all(table.give(k, e, text) for table, k, e in zip(self.bytes, ids, ends)):
+            if len(chunks) > 1:
+                for c in chunks:
+                    self._add_all([c], self.encode(" " + c), self.second.encode(c))
+                return
+            return self._store(chunks, np.zeros((1, 4), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64), [""])
+        chunk_ends = np.cumsum(np.fromiter(map(len, raw), np.int64))
+        cut = [e == f[np.searchsorted(f, e)] for e, f in (ends, ends[::-1])]
+        group = [np.cumsum(c) - c for c in cut]
+        n = [np.bincount(g) for g in group]
+        chunk_of = np.searchsorted(chunk_ends, ends[0][cut[0]])  # of each group
+        links = n[0] * n[1]
+
+        def per_chunk(values):
+            return np.bincount(chunk_of, values, len(chunks)).astype(np.int64)
+
+        sizes = np.stack([per_chunk(n[0]), per_chunk(n[1]), per_chunk(None), per_chunk(links)], axis=1)
+        start = [np.cumsum(x) - x for x in n]
+        # All links of a group, but for groups so large that their distinct pairs are counted instead.
+        few = np.where(links <= LARGE, links, 0)
+        at = np.repeat(np.arange(len(links)), few)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(few) - few, few)
+        pairs = ids[0][start[0][at] + k // n[1][at]] << 32 | ids[1][start[1][at] + k % n[1][at]]
+        times, owner = np.ones(len(pairs), np.int64), chunk_of[at]
+        for g in np.flatnonzero(links > LARGE):
+            (x, xn), (y, yn) = (np.unique(ids[i][start[i][g] : start[i][g] + n[i][g]], return_counts=True) for i in (0, 1))
+            pairs = np.concatenate([pairs, (x[:, None] << 32 | y).ravel()])
+            times = np.concatenate([times, (xn[:, None] * yn).ravel()])
+            owner = np.concatenate([owner, np.full(len(x) * len(y), chunk_of[g])])
+        order = np.argsort(owner, kind="stable")
+        written = self._texts(ids, cut, group, start, n, chunk_of, len(chunks)) if self.writes else [""] * len(chunks)
+        self._store(chunks, sizes, pairs[order], times[order], np.bincount(owner, minlength=len(chunks)), written)
+
+    def _texts(self, ids, cut, group, start, n, chunk_of, n_chunks) -> list[str]:
+        """Each chunk's groups as text: ids, commas, a bar, ids, commas, a semicolon."""
+        sizes = [len(table.lengths) for table in self.bytes]
+        out = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+        out[np.arange(len(ids[0])) + start[1][group[0]]] = ids[0] + sizes[0] * (np.append(group[0][1:], -1) != group[0])
+        out[np.arange(len(ids[1])) + (start[0] + n[0])[group[1]]] = 2 * sizes[0] + ids[1] + sizes[1] * cut[1]
+        letters = self.letters
+        words = [letters[k] for k in out.tolist()]
+        ends = np.cumsum(np.bincount(chunk_of, n[0] + n[1], n_chunks).astype(np.int64)).tolist()
+        return ["".join(words[low:high]) for low, high in zip([0, *ends], ends)]
+
+    def _store(self, chunks, sizes, pairs, times, n_pairs, written):
+        base = len(self.written)
+        self.known.update(zip(chunks, range(base, base + len(chunks))))
+        self.written += written
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.pairs.frombytes(pairs.astype(np.int64).tobytes())
+        self.times.frombytes(times.astype(np.int64).tobytes())
+        self.starts.frombytes((self.starts[-1] + np.cumsum(n_pairs)).astype(np.int64).tobytes())
 
     def links_of(self, numbers: np.ndarray) -> np.ndarray:
         """Places in ``pairs`` of the chunks' links."""
@@ -175,21 +220,55 @@ class Aligner:
         return np.arange(int(n.sum())) + np.repeat(low - np.cumsum(n) + n, n)
 
 
-def _counted(ids: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for k in ids:
-        out[k] = out.get(k, 0) + 1
-    return out
+def _ranked(tokenizer, entries: list[bytes], pattern: str):
+    """The same tokenizer on a faster engine, where its merges stand in the order of their ids (then a merge's rank is its id); else None.
+
+    It takes the square of a word's length, so it is for short ones.
+    """
+    import tiktoken
+
+    parts = json.loads(tokenizer.to_str())
+    before, model = parts["pre_tokenizer"] or {}, parts["model"]
+    if parts["normalizer"] or model["type"] != "BPE" or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before.get("add_prefix_space"):
+        return None
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    ranks = {entry: k for k, entry in enumerate(entries) if entry}
+    if made != list(range(256, 256 + len(made))) or len(ranks) != 256 + len(made):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+class _Bytes:
+    """The bytes of every id of a vocabulary."""
+
+    def __init__(self, parts: list[bytes]):
+        self.lengths = np.fromiter(map(len, parts), np.int64)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        return np.cumsum(self.lengths[ids])
+
+    def give(self, ids: np.ndarray, ends: np.ndarray, text: np.ndarray) -> bool:
+        """Whether the ids' bytes in a row are ``text``."""
+        n = self.lengths[ids]
+        if not len(ids) or not n.all() or ends[-1] != len(text):
+            return False
+        return bool((self.flat[np.arange(len(text)) + np.repeat(self.first[ids] - (ends - n), n)] == text).all())
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
-def aligner(first: str, second: str) -> Aligner:
-    """A worker's aligner: a worker that runs several tasks goes on remembering."""
+def aligner(first: str, second: str, writes: bool) -> Aligner:
+    """A worker's aligner: a worker that runs several tasks goes on remembering. ``writes`` says whether groups are wanted as text."""
     if (first, second) not in _ALIGNERS:
         _ALIGNERS[first, second] = Aligner(first, second)
-    return _ALIGNERS[first, second]
+    tool = _ALIGNERS[first, second]
+    if tool.writes != writes:
+        tool.writes = writes
+        tool.forget()
+    return tool
 
 
 # The hash -----------------------------------------------------------------------------------------------------------
@@ -302,7 +381,7 @@ def document_counts(texts: DataFrame, first: str, second: str) -> DataFrame:
         return made
 
     def rows(batch):
-        tool = aligner(first, second)
+        tool = aligner(first, second, False)
         found: dict[int, list | None] = {}  # None where the bytes differ
         for i, _, numbers in tool.each_block(batch["_text"]):
             distinct = np.unique(np.fromiter(numbers, np.int64))
@@ -469,7 +548,7 @@ def look_up(docs: DataFrame, counts: Counts, key: str, text_col: str, first: str
         return chunk["best"], chunk["sum"]
 
     def rows(batch):
-        tool = aligner(first, second)
+        tool = aligner(first, second, True)
         made: dict[str, list] = {c: [] for c in names}
         sums, digests = np.zeros((len(batch["_text"]), 6), np.int64), [None] * len(batch["_text"])  # no digest: no tokens
         for i, begins, numbers in tool.each_block(batch["_text"]):
@@ -477,14 +556,14 @@ def look_up(docs: DataFrame, counts: Counts, key: str, text_col: str, first: str
                 digests[i] = hashlib.sha256()
             elif digests[i] is None:
                 continue
-            try:
-                digests[i].update((("" if begins else ";") + ";".join([tool.written[n] for n in numbers])).encode())
-            except TypeError:  # a chunk whose bytes differ
+            at = np.fromiter(numbers, np.int64)
+            sizes = np.frombuffer(tool.sizes, np.int64).reshape(-1, 4)[at]
+            if not sizes[:, 0].all():  # a chunk whose bytes differ
                 digests[i] = None
                 continue
+            digests[i].update((("" if begins else ";") + "".join([tool.written[n] for n in numbers])[:-1]).encode())
             best, total = values(tool)
-            at = np.fromiter(numbers, np.int64)
-            sums[i, :4] += np.frombuffer(tool.sizes, np.int64).reshape(-1, 4)[at].sum(axis=0)
+            sums[i, :4] += sizes.sum(axis=0)
             sums[i, 4:] += (best[at].sum(), total[at].sum())
         for i, name in enumerate(batch[key]):
             for c, v in zip(names, (name, *(sums[i].tolist() if digests[i] else [0] * 6), digests[i].hexdigest() if digests[i] else "")):
