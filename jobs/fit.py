@@ -5,9 +5,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from thermaweave.plans.config import ModelConfig, load_json
-from thermaweave.plans.fit import fit, prepare
-from thermaweave.plans.validate import validate_model
-from thermaweave.sources.writers import write_model_inputs, write_table, write_views
+from thermaweave.plans.runs import run_fit
 
 if __name__ == "__main__":
     p = argparse.ArgumentParser()
@@ -17,11 +15,4 @@ if __name__ == "__main__":
     a = p.parse_args()
     spark = SparkSession.builder.appName("fit").getOrCreate()
     cfg = load_json(ModelConfig, a.config)
-    grid = spark.read.parquet(f"{a.grid}/grid")
-    validate_model(cfg, spark.read.parquet(f"{a.grid}/rows"))
-    data = prepare(grid, cfg)
-    write_model_inputs(a.output, data.scales, data.sites, data.observed, data.holdout, a.overwrite)
-    fitted = fit(data, cfg, a.shared_from, a.reference)
-    write_table(fitted.params, f"{a.output}/params", a.overwrite)
-    write_table(fitted.states, f"{a.output}/state_estimates", a.overwrite)
-    write_views(fitted.views(), a.output, ["parquet"], a.overwrite)
+    run_fit(spark, cfg, a.grid, a.output, a.shared_from, a.reference, a.overwrite)

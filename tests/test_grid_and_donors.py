@@ -182,6 +182,39 @@ def test_haversine_column(spark):
     assert got == pytest.approx(km((-43.0, 147.0), (-42.0, 148.0)))
 
 
+def test_a_series_in_many_blocks_gives_the_same_windows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(s, int(b), float(rng.normal())) for s in ("a", "b") for b in sorted(rng.choice(500, 350, replace=False))]
+    cells = spark.createDataFrame(rows, "site string, bin int, value double")
+    whole = {(r["site"], r["lag"]): (r["n_pairs"], r["acf"]) for r in g.autocorrelation(cells, ["site"], 12).collect()}
+    cut = {(r["site"], r["lag"]): (r["n_pairs"], r["acf"]) for r in g.autocorrelation(cells, ["site"], 12, block_bins=10).collect()}
+    assert set(cut) == set(whole) and all(cut[k] == pytest.approx(whole[k]) for k in cut)
+    dated = spark.createDataFrame([(s, day(b - 250), v) for s, b, v in rows], "site string, date date, value double")
+    whole, cut = ({(r["site"], r["date"]): r["value_mean"] for r in g.rolling_mean(dated, ["site"], before=7, after=2, block_days=n).collect()} for n in (4096, 10))
+    assert len(cut) == len(rows) and cut == pytest.approx(whole)
+    got = {r["site"]: r["n_dates"] for r in g.with_distinct_dates(dated.unionByName(dated).unionByName(spark.createDataFrame([("a", None, 1.0), ("c", None, 1.0)], dated.schema)), ["site"]).collect()}
+    assert got == {"a": 350, "b": 350, "c": 0}
+
+
+def test_equal_tables_are_compared_without_a_join_of_rows(spark):
+    a = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") * 0.5).alias("value"))
+    old, new, n, n_values = guards.differing_rows(a, a.repartition(7), ["k"])
+    assert (old.count(), new.count(), n, n_values) == (0, 0, 20_000, 20_000)
+    b = a.withColumn("value", F.when(F.col("k") == "k77", 1e6).otherwise(F.col("value")))
+    old, new, n, _ = guards.differing_rows(a, b, ["k"])
+    assert 1 <= old.count() == new.count() < 10 and n + old.count() == 20_000
+    r = guards.compare_tables(a, b, ["k"]).first()
+    assert (r["n_paired"], r["n_only_old"], r["n_only_new"]) == (20_000, 0, 0) and r["max_abs_diff"] == pytest.approx(1e6 - 38.5)
+
+
+def test_broadcast_needs_few_bytes_as_well(spark):
+    from thermaweave.functions.lineage import small_side
+
+    notes = spark.createDataFrame([("a", "x" * 5000), ("b", None)], "id string, notes string")
+    plan = lambda t: t.join(t.select("id"), "id")._jdf.queryExecution().toString()
+    assert "ResolvedHint (strategy=broadcast)" in plan(small_side(notes)) and "ResolvedHint (strategy=broadcast)" not in plan(small_side(notes, max_bytes=4000))
+
+
 def test_guards(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", None), (None, 2.0)], "k string, value double")
     assert guards.same_data(a, a, ["k"])

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from thermaweave.operators import design as ds, grid as g, reconstruct as rec, scoring as so, smoothing as sm
+from thermaweave.plans import runs
+from thermaweave.sources import readers as rd
 from thermaweave.plans import config as cf, fit as ft, holdout as ho, preprocess as pp, validate as va
 from thermaweave.sources import writers as wr
 
@@ -56,6 +58,47 @@ def test_smoother_and_likelihood_equal_the_dense_posterior(spark):
     assert sm.best_candidate(sm.log_likelihoods(obs, D, cands)) == max(total, key=total.get)
 
 
+def serial(y, r, rho, tau, init):
+    """The plain recursions, one bin after the other."""
+    n = len(y)
+    ahead, ahead_var, x, var = (np.empty(n) for _ in range(4))
+    m, v = 0.0, init
+    for t in range(n):
+        m, v = rho * m, rho * rho * v + tau
+        ahead[t], ahead_var[t] = m, v
+        if y[t] == y[t]:
+            gain = v / (v + r[t])
+            m, v = m + gain * (y[t] - m), v * (1.0 - gain)
+        x[t], var[t] = m, v
+    for t in range(n - 2, -1, -1):
+        back = var[t] * rho / ahead_var[t + 1]
+        x[t] += back * (x[t + 1] - ahead[t + 1])
+        var[t] += back * back * (var[t + 1] - ahead_var[t + 1])
+    return x, np.sqrt(var)
+
+
+def test_a_series_over_many_blocks_equals_the_serial_recursions(spark):
+    rng = np.random.default_rng(3)
+    n, step = 5000, 5
+    rows, want, total = [], {}, {}
+    cands = [(0.97, 0.2), (1.0, 0.05)]
+    for s in ("a", "b"):
+        y, r = rng.normal(size=n).cumsum() * 0.1, rng.uniform(0.1, 1.0, n)
+        y[rng.random(n) < 0.6] = np.nan
+        y[1000:1600] = np.nan  # whole blocks without data
+        rows += [(s, day(step * i + 2), float(y[i]), float(r[i])) for i in range(n) if y[i] == y[i]]
+        want[s] = serial(y, r, *cands[0], 1.5)
+    obs = spark.createDataFrame(rows + [("a", day(-9), 1.0, 1.0), ("bare", day(step * n + 50), 1.0, 1.0)], "site string, date date, ybar double, rbar double")
+    got = sm.smooth(obs, D, n - 1, *cands[0], 1.5, step, block_bins=128).orderBy("site", "date").toPandas()
+    assert list(got[got.site == "a"].date) == [day(step * i) for i in range(n)]
+    for s in ("a", "b"):
+        part = got[got.site == s]
+        assert np.abs(part.x.to_numpy() - want[s][0]).max() < 1e-9 and np.abs(part.se.to_numpy() - want[s][1]).max() < 1e-9
+    assert (got[got.site == "bare"].x == 0).all()
+    few, many = ({(r["rho"], r["tau"]): r["log_likelihood"] for r in sm.log_likelihoods(obs, D, cands, 1.5, step, n - 1, block_bins=b).collect()} for b in (100, 10**6))
+    assert few == pytest.approx(many, rel=1e-12)
+
+
 def test_collapse_weights_by_precision(spark):
     r = spark.createDataFrame([("s", D, "a", 1.0), ("s", D, "b", 4.0), ("s", D, "c", None)], "site string, date date, variable string, resid double")
     v = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 1.0)], "variable string, r double")
@@ -253,6 +296,73 @@ def test_three_jobs_end_to_end(spark, tmp_path):
     wr.write_scores(f"{root}/scores", tables)
 
 
+def test_jobs_from_folders(spark, tmp_path):
+    raw = synthetic(spark)
+    rows = raw.where("variable in ('ref', 'hi')").select("point_id", "time", "variable", "value")
+    grid = g.build_grid(rows, ["ref", "hi"], 5)
+    where, out = str(tmp_path / "grid"), str(tmp_path / "run")
+    wr.write_grid(grid, where)
+    kinds = {"ref": {"tag": "ref", "intercept": "site+instrument", "seasonality": "shared"}, "hi": {"tag": "hi", "intercept": "site", "seasonality": "shared"}}
+    cfg = cf.ModelConfig(instruments=kinds, scale_reference="ref", views=["ref"], holdout_variables=[], start=str(day(20)))
+    runs.run_fit(spark, cfg, where, out, "ref", "ref")
+    axis = rd.read_axis(spark, out)
+    assert axis == g.TimeAxis(day(25), 5, 74) and spark.read.parquet(f"{out}/dates").count() == 75
+    states = spark.read.parquet(f"{out}/state_estimates")
+    assert {r["date"] for r in states.where("site = 'a'").select("date").collect()} == {day(25 + 5 * k) for k in range(75)} and states.count() == 3 * 75
+    assert {r["block"] for r in spark.read.parquet(f"{out}/design").select("block").distinct().collect()} == {"intercept", "season", "error", "site_state"}
+
+    # The same run with shared factors from elsewhere: more factors than one block holds.
+    m = 40
+    cfg.factors = m
+    rng = np.random.default_rng(1)
+    lam = {(i, j): float(rng.normal()) for i in range(1, 4) for j in (*range(1, i + 1), 39, 40)}
+    extra = spark.createDataFrame([(f"lambda_{i}_{j}", v) for (i, j), v in lam.items()], "name string, value double")
+    dates = [r["date"] for r in spark.read.parquet(f"{out}/dates").orderBy("bin").collect()]
+    fx, fse = rng.normal(size=(m, 75)), rng.uniform(0.1, 0.2, (m, 75))
+    root = str(tmp_path / "joint")
+    for name in ("sites", "rows", "state_estimates"):
+        wr.write_table(spark.read.parquet(f"{out}/{name}"), f"{root}/{name}")
+    wr.write_table(spark.read.parquet(f"{out}/params").unionByName(extra), f"{root}/params")
+    wr.write_table(spark.createDataFrame([(j + 1, d, float(fx[j, k]), float(fse[j, k])) for j in range(m) for k, d in enumerate(dates)], "factor int, date date, x double, se double"), f"{root}/factors")
+    runs.run_reconstruct(spark, cfg, root, f"{root}/out")
+    plain = {(r["site"], r["date"]): r for r in spark.read.parquet(f"{out}/states.parquet").collect()}
+    got = {(r["site"], r["date"]): r for r in spark.read.parquet(f"{root}/out/states.parquet").collect()}
+    sites = {r["site"]: r for r in spark.read.parquet(f"{out}/sites").collect()}
+    assert set(got) == set(plain)
+    for (s, d), r in got.items():
+        k, i, sigma = dates.index(d), sites[s]["site_index"], sites[s]["sigma"]
+        assert r["value"] == pytest.approx(plain[s, d]["value"] + sigma * sum(v * fx[j - 1, k] for (n, j), v in lam.items() if n == i))
+        assert r["se"] == pytest.approx(np.sqrt(plain[s, d]["se"] ** 2 + sigma**2 * sum((v * fse[j - 1, k]) ** 2 for (n, j), v in lam.items() if n == i)))
+    blind = cf.ModelConfig(instruments={v: {**k, "site_state": False} for v, k in kinds.items()}, factors=2)
+    with pytest.raises(Exception, match="no instrument observes the state"):
+        runs.run_reconstruct(spark, blind, root, f"{root}/blind")
+    with pytest.raises(Exception, match="no instrument observes the state"):
+        runs.run_fit(spark, cf.ModelConfig(instruments=blind.instruments, scale_reference="ref", holdout_variables=[]), where, str(tmp_path / "blind"), "ref", "ref")
+
+
+def test_impute_and_combine_jobs(spark, tmp_path):
+    schema = "point_id string, lat double, lon double, time date, variable string, stat string, radius_m int, value double"
+    rows = [("d", 0.0, 0.0, day(k), "v", "m", 1, float(k)) for k in range(3)] + [("r", 0.0, 0.05, day(k), "v", "m", 1, None) for k in range(3)]
+    wr.write_table(spark.createDataFrame(rows, schema), str(tmp_path / "in"), fmt="parquet")
+    runs.run_impute(spark, str(tmp_path / "in"), str(tmp_path / "filled"), "v", "m", "v", fmt="parquet")
+    got = {(r["point_id"], r["time"]): (r["value"], r["v_donor"]) for r in spark.read.parquet(str(tmp_path / "filled")).collect()}
+    assert got["r", day(1)] == (1.0, "d") and got["d", day(2)] == (2.0, None)
+
+    root = str(tmp_path / "runs")
+    view = "model string, run string, date date, site string, variable string, value double, se double"
+    old = [("m1", "2024-01-01", day(0), "a", "sst", 1.0, 0.1)]
+    new = [("m1", "2025-01-01", day(k), "a", "sst", 2.0 + k, 0.1) for k in range(2)] + [("m2", "2023-01-01", day(0), "b", "sst", 9.0, 0.1)]
+    wr.write_runs(spark.createDataFrame(old, view), root)
+    wr.write_runs(spark.createDataFrame(new, view), root)
+    half = spark.createDataFrame([("m2", "2026-01-01", day(0), "b", "sst", 0.0, 0.1)], view)
+    half.write.mode("append").partitionBy("model", "run").parquet(f"{root}/states")  # broke off before its manifest
+    assert {(r["model"], r["run"], r["n_rows"]) for r in rd.list_runs(spark, root).collect()} == {("m1", "2024-01-01", 1), ("m1", "2025-01-01", 2), ("m2", "2023-01-01", 1)}
+    wr.write_table(spark.createDataFrame([("a", "A", "t", 1.0, 2.0, "x", None)], "id string, site_name string, site_type string, lat double, lon double, region string, notes string"), str(tmp_path / "places"), fmt="csv")
+    runs.run_combine(spark, root, str(tmp_path / "places"), str(tmp_path / "all"), ["m2", "m1"])
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "all")).collect() if not r["value"].startswith("model")]
+    assert sorted((x.split(",")[0], x.split(",")[1], x.split(",")[3]) for x in lines) == [("m1", "2025-01-01", "A"), ("m1", "2025-01-01", "A"), ("m2", "2023-01-01", "")]
+
+
 def test_every_fault_of_a_configuration_is_reported_at_once():
     from thermaweave.plans.validate import preprocessing_problems
 

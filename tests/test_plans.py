@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from thermaweave.catalog import base, quality
+from thermaweave.functions import quantiles
 from thermaweave.operators import matchup, screening, summaries
 
 
@@ -56,12 +57,18 @@ def test_row_local_screens_need_no_shuffle(spark, sf_dir, tmp_path):
     assert "Exchange" not in plan(screening.kept(df)) and "Exchange" not in plan(screening.removed(df))
 
 
-def test_small_groups_share_one_shuffle_for_all_statistics(spark, sf_dir, tmp_path):
+def test_a_summary_reads_a_narrow_table_in_six_jobs_at_most(spark, sf_dir, tmp_path, monkeypatch):
     path = str(tmp_path / "rows")
     base.celsius(spark, sf_dir).write.parquet(path)
     df = screening.screen_range(spark.read.parquet(path), "eco_sst")
+    written = []
+    for name in ("cut", "staged"):
+        real = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda table, *a, real=real, name=name: written.append((name, table)) or real(table, *a))
     text = plan(summaries.variable_summary(summaries.kept_removed_frame(df, "aoi")))
-    assert text.count("Exchange hashpartitioning") == 1
+    assert [n for n, _ in written] == ["staged", "cut", "cut", "cut", "cut"]  # the result is the sixth
+    assert text.count("Exchange hashpartitioning") == 0  # everything left is small
+    assert all(path not in plan(table) for _, table in written[1:])  # the input is read once
 
 
 def test_streaming_frames_can_use_the_row_local_expressions(spark, sf_dir, tmp_path):

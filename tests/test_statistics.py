@@ -24,12 +24,14 @@ def frame(spark, data):
     return spark.createDataFrame(rows, "g string, v double").repartition(8).cache()
 
 
-LIMITS = pytest.mark.parametrize("limit", [10**9, 5000, 20])
+#: Values of a group ranked whole, and of a bracket before it is narrowed.
+LIMITS = pytest.mark.parametrize("limit", [(10**9, 10**6), (5000, 10**6), (20, 10**6), (20, 30)])
 
 
 @LIMITS
 def test_quantiles_are_exact(frame, data, limit, monkeypatch):
-    monkeypatch.setattr(q, "RANKED", limit)
+    monkeypatch.setattr(q, "RANKED", limit[0])
+    monkeypatch.setattr(q, "CELLS", limit[1])
     got = {r["g"]: r for r in q.quantile_table(frame, ["g"], "v", PROBS).collect()}
     assert set(got) == {*data, "void"} and all(got["void"][name] is None for name in PROBS)
     for g, vs in data.items():
@@ -39,13 +41,45 @@ def test_quantiles_are_exact(frame, data, limit, monkeypatch):
 
 @LIMITS
 def test_pooled_quantiles_are_exact(frame, data, limit, monkeypatch):
-    monkeypatch.setattr(q, "RANKED", limit)
+    monkeypatch.setattr(q, "RANKED", limit[0])
+    monkeypatch.setattr(q, "CELLS", limit[1])
     every = [v for vs in data.values() for v in vs]
     got = q.pooled_quantiles(frame, "v", PROBS)
     for name, p in PROBS.items():
         assert got[name] == pytest.approx(np.quantile(every, p), abs=1e-12)
 
 
+def test_a_value_that_most_rows_hold_is_one_cell(spark, monkeypatch):
+    monkeypatch.setattr(q, "RANKED", 1000)
+    rng = np.random.default_rng(8)
+    values = np.concatenate([np.full(30_000, 4.0), rng.normal(4.0, 2.0, 20_000)])
+    seen: list = []
+    window = q.Window.partitionBy
+
+    def watched(*by):
+        seen.append(by)
+        return window(*by)
+
+    monkeypatch.setattr(q.Window, "partitionBy", watched)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(8)
+    probs = {f"p{k}": k / 40 for k in range(41)}
+    got = q.pooled_quantiles(df, "v", probs)
+    assert seen == [("_all", "_b")]  # one ranking, within brackets
+    for name, p in probs.items():
+        assert got[name] == pytest.approx(np.quantile(values, p), abs=1e-12)
+
+
+def test_several_columns_and_aggregates_share_the_passes(spark):
+    rows = [("a" if k % 2 else None, float(k), -float(k) if k % 3 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    table, n = q.summarise(df, ["g"], {"v": {"m": 0.5, "t": 0.9}, "w": {"wm": 0.5}}, [F.avg("v").alias("mean")])
+    got = {r["g"]: r for r in table.collect()}
+    assert n == 2 and set(got) == {"a", None}
+    for g in got:
+        vs, ws = [v for k, v, _ in rows if k == g], [w for k, _, w in rows if k == g and w is not None]
+        assert (got[g]["m"], got[g]["t"], got[g]["wm"], got[g]["mean"]) == pytest.approx((np.median(vs), np.quantile(vs, 0.9), np.median(ws), np.mean(vs)))
+
+
 def test_nan_is_missing(spark):
     rows = [("a", float(k)) for k in range(1, 10)] + [("a", float("nan"))] * 3 + [("b", float("nan"))]
     got = {r["g"]: (r["m"], r["t"]) for r in q.quantile_table(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"m": 0.5, "t": 0.99}).collect()}
@@ -54,7 +88,8 @@ def test_nan_is_missing(spark):
 
 @LIMITS
 def test_median_and_mad_attach_to_every_row(frame, data, limit, monkeypatch):
-    monkeypatch.setattr(q, "RANKED", limit)
+    monkeypatch.setattr(q, "RANKED", limit[0])
+    monkeypatch.setattr(q, "CELLS", limit[1])
     out = q.attach_median_mad(frame, ["g"], "v")
     assert out.count() == frame.count()
     got = {r["g"]: (r["m"], r["d"]) for r in out.groupBy("g").agg(F.max("median").alias("m"), F.max("mad").alias("d")).collect()}

@@ -62,18 +62,21 @@ SLOPE = 0.8512345677
 TEMPERATURES = ["eco_sst", "lst_sst", "ref_sst"]
 
 
-def raw_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per site, date, instrument and statistic, with hour and wind as columns."""
+def raw_wide(spark: SparkSession, sf_dir: str, site: str = "s_nationkey") -> DataFrame:
+    """One row per site, date, instrument and statistic, with hour and wind as columns.
+
+    Sites are nations, or with ``s_suppkey`` suppliers, whose number grows with the scale factor.
+    """
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     su = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     rows = li.join(su, F.col("l_suppkey") == F.col("s_suppkey")).join(na, F.col("s_nationkey") == F.col("n_nationkey"))
-    cells = rows.groupBy("s_nationkey", "n_regionkey", F.to_date("l_shipdate").alias("time"), "l_returnflag", "l_linestatus").agg(
+    cells = rows.groupBy(F.col(site).alias("_site"), "n_regionkey", F.to_date("l_shipdate").alias("time"), "l_returnflag", "l_linestatus").agg(
         F.max(F.when(F.col("l_tax") == 0.08, 1).otherwise(0)).alias("gap"), F.avg("l_quantity").alias("q"),
         F.min("l_orderkey").alias("k"), F.avg("l_discount").alias("d"))
     return cells.select(
-        F.concat(F.lit("P"), F.col("s_nationkey").cast("string")).alias("point_id"),
-        (F.lit(-43.0) + F.col("s_nationkey") * F.lit(0.1)).alias("lat"), (F.lit(147.0) + F.col("s_nationkey") * F.lit(0.12)).alias("lon"),
+        F.concat(F.lit("P"), F.col("_site").cast("string")).alias("point_id"),
+        (F.lit(-43.0) + F.col("_site") % 400 * F.lit(0.1)).alias("lat"), (F.lit(147.0) + F.col("_site") % 1000 * F.lit(0.12)).alias("lon"),
         F.concat(F.lit("A"), F.col("n_regionkey").cast("string")).alias("aoi"), "time",
         F.when(F.col("l_returnflag") == "A", "eco_sst").when(F.col("l_returnflag") == "N", "lst_sst").otherwise("ref_sst").alias("variable"),
         F.when(F.col("l_linestatus") == "O", "nanmean").otherwise("nearest").alias("stat"), F.lit(300).alias("radius_m"),
@@ -87,9 +90,9 @@ def raw_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_wide(spark, sf_dir).drop("hour", "wind")
 
 
-def raw_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_extended(spark: SparkSession, sf_dir: str, site: str = "s_nationkey") -> DataFrame:
     """The raw extract with hour and wind as rows of their own, from one scan."""
-    w = raw_wide(spark, sf_dir)
+    w = raw_wide(spark, sf_dir, site)
     cells = F.array(*[
         F.struct(F.concat(F.col("variable"), F.lit(tail)).alias("variable"), F.col(c).alias("value"))
         for tail, c in (("", "value"), ("_hour", "hour"), ("_wind", "wind"))

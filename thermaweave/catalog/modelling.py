@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SEASON_DAYS
@@ -274,6 +277,29 @@ def g17_best(spark, sf):
     return scores.orderBy(F.desc("log_likelihood")).limit(1)
 
 
+FIT = {
+    "ref_sst": {"tag": "ref", "intercept": "site+instrument", "seasonality": "shared", "site_state": True},
+    "eco_sst": {"tag": "eco", "intercept": "site", "seasonality": "shared", "site_state": True},
+    "lst_sst": {"tag": "lst", "intercept": "site+instrument", "seasonality": "shared", "site_state": True},
+}
+
+
+@query("G16_states_on_a_five_day_axis", with_ctes("""SELECT site, CAST(last_bin AS BIGINT) - 2 AS n_states, CAST(t0 + 15 AS DATE) AS first, CAST(t0 + 5 * last_bin AS DATE) AS last, CAST(5 AS INTEGER) AS step
+FROM (SELECT DISTINCT site FROM grid) CROSS JOIN span""", "conv", grid_ctes(5)))
+def g16_axis(spark, sf):
+    """A fit of a five-day grid, from its fourth bin on: which dates have states at each site?"""
+    from ..plans.config import ModelConfig
+    from ..plans.fit import fit, prepare
+
+    grid = the_grid(spark, sf, 5)
+    cfg = ModelConfig(instruments=FIT, scale_reference="ref_sst", candidates=[[0.9, 0.1], [0.95, 0.3]], start=str(grid.time_axis.within(None, None).start + dt.timedelta(days=14)))
+    states = fit(prepare(grid.long(), cfg, grid.time_axis), cfg, "ref_sst", "ref_sst").states
+    before = F.lag("date").over(Window.partitionBy("site").orderBy("date"))
+    gaps = states.withColumn("gap", F.datediff("date", before))
+    once = F.when(F.min("gap") == F.max("gap"), F.max("gap"))
+    return gaps.groupBy("site").agg(F.count("x").alias("n_states"), F.min("date").alias("first"), F.max("date").alias("last"), once.alias("step"))
+
+
 @query("V2_series_present", with_ctes("SELECT w.variable, w.site, count(g.value) AS n_values, count(g.value) > 0 AS present FROM (SELECT variable, 'P' || i AS site FROM (VALUES ('eco_sst'), ('ref_sst'), ('insitu_sst')) v(variable) CROSS JOIN (SELECT unnest(range(20, 27)) AS i)) w LEFT JOIN grid g ON g.variable = w.variable AND g.site = w.site GROUP BY 1, 2", "conv", grid_ctes()))
 def v2(spark, sf):
     from ..plans.validate import series_present

@@ -626,13 +626,12 @@ def u1_clean(spark, sf):
 @query("O1_report_order", with_ctes("""SELECT variable, pooled, grp AS "group", count(*) AS n, CAST(row_number() OVER (ORDER BY variable, NOT pooled, grp) AS INTEGER) AS position FROM (
 SELECT variable, true AS pooled, '(all)' AS grp FROM conv UNION ALL SELECT variable, false, aoi FROM conv) GROUP BY 1, 2, 3"""))
 def o1(spark, sf):
-    from pyspark.sql import Window
+    from ..functions.ranking import number_rows
 
     rows = matchup.with_levels(celsius(spark, sf).select("variable", "aoi"), F.col("aoi"))
     out = rows.groupBy("variable", "pooled", "group").agg(F.count(F.lit(1)).alias("n"))
-    # The report has (variables x groups) rows; only this small table is numbered.
-    order = Window.partitionBy(F.lit(1)).orderBy("variable", F.desc("pooled"), "group")
-    return summaries.pooled_first(out.withColumn("position", F.row_number().over(order)), "variable")
+    placed = number_rows(out, [], ["variable", F.desc("pooled"), "group"], "position")
+    return summaries.pooled_first(placed.withColumn("position", F.col("position").cast("int")), "variable")
 
 
 @query("O4_thin_per_group", with_ctes(f"""SELECT aoi, point_id, time, {R('value')} AS value FROM (SELECT *, row_number() OVER (PARTITION BY aoi ORDER BY md5('7|' || point_id || '|' || CAST(time AS VARCHAR))) AS rn

@@ -43,25 +43,32 @@ def r2(spark, sf):
 
 
 def write_runs(spark, sf):
-    """Every model's and year's reconstruction under <root>/<model>/<run>/states.parquet; (root, what was written)."""
+    """Every model's and year's reconstruction, written at once; the folder."""
     root = scratch_path(spark, "runs")
-    rows = staged(states(spark, sf), "states", ["model", "run"])
-    runs = [(r.model, r.run) for r in rows.select("model", "run").distinct().collect()]  # one row per run
-    for model, run in runs:
-        part = rows.where((F.col("model") == model) & (F.col("run") == run)).select("date", "site", "variable", "value", "se")
-        wr.write_views({"": part.coalesce(1)}, f"{root}/{model}/{run}")
-    return root, runs
+    wr.write_runs(staged(states(spark, sf).select("model", "run", "date", "site", "variable", "value", "se"), "states"), root)
+    return root
 
 
 @query("R4_read_runs_with_labels", with_ctes(f"SELECT model, run, date, site, variable, {R('value')} AS value, {R('se')} AS se FROM states", "raw", [STATES]))
 def r4(spark, sf):
-    root, runs = write_runs(spark, sf)
-    return rd.read_runs(spark, [f"{root}/{m}/{r}/states.parquet" for m, r in runs])
+    return rd.read_listed_runs(spark, write_runs(spark, sf))
 
 
 @query("R3_run_listing", with_ctes("SELECT model, max(run) AS run FROM states GROUP BY 1", "raw", [STATES]))
 def r3_listing(spark, sf):
-    return combine.latest_runs(rd.run_registry(spark, write_runs(spark, sf)[0]), "states.parquet")
+    return combine.latest_runs(rd.list_runs(spark, write_runs(spark, sf)), "states")
+
+
+@query("W2_run_manifest", with_ctes("SELECT model, run, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS n_dates FROM states GROUP BY 1, 2", "raw", [STATES]))
+def w2_manifest(spark, sf):
+    return rd.list_runs(spark, write_runs(spark, sf)).select("model", "run", "n_rows", "first_date", "last_date", "n_dates")
+
+
+@query("W2_written_axis", with_ctes("SELECT t0 AS start, 5 AS time_step, last_bin FROM span", "conv", grid_ctes(5)))
+def w2_axis(spark, sf):
+    root = scratch_path(spark, "grid")
+    wr.write_grid(the_grid(spark, sf, 5), root)
+    return spark.read.parquet(f"{root}/axis")
 
 
 @query("W1_write_clean_and_removed", with_ctes(f"SELECT {ID_SQL}, variable, {R('value')} AS value, reason, stage IS NULL AS retained FROM f2", "conv", CHAIN[:3]))

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found to be at most this many.
-#: Every table passed to :func:`small_side` is narrow (tens of bytes a column, few columns).
 BROADCAST_ROWS = 200_000
+#: And, where a table may hold long text or arrays, at most so many bytes (estimated as it is written).
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,14 +66,29 @@ def staged(df: DataFrame, label: str = "stage", partition_by: list[str] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a join side and mark it for broadcast only when it was found to be small.
+def _row_bytes(df: DataFrame):
+    """A row's size, roughly: 16 bytes a column, and the contents of texts and arrays."""
+    out = F.lit(16 * len(df.columns)).cast("bigint")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+        elif kind in ("array", "map"):
+            out = out + 16 * F.greatest(F.size(f"`{f.name}`"), F.lit(0))
+    return out
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a join side and mark it for broadcast only when it was found to be small, in rows and in bytes.
 
     A larger side comes back unmarked and joins by shuffle, where adaptive execution splits
     skewed keys.
     """
-    table, rows = cut_counted(df)
-    return F.broadcast(table) if rows <= max_rows else table
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(df)).alias("bytes")))
+    found = seen.get
+    small = int(found.get("n") or 0) <= max_rows and int(found.get("bytes") or 0) <= max_bytes
+    return F.broadcast(table) if small else table
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

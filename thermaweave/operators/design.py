@@ -138,7 +138,7 @@ def require_names(wanted: DataFrame, params: DataFrame, optional: bool = False)
 def seasonal_regressions(scaled: DataFrame, harmonics: int, period: float, min_obs: int, keys: list[str] = ("variable", "site"), y: str = "y", date: str = "date") -> DataFrame:
     """Intercept and 2H seasonal coefficients per series.
 
-    One aggregate collects the centred sums of each series; a vectorised solve finishes each row.
+    One aggregate collects the centred sums of each series; all systems of an Arrow batch are solved at once.
     Series that are too short or rank deficient are left out.
     """
     from ..functions.exprs import harmonic_terms
@@ -161,15 +161,18 @@ def _solver(size: int):
     def solve(means: pd.Series, gram: pd.Series, cross: pd.Series) -> pd.Series:
         import numpy as np
 
-        out = []
-        for m, g, c in zip(means, gram, cross):
-            g = np.asarray(g, dtype=float).reshape(size, size)
-            if np.linalg.matrix_rank(g, tol=1e-10 * max(1.0, float(np.abs(g).max()))) < size:
-                out.append(None)
-                continue
-            b = np.linalg.solve(g, np.asarray(c, dtype=float))
-            out.append([float(m[0] - b @ np.asarray(m[1:], dtype=float)), *map(float, b)])
-        return pd.Series(out)
+        n = len(means)
+        m, g, c = (np.array(x.tolist(), dtype=float).reshape(n, *shape) for x, shape in ((means, (size + 1,)), (gram, (size, size)), (cross, (size,))))
+        usable = np.isfinite(g).all(axis=(1, 2))
+        g[~usable] = 0.0
+        singular = np.linalg.svd(g, compute_uv=False)
+        floor = 1e-10 * np.maximum(1.0, np.abs(g).max(axis=(1, 2)))
+        usable &= (singular > floor[:, None]).all(axis=1)
+        b = np.linalg.solve(g[usable], c[usable][:, :, None])[:, :, 0]
+        mu = m[usable, 0] - (b * m[usable, 1:]).sum(axis=1)
+        out = pd.Series([None] * n, dtype=object)
+        out[np.flatnonzero(usable)] = list(np.column_stack([mu, b]))
+        return out
 
     return solve
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, small_side
+from ..functions.lineage import cut, small_side, staged
 from .spheretree import search
 
 
@@ -82,8 +82,10 @@ def fill_from_donors(df: DataFrame, picks: DataFrame, where: Column, prefix: str
 def impute_nearest(df: DataFrame, where: Column, prefix: str, limit_km: float | None = 25.0, min_fraction: float | None = None,
                    site: str = "point_id", time: str = "time", value: str = "value") -> DataFrame:
     """Coverage, donor choice and fill in one call."""
-    cover = donor_coverage(df, where, site, value)
-    sites = cut(site_positions(df, site, time).join(cover, "site"))
+    df = staged(df, "extract")  # what the choice and the fill both read
+    first = F.min(F.struct(F.col(time), F.col("lat"), F.col("lon"))).alias("f")
+    sites = df.groupBy(F.col(site).alias("site")).agg(first, F.count(F.when(where, F.col(value))).alias("n_valid"))
+    sites = cut(sites.select("site", "f.lat", "f.lon", "n_valid", (F.col("n_valid") > 0).alias("has_values")))
     donors = sites.where("has_values").select("site", "lat", "lon", "n_valid")
     lacking = sites.where("not has_values").select("site", "lat", "lon")
     if min_fraction is None:

@@ -7,8 +7,9 @@ form, with a NULL row for every gap, is produced only on request.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SEASON_DAYS, finite, harmonic_terms
@@ -20,6 +21,34 @@ from .labelling import require_columns
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+@dataclass(frozen=True)
+class TimeAxis:
+    """Bins of ``time_step`` days from ``start``, numbered from 0 to ``last_bin``."""
+
+    start: dt.date
+    time_step: int
+    last_bin: int
+
+    def within(self, after=None, until=None) -> "TimeAxis":
+        """The bins that begin after ``after`` and no later than ``until``: what :func:`select_period` keeps of a grid."""
+        first, last = 0, self.last_bin
+        if after is not None:
+            first = max(first, (_day(after) - self.start).days // self.time_step + 1)
+        if until is not None:
+            last = min(last, (_day(until) - self.start).days // self.time_step)
+        if last < first:
+            raise ValueError("no bin of the time axis lies in the chosen period")
+        return TimeAxis(self.start + dt.timedelta(days=first * self.time_step), self.time_step, last - first)
+
+    def dates(self, spark: SparkSession) -> DataFrame:
+        """One row per bin: its number and its first day."""
+        return spark.range(self.last_bin + 1).select(F.col("id").cast("int").alias("bin"), F.date_add(F.lit(self.start), F.col("id").cast("int") * F.lit(self.time_step)).alias("date"))
+
+
+def _day(d) -> dt.date:
+    return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)[:10])
+
+
 class Grid:
     """Observed cells, the series dimension and the date axis."""
 
@@ -27,6 +56,10 @@ class Grid:
         self.cells, self.series, self.sites, self.dropped = cells, series, sites, dropped
         self.start, self.last_bin, self.time_step = start, last_bin, time_step
 
+    @property
+    def time_axis(self) -> TimeAxis:
+        return TimeAxis(self.start, self.time_step, self.last_bin)
+
     def date_of(self, b) -> Column:
         return F.date_add(F.lit(self.start), (F.col(b) if isinstance(b, str) else b) * F.lit(self.time_step))
 
@@ -222,15 +255,29 @@ def thin_columns(grid: Grid, max_columns: int = 1500) -> DataFrame:
 # ---- series statistics ----------------------------------------------------------------------
 
 
-def rolling_mean(df: DataFrame, keys: list[str], date: str = "date", values: list[str] = ("value",), before: int = 1, after: int = 1) -> DataFrame:
+def in_time_blocks(df: DataFrame, at: Column, before: int, after: int, size: int) -> DataFrame:
+    """Rows in blocks of ``size`` steps, copied into the neighbouring blocks whose rows look at them; ``_block`` and ``_own`` are added.
+
+    A row at ``t`` looks at ``[t - before, t + after]``, so it is needed from ``t - after`` to ``t + before``. A window by key and ``_block`` then
+    holds a block and its margins, never a whole series.
+    """
+    def block(c: Column) -> Column:
+        return F.floor(c / F.lit(float(size))).cast("bigint")
+
+    out = df.withColumn("_block", F.explode(F.sequence(block(at - F.lit(after)), block(at + F.lit(before)))))
+    return out.withColumn("_own", F.col("_block") == block(at))
+
+
+def rolling_mean(df: DataFrame, keys: list[str], date: str = "date", values: list[str] = ("value",), before: int = 1, after: int = 1, block_days: int = 4096) -> DataFrame:
     """Means of all values within a calendar-day window, one row per key and date present.
 
-    Values are first summed per date, so a window never holds more rows than there are dates.
+    Values are first summed per date; a series is cut into blocks of days, so that it spans tasks.
     """
     sums = [c for v in values for c in (F.sum(v).alias(f"_s_{v}"), F.count(v).alias(f"_n_{v}"))]
-    near = Window.partitionBy(*keys).orderBy(F.unix_date(date)).rangeBetween(-before, after)
+    daily = in_time_blocks(df.groupBy(*keys, date).agg(*sums), F.unix_date(date), before, after, block_days)
+    near = Window.partitionBy(*keys, "_block").orderBy(F.unix_date(date)).rangeBetween(-before, after)
     means = [(F.sum(f"_s_{v}").over(near) / F.nullif(F.sum(f"_n_{v}").over(near), F.lit(0))).alias(f"{v}_mean") for v in values]
-    return df.groupBy(*keys, date).agg(*sums).select(*keys, date, *means)
+    return daily.select(*keys, date, "_own", *means).where("_own").drop("_own")
 
 
 def date_gaps(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
@@ -246,19 +293,20 @@ def modal_gap(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
     return counts.groupBy(*keys).agg(F.max_by("gap", F.struct("n", -F.col("gap"))).alias("step_days"))
 
 
-def autocorrelation(cells: DataFrame, keys: list[str], max_lag: int, bin_col: str = "bin", value: str = "value") -> DataFrame:
+def autocorrelation(cells: DataFrame, keys: list[str], max_lag: int, bin_col: str = "bin", value: str = "value", block_bins: int = 4096) -> DataFrame:
     """Autocorrelation by lag with gaps passed over.
 
     Deviations are from the series mean; a lag's sum over observed pairs is divided by
-    (pairs + lag), lag 0 by its own count. A series has one cell per bin, so all lags are windows
-    over one shuffle of the cells; lags without a pair give no row.
+    (pairs + lag), lag 0 by its own count. A series has one cell per bin and is cut into blocks of bins with a margin of the
+    largest lag, so all lags are windows over one shuffle and a series spans tasks; lags without a pair give no row.
     """
-    whole = Window.partitionBy(*keys)
-    ahead = whole.orderBy(F.col(bin_col))
-    x = cells.where(F.col(value).isNotNull()).select(*keys, bin_col, (F.col(value) - F.avg(value).over(whole)).alias("_x"))
+    seen = cells.where(F.col(value).isNotNull()).select(*keys, bin_col, F.col(value).alias("_v"))
+    means = small_side(seen.groupBy(*keys).agg(F.avg("_v").alias("_m")))
+    x = null_safe_join(seen, means, keys).select(*keys, bin_col, (F.col("_v") - F.col("_m")).alias("_x"))
+    ahead = Window.partitionBy(*keys, "_block").orderBy(F.col(bin_col))
     lags = range(max_lag + 1)
-    products = x.select(*keys, *[(F.col("_x") * F.sum("_x").over(ahead.rangeBetween(k, k))).alias(f"_p{k}") for k in lags])
-    sums = products.groupBy(*keys).agg(*[c for k in lags for c in (F.sum(f"_p{k}").alias(f"_s{k}"), F.count(f"_p{k}").alias(f"_n{k}"))])
+    products = in_time_blocks(x, F.col(bin_col), 0, max_lag, block_bins).select(*keys, "_own", *[(F.col("_x") * F.sum("_x").over(ahead.rangeBetween(k, k))).alias(f"_p{k}") for k in lags])
+    sums = products.where("_own").groupBy(*keys).agg(*[c for k in lags for c in (F.sum(f"_p{k}").alias(f"_s{k}"), F.count(f"_p{k}").alias(f"_n{k}"))])
     first = F.try_divide("_s0", "_n0")
     rows = F.explode(F.array(*[
         F.struct(F.lit(k).alias("lag"), F.col(f"_n{k}").alias("n_pairs"), F.try_divide(F.try_divide(f"_s{k}", F.col(f"_n{k}") + k), first).alias("acf"))
@@ -290,8 +338,13 @@ def spatial_bins(df: DataFrame, size_m: float = 2000.0, lat: str = "lat", lon: s
 
 
 def with_distinct_dates(df: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
-    """Each row with its group's number of distinct dates."""
-    n = df.select(*keys, date).distinct().groupBy(*keys).agg(F.count(date).alias("n_dates"))
+    """Each row with its group's number of distinct dates.
+
+    Dates are bits of a map per group, merged before the shuffle: a task sends a bitmap for each group (4 KB for every 90 years), not its dates.
+    """
+    day = F.unix_date(date).cast("bigint")
+    maps = df.groupBy(*keys, F.bitmap_bucket_number(day).alias("_b")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(day))).alias("_n"))
+    n = maps.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_dates"))
     return null_safe_join(df, small_side(n), keys)
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MAD_FACTOR, correlation, percent
-from ..functions.lineage import BROADCAST_ROWS, cut_counted, small_side, staged
-from ..functions.quantiles import attach_median_mad, attach_quantiles, count_values
+from ..functions import quantiles
+from ..functions.exprs import correlation, percent
+from ..functions.lineage import BROADCAST_ROWS, cut, cut_counted, null_safe_join, small_side, staged
+from ..functions.quantiles import narrow, summarise, summarise_with_mad
 from .labelling import id_columns, require_columns
 from .screening import DIAGNOSTICS, MATCH_STAGE, alive, begin, mark, per_key, pivot_keys
 
@@ -112,22 +113,13 @@ def match_up_variance(
 
 def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = None, min_n: int = 10) -> DataFrame:
     """The statistic block of :func:`match_up_variance` for prepared ``diff`` rows."""
-    rows = attach_quantiles(rows, keys, "diff", {"p025": 0.025, "median_bias": 0.5, "p975": 0.975})
-    rows = rows.withColumn("_dev", F.abs(F.col("diff") - F.col("median_bias")))
-    rows = attach_quantiles(rows, keys, "_dev", {"_mad": 0.5})
-    rows = rows.withColumn("rsd", F.lit(MAD_FACTOR) * F.col("_mad"))
     d, y, x = F.col("diff"), F.col("target_value"), F.col("ref_value")
     base = [
         F.count(d).alias("n"), F.avg(d).alias("bias"), F.stddev_samp(d).alias("sd"), F.sqrt(F.avg(d * d)).alias("rmsd"),
-        *[F.max(c).alias(c) for c in ("median_bias", "rsd", "p025", "p975")],
         F.stddev_samp(y).alias("_sy"), F.stddev_samp(x).alias("_sx"), correlation(y, x).alias("_r"), F.regr_slope(y, x).alias("_b"),
     ]
     names = ["bias", "sd", "rmsd", "median_bias", "rsd", "p025", "p975"]
-    if trim is not None:
-        width = F.col("rsd")
-        near = F.col("_dev") <= F.lit(float(trim)) * width
-        base += [F.count_if(near).alias("_nt"), F.stddev_samp(F.when(near, d)).alias("_st")]
-    out = rows.groupBy(*keys).agg(*base)
+    out, n_keys = summarise_with_mad(rows, keys, {"diff": {"p025": 0.025, "median_bias": 0.5, "p975": 0.975}}, "diff", "median_bias", "rsd", base)
     enough = F.col("n") >= min_n
     varied = enough & (F.col("_sx") > 0) & (F.col("_sy") > 0)
     cols = [*keys, "n", *[F.when(enough, F.col(c)).alias(c) for c in names],
@@ -135,33 +127,33 @@ def spread_statistics(rows: DataFrame, keys: list[str], trim: float | None = Non
     if trim is None:
         return out.select(*cols)
     # A robust spread of zero falls back to the ordinary one.
-    flat = small_side(out.where(enough & (F.col("rsd") == 0)).select(*keys, "sd", F.col("median_bias").alias("_m")))
-    redo = rows.select(*keys, "diff").join(flat, keys).groupBy(*keys).agg(
-        F.count_if(F.abs(d - F.col("_m")) <= F.lit(float(trim)) * F.col("sd")).alias("_nt2"),
-        F.stddev_samp(F.when(F.abs(d - F.col("_m")) <= F.lit(float(trim)) * F.col("sd"), d)).alias("_st2"),
-    )
-    out = out.join(redo, keys, "left")
-    zero = F.col("rsd") == 0
-    n_trim = F.when(enough, F.when(zero, F.col("_nt2")).otherwise(F.col("_nt")))
-    sd_trim = F.when(enough & (n_trim >= 2), F.when(zero, F.col("_st2")).otherwise(F.col("_st")))
-    return out.select(*cols, n_trim.alias("n_trim"), sd_trim.alias("sd_trim"))
+    out = cut(out)
+    width = F.when(F.col("rsd") == 0, F.col("sd")).otherwise(F.col("rsd"))
+    bands = out.where(enough).select(*keys, F.col("median_bias").alias("_m"), (F.lit(float(trim)) * width).alias("_w"))
+    near = null_safe_join(rows.select(*keys, "diff"), F.broadcast(bands) if n_keys <= BROADCAST_ROWS else bands, keys, "inner").where(F.abs(d - F.col("_m")) <= F.col("_w"))
+    out = null_safe_join(out, near.groupBy(*keys).agg(F.count(d).alias("_nt"), F.stddev_samp(d).alias("_st")), keys)
+    n_trim = F.when(enough, F.coalesce("_nt", F.lit(0)))
+    return out.select(*cols, n_trim.alias("n_trim"), F.when(enough & (n_trim >= 2), F.col("_st")).alias("sd_trim"))
 
 
 # ---- fits -----------------------------------------------------------------------------------
 
 
 def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None) -> DataFrame:
-    """Huber M-estimate of a line per key by reweighted sums: one aggregate per iteration.
+    """Huber M-estimate of a line per key by reweighted sums: one written aggregate per iteration.
 
     Starts from least squares; the scale of each step is ``median(|r|) / 0.6745``. A key stops
     when its residuals change by less than 1e-4 (relative) or its scale is zero. Keys still
     moving after 50 steps have no fit.
+
+    A step moves no residual by more than the new line is away from the old one at the ends of x, so the next median lies as close
+    to the last: only values in that bracket, and in the one where weights begin to fall, are told apart; all others are sums. A group of at most
+    ``RANKED`` rows has one bracket. Only a larger one whose line still moves far has its median searched first.
     """
     x, y = F.col("_x"), F.col("_y")
     fixed = intercept is not None
-
-    def line(w: Column) -> list[Column]:
-        return [F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy")]
+    turn = HUBER_K / MAD_DIVISOR  # weights fall from this multiple of the median on
+    parts = {"s": F.lit(1.0), "sx": x, "sy": y, "sxx": x * x, "sxy": x * y}
 
     def solve(t: DataFrame) -> tuple[Column, Column]:
         if fixed:
@@ -171,40 +163,78 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None) -> D
         b = (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / det
         return (F.col("sy") - b * F.col("sx")) / F.col("s"), b
 
+    def beside(table: DataFrame, n: int) -> DataFrame:
+        out = rows.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, keys)
+        return out.withColumn("_ar", F.abs(y - F.col("a") - F.col("b") * x))
+
+    def written(table: DataFrame) -> tuple[DataFrame, int, int]:
+        """The step's lines (written, not checkpointed: a checkpoint hands its constraints on, and they multiply), how many go on, and how many need a search."""
+        seen = Observation()
+        out = staged(table.observe(seen, F.count_if(~F.col("done")).alias("on"), F.count_if(~F.col("done") & F.col("search")).alias("search")), "huber-step")
+        found = seen.get
+        return out, int(found.get("on") or 0), int(found.get("search") or 0)
+
     rows = staged(rows, "huber")
-    start = rows.groupBy(*keys).agg(*line(F.lit(1.0)), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    start = rows.groupBy(*keys).agg(*[F.sum(v).alias(k) for k, v in parts.items()], F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     a, b = solve(start)
-    active, n_active = cut_counted(start.where(F.col("lo") < F.col("hi")).select(*keys, a.alias("a"), b.alias("b")))
+    big = F.col("n") > quantiles.RANKED
+    none = F.lit(None).cast("double")
+    fresh, n_active, n_search = written(start.where(F.col("lo") < F.col("hi")).select(*keys, "n", "lo", "hi", a.alias("a"), b.alias("b"), none.alias("m"), none.alias("far"), F.lit(False).alias("done"), big.alias("search")))
     finished = None
-    counted = count_values(rows, keys, "_y")  # each step has a residual for each value
     for _ in range(IRLS_STEPS):
         if n_active == 0:
             break
-        cur = rows.join(F.broadcast(active) if n_active <= BROADCAST_ROWS else active, keys).withColumn("_r", y - F.col("a") - F.col("b") * x).withColumn("_ar", F.abs(F.col("_r")))
-        cur = attach_quantiles(cur, keys, "_ar", {"_m": 0.5}, counted).withColumn("_s", F.col("_m") / F.lit(MAD_DIVISOR))
-        weight = F.when(F.col("_ar") <= F.lit(HUBER_K) * F.col("_s"), F.lit(1.0)).otherwise(F.lit(HUBER_K) * F.col("_s") / F.col("_ar"))
-        sums = cur.groupBy(*keys).agg(
-            F.max("a").alias("a0"), F.max("b").alias("b0"), F.max("_s").alias("scale"), F.count(F.lit(1)).alias("n"),
-            F.sum(x).alias("ux"), F.sum(x * x).alias("uxx"), F.sum(F.col("_r") * F.col("_r")).alias("rr"), *line(weight),
+        active = fresh.where(~F.col("done")).drop("done")
+        known = none
+        if n_search:
+            seek = beside(active.where("search").select(*keys, "a", "b"), n_search).select(*keys, "_ar")
+            found, _ = summarise(seek, keys, {"_ar": {"_m": 0.5}})
+            active = active.join(F.broadcast(found) if n_search <= BROADCAST_ROWS else found, keys, "left")
+            known = F.col("_m")
+        low = F.when(~big, -math.inf).otherwise(F.coalesce(known, F.col("m") - F.col("far")))
+        high = F.when(~big, math.inf).otherwise(F.coalesce(known, F.col("m") + F.col("far")))
+        cur = beside(active.withColumns({"_lo": low, "_hi": high, "_known": known}), n_active)
+        ar = F.col("_ar")
+        zone = F.when(ar < F.col("_lo"), 0).when(ar <= F.col("_hi"), 1).when(ar < turn * F.col("_lo"), 2).when(ar <= turn * F.col("_hi"), 3).otherwise(4)
+        cell = F.when(zone.isin(1, 3), ar)
+        far_out = F.when(zone == 4, ar)
+        lines = ["n", "lo", "hi", "a", "b", "_known"]
+        cells = cur.groupBy(*keys, *lines, zone.alias("_zone"), cell.alias("_cell")).agg(
+            F.count(F.lit(1)).alias("_c"), F.sum(x).alias("ux"), F.sum(x * x).alias("uxx"), F.sum(ar * ar).alias("rr"),
+            *[F.sum(v).alias(f"i_{k}") for k, v in parts.items()], *[F.sum(v / far_out).alias(f"o_{k}") for k, v in parts.items()],
+        )
+        key = Window.partitionBy(*keys)
+        to = F.sum("_c").over(key.orderBy("_zone", F.asc_nulls_first("_cell")).rowsBetween(Window.unboundedPreceding, 0))
+        cells = cells.withColumn("_to", to)
+        middle = (F.col("n") - 1) * F.lit(0.5)
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when((F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to")) & (F.col("_zone") == 1), F.col("_cell"))).over(key)
+
+        first, second = at(F.floor(middle)), at(F.ceil(middle))
+        cells = cells.withColumn("m", F.coalesce("_known", (first + second) / 2))
+        limit = F.lit(turn) * F.col("m")
+        weight = F.when(F.col("_cell").isNull() | (F.col("_cell") <= limit), F.lit(1.0)).otherwise(limit / F.col("_cell"))
+        sums = cells.groupBy(*keys, *lines[:-1], "m").agg(
+            F.sum("ux").alias("ux"), F.sum("uxx").alias("uxx"), F.sum("rr").alias("rr"),
+            *[F.sum(F.when(F.col("_zone") == 4, limit * F.col(f"o_{k}")).otherwise(weight * F.col(f"i_{k}"))).alias(k) for k in parts],
         )
-        a, b = solve(sums)
-        step = sums.withColumn("a1", a).withColumn("b1", b)
-        da, db = F.col("a1") - F.col("a0"), F.col("b1") - F.col("b0")
+        a1, b1 = solve(sums)
+        step = sums.withColumn("a1", a1).withColumn("b1", b1)
+        da, db = F.col("a1") - F.col("a"), F.col("b1") - F.col("b")
         # Sum of squared residual changes in closed form: both fits are lines.
         moved = F.col("n") * da * da + 2 * da * db * F.col("ux") + db * db * F.col("uxx")
         settled = F.sqrt(F.greatest(moved, F.lit(0.0)) / F.greatest(F.col("rr"), F.lit(1e-20))) <= IRLS_TOLERANCE
-        flat = F.col("scale") == 0
-        fresh = step.select(
-            *keys, F.when(flat, F.col("a0")).otherwise(F.col("a1")).alias("a"), F.when(flat, F.col("b0")).otherwise(F.col("b1")).alias("b"),
-            (flat | settled).alias("done"),
-        )
-        # Written, not checkpointed: a checkpoint hands its constraints on, and they multiply from step to step.
-        fresh = staged(fresh, "huber-step")
-        done = fresh.where("done").drop("done")
+        flat = F.col("m") == 0
+        lost = F.col("m").isNull()  # rounding moved the median out of its bracket: search it, from the same line
+        far = F.greatest(F.abs(da + db * F.col("lo")), F.abs(da + db * F.col("hi"))) * (1 + 1e-6) + F.lit(1e-12)
+        fresh, n_active, n_search = written(step.select(
+            *keys, "n", "lo", "hi", F.when(flat | lost, F.col("a")).otherwise(F.col("a1")).alias("a"), F.when(flat | lost, F.col("b")).otherwise(F.col("b1")).alias("b"), "m", far.alias("far"),
+            F.coalesce(flat | settled, F.lit(False)).alias("done"), (big & F.coalesce(far * F.col("n") > quantiles.RANKED * F.col("m"), F.lit(True))).alias("search"),
+        ))
+        done = fresh.where("done").select(*keys, "a", "b")
         finished = done if finished is None else finished.unionByName(done)
-        active = fresh.where(~F.col("done")).drop("done")
-        n_active = active.count()
-    return active.where("false") if finished is None else finished
+    return fresh.where("false").select(*keys, "a", "b") if finished is None else finished
 
 
 def fit_match_up(
@@ -223,7 +253,7 @@ def fit_match_up(
     # Unused rows stay, with NULLs, so that every group appears; aggregates pass over them.
     use = F.col("_use") & F.col("_y").isNotNull() & F.col("_x").isNotNull()
     base = df.select("_grp", F.when(use, F.col("_y")).alias("_y"), F.when(use, F.col("_x")).alias("_x"))
-    rows = with_levels(base, F.col("_grp"), single).where("pooled or group is not null").select(*keys, "_y", "_x")
+    rows = with_levels(narrow(base, ["_grp", "_y", "_x"], "pairs"), F.col("_grp"), single).where("pooled or group is not null").select(*keys, "_y", "_x")
     x, y = F.col("_x"), F.col("_y")
     fix_b, fix_a = slope is not None, intercept is not None
     fixed = {(True, True): "slope + intercept", (True, False): "slope", (False, True): "intercept", (False, False): "none"}[fix_b, fix_a]
@@ -232,7 +262,7 @@ def fit_match_up(
     elif fix_b:
         off = rows.withColumn("b", F.lit(float(slope))).withColumn("_d", y - F.col("b") * x)
         if center == "median":
-            lined = attach_quantiles(off, keys, "_d", {"a": 0.5})
+            lined = off.join(small_side(summarise(off.select(*keys, "_d"), keys, {"_d": {"a": 0.5}})[0]), keys)
         else:
             lined = off.join(small_side(off.groupBy(*keys).agg(F.avg("_d").alias("a"))), keys)
     elif center == "median":
@@ -246,14 +276,11 @@ def fit_match_up(
         sums = rows.groupBy(*keys).agg(F.regr_intercept(y, x).alias("a"), F.regr_slope(y, x).alias("b"))
         lined = rows.join(small_side(sums), keys, "left")
     lined = lined.withColumn("_r", y - F.col("a") - F.col("b") * x)
+    about = [F.count(y).alias("n"), F.count("_r").alias("_n"), F.max("a").alias("a"), F.max("b").alias("b"), F.stddev_samp("_r").alias("_sd")]
     if scale == "mad":
-        lined = attach_median_mad(lined, keys, "_r", "_rm", "_mad")
+        fits, _ = summarise_with_mad(lined.select(*keys, "_y", "a", "b", "_r"), keys, {"_r": {"_rm": 0.5}}, "_r", "_rm", "_mad", about)
     else:
-        lined = lined.withColumn("_mad", F.lit(None).cast("double"))
-    fits = lined.groupBy(*keys).agg(
-        F.count(y).alias("n"), F.count("_r").alias("_n"), F.max("a").alias("a"), F.max("b").alias("b"), F.max("_mad").alias("_mad"),
-        F.stddev_samp("_r").alias("_sd"),
-    )
+        fits = lined.groupBy(*keys).agg(*about).withColumn("_mad", F.lit(None).cast("double"))
     spread = F.coalesce(F.when(F.col("_mad") > 0, F.col("_mad")), F.when(F.col("_sd") > 0, F.col("_sd")))
     fits, n_fits = cut_counted(fits.select(*keys, "n", "a", "b", F.when(F.col("_n") >= 3, spread).alias("s")))
     whole = fits.where("pooled").first()

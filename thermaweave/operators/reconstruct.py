@@ -63,6 +63,39 @@ def view_coefficients(
     return base.join(coefs, "site").select("site", "mu", "sigma", "intercept", "season", "loading")
 
 
+#: Factors whose products are summed in one expression.
+FACTOR_BLOCK = 32
+
+
+def loadings(sites: DataFrame, params: DataFrame, m: int) -> DataFrame:
+    """The non-zero loadings (site, factor, value) of the first ``m`` factors, from parameters named ``lambda_<site>_<factor>``."""
+    pattern = r"^lambda_([0-9]+)_([0-9]+)$"
+    lam = params.where(F.col("name").rlike(pattern)).select(
+        F.regexp_extract("name", pattern, 1).cast("bigint").alias("_i"), F.regexp_extract("name", pattern, 2).cast("int").alias("factor"), "value")
+    own = sites.select("site", F.col("site_index").cast("bigint").alias("_i"))
+    return lam.where(F.col("factor") <= m).join(own, "_i").select("site", "factor", "value")
+
+
+def shared_part(cells: DataFrame, loads: DataFrame, factors: DataFrame) -> DataFrame:
+    """What the shared factors add at each (site, date) of ``cells``: (site, date, shared, shared_var).
+
+    A sparse product in blocks of ``FACTOR_BLOCK`` factors: a site meets only the blocks in which it has loadings, a block is one
+    expression of a row, and the sums of a cell's blocks are combined before the shuffle. Nothing is as long as the number of factors.
+    """
+    size = F.lit(FACTOR_BLOCK)
+    block, place = F.floor((F.col("factor") - 1) / size).cast("int").alias("_block"), F.pmod(F.col("factor") - 1, size).cast("int")
+
+    def dense(name: str) -> Column:
+        """A block's values in order, zero where there is none."""
+        entries = F.map_from_entries(F.collect_list(F.struct(place.alias("k"), F.col(name).alias("v"))))
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.coalesce(F.try_element_at(entries, k), F.lit(0.0)))
+
+    own = loads.groupBy("site", block).agg(dense("value").alias("_l"))
+    both = factors.groupBy("date", block).agg(dense("x").alias("_x"), dense("se").alias("_se"))
+    parts = cells.select("site", "date").join(small_side(own), "site").join(small_side(both), ["date", "_block"])
+    return parts.groupBy("site", "date").agg(F.sum(_dot("_l", "_x")).alias("shared"), F.sum(_dot_squares("_l", "_se")).alias("shared_var"))
+
+
 def factor_table(factors: DataFrame, m: int) -> DataFrame:
     """Factor states (factor, date, x, se) as one row of arrays per date."""
     def pick(c: str) -> Column:
@@ -81,10 +114,12 @@ def _dot_squares(a: str, b: str) -> Column:
 
 def reconstruct_view(
     site_states: DataFrame, factors: DataFrame | None, coefs: DataFrame, variable: str = "sst", harmonics: int = 1, period: float = SEASON_DAYS,
-    site_state: bool = True,
+    site_state: bool = True, shared_cells: DataFrame | None = None,
 ) -> DataFrame:
     """``value = sigma * (Z x + season + intercept) + mu`` and its standard error, per (site, date).
 
+    The factors' part comes either as ``factors`` (a few, as arrays by date) or, for any number, as ``shared_cells`` from :func:`shared_part`.
+
     Site states are the fact table; factor states join by date and coefficients by site, both small
     and checked, so the matrix products are expressions on one row and no product is shuffled.
     """
@@ -92,6 +127,9 @@ def reconstruct_view(
     if factors is not None:
         rows = rows.join(small_side(factors), "date")
         shared, shared_var = _dot("loading", "fx"), _dot_squares("loading", "fse")
+    elif shared_cells is not None:
+        rows = rows.join(shared_cells, ["site", "date"], "left")
+        shared, shared_var = (F.coalesce(c, F.lit(0.0)) for c in ("shared", "shared_var"))
     else:
         shared = shared_var = F.lit(0.0)
     own, own_var = (F.col("x"), F.col("se") * F.col("se")) if site_state else (F.lit(0.0), F.lit(0.0))

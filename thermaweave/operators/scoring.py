@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import STREAMS, correlation, draw, stir
 from ..functions.lineage import cut, small_side, staged
-from ..functions.quantiles import quantile_table
+from ..functions.quantiles import narrow, quantile_table, summarise
 from ..functions.ranking import number_rows
+from ..functions.resample import redraw
 from .matchup import POOLED
 
 # The three scored predictions, the normal coverage multiplier, interval names.
 MODELS = {"full": "pred_full", "ref_model": "pred_ref_model", "ref_raw": "pred_ref_raw"}
 Z95 = 1.96
+#: Replicates of a unit that are redrawn together.
+BLOCK = 500
 SKILL_COLUMNS = [
     "n", "bias_lo", "bias_lo2", "bias", "bias_hi2", "bias_hi", "mse_lo", "mse_lo2", "MSE", "mse_hi2", "mse_hi",
     "rmse_lo", "rmse_lo2", "RMSE", "rmse_hi2", "rmse_hi", "MAE", "cor", "cover95", "dmse_lo", "dmse_lo2", "dMSE", "dmse_hi2", "dmse_hi",
@@ -130,29 +133,9 @@ def _units(preds: DataFrame, unit: str, time: str) -> DataFrame:
     return packed.join(number_rows(packed.select("unit"), [], ["unit"], "unit_no"), "unit")
 
 
-def _redrawn(slots: DataFrame) -> DataFrame:
-    """Sums of errors and squares over ``n_rows`` draws from each row's own arrays.
-
-    Draw ``j`` goes on from the row's two streams ``_x`` and ``_y``. Everything happens inside one expression of
-    the row: draws are never rows.
-    """
-    js = F.sequence(F.lit(1).cast("bigint"), F.col("n_rows"))
-    picks = F.transform(js, lambda j: (draw(stir("_x", j), stir("_y", j)) % F.col("n_rows") + 1).cast("int"))
-    out = slots.withColumn("_i", picks)
-
-    def total(of) -> Column:
-        return F.aggregate("_i", F.lit(0.0), lambda a, i: a + of(i))
-
-    sums = []
-    for m in MODELS:
-        own = F.col(f"e_{m}")
-        sums += [total(lambda i, own=own: F.element_at(own, i)).alias(f"s_{m}"), total(lambda i, own=own: F.element_at(own, i) * F.element_at(own, i)).alias(f"q_{m}")]
-    return out.select("b", "unit", "n_rows", *sums)
-
-
 def _statistics(sums: DataFrame, keys: list[str]) -> DataFrame:
     n = F.sum("n_rows")
-    stats = [(F.sum(f"q_{m}") / n).alias(f"mse_{m}") for m in MODELS] + [(F.sum(f"s_{m}") / n).alias(f"bias_{m}") for m in MODELS]
+    stats = [(F.sum(f"q_e_{m}") / n).alias(f"mse_{m}") for m in MODELS] + [(F.sum(f"s_e_{m}") / n).alias(f"bias_{m}") for m in MODELS]
     return sums.groupBy(*keys).agg(n.alias("n_draws"), *stats)
 
 
@@ -171,8 +154,8 @@ def bootstrap_draws(preds: DataFrame, replicates: int, seed: int = 1, unit: str
 
     Stage one draws as many units as there are, with replacement; stage two draws each drawn unit's rows with
     replacement. All draws are an integer hash of (seed, replicate, slot, draw), so any task can make them alone and a lost
-    task redraws the same. One draw scores every model and both statistics. Only (replicate, slot) rows meet the units,
-    by unit number: replicates times units, never times rows.
+    task redraws the same. One draw scores every model and both statistics. Thin (replicate, slot) rows are gathered in
+    blocks of replicates and meet the units by unit number: replicates times units, never times rows.
     """
     units = staged(_units(preds, unit, time), "numbered")
     n_units = units.count()
@@ -181,7 +164,9 @@ def bootstrap_draws(preds: DataFrame, replicates: int, seed: int = 1, unit: str
     slots = slots.withColumns(_streams(seed, "b", "slot"))
     # With one unit there is nothing to draw at the first stage: the pool has size one.
     slots = slots.withColumn("unit_no", draw("_x", "_y") % F.lit(max(n_units, 1)) + 1)
-    return _statistics(_redrawn(slots.join(units, "unit_no")), ["b"])
+    blocks = slots.groupBy("unit_no", F.floor(F.col("b") / BLOCK).alias("_block")).agg(F.collect_list(F.struct("b", "slot")).alias("_s"))  # about BLOCK each
+    blocks = blocks.select("unit_no", F.col("_s.b").alias("b"), F.col("_s.slot").alias("part"))
+    return _statistics(redraw(blocks.join(units, "unit_no"), "unit", [f"e_{m}" for m in MODELS], seed), ["b"])
 
 
 def bootstrap_intervals(draws: DataFrame, alpha: float = 0.05, alpha2: float = 0.10, keys: list[str] = ()) -> DataFrame:
@@ -195,12 +180,10 @@ def bootstrap_intervals(draws: DataFrame, alpha: float = 0.05, alpha2: float = 0
         F.struct(F.lit(m).alias("model"), F.col(f"bias_{m}").alias("bias"), F.col(f"mse_{m}").alias("mse"), (F.col(f"mse_{m}") - F.col("mse_full")).alias("dmse"))
         for m in MODELS
     ]))
-    rows = draws.select(*keys, cells.alias("c")).select(*keys, "c.*")
     probs = {"lo": alpha / 2, "lo2": alpha2 / 2, "hi2": 1 - alpha2 / 2, "hi": 1 - alpha / 2}
-    out = None
-    for stat in ("bias", "mse", "dmse"):
-        t = quantile_table(rows, [*keys, "model"], stat, {f"{stat}_{k}": p for k, p in probs.items()})
-        out = t if out is None else out.join(t, [*keys, "model"])
+    stats = ("bias", "mse", "dmse")
+    rows = narrow(draws.select(*keys, cells.alias("c")), [*keys, "c.model", *[f"c.{s}" for s in stats]], "replicates")
+    out, _ = summarise(rows, [*keys, "model"], {s: {f"{s}_{k}": p for k, p in probs.items()} for s in stats})
     ref = F.col("model") != "full"
     return out.select(
         *keys, "model", *[f"bias_{k}" for k in probs], *[f"mse_{k}" for k in probs], *[F.sqrt(f"mse_{k}").alias(f"rmse_{k}") for k in probs],
@@ -218,9 +201,11 @@ def score_table(preds: DataFrame, replicates: int, seed: int = 1, alpha: float =
 def bootstrap_by_unit(preds: DataFrame, replicates: int, seed: int = 1, alpha: float = 0.05, alpha2: float = 0.10, unit: str = "site", time: str = "date") -> DataFrame:
     """Intervals for every unit on its own, all units at once: rows are redrawn within the unit."""
     units = staged(_units(preds, unit, time), "numbered")
-    slots = units.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
-    slots = slots.withColumns(_streams(seed, "b", "unit_no"))
-    return bootstrap_intervals(_statistics(_redrawn(slots), ["unit", "b"]), alpha, alpha2, ["unit"])
+    first = F.explode(F.sequence(F.lit(0), F.lit(max(replicates - 1, 0)), F.lit(BLOCK)))
+    blocks = units.withColumn("_first", first).withColumn("b", F.sequence(F.col("_first").cast("bigint"), F.least(F.col("_first") + BLOCK, F.lit(replicates)).cast("bigint") - 1))
+    blocks = blocks.withColumn("part", F.transform("b", lambda _: F.col("unit_no"))).repartition("unit", "_first")
+    draws = cut(_statistics(redraw(blocks, "unit", [f"e_{m}" for m in MODELS], seed), ["unit", "b"]))
+    return bootstrap_intervals(draws, alpha, alpha2, ["unit"])
 
 
 def contrast_intervals(draws_a: DataFrame, draws_b: DataFrame, alpha: float = 0.05, alpha2: float = 0.10) -> DataFrame:

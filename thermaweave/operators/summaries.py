@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import MAD_FACTOR, METRES_PER_DEGREE, finite, percent
+from ..functions.exprs import METRES_PER_DEGREE, finite, percent
 from ..functions.lineage import small_side
-from ..functions.quantiles import attach_quantiles
+from ..functions.quantiles import narrow, summarise, summarise_with_mad
 from .matchup import POOLED, with_levels
 
 KEPT_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -21,23 +21,18 @@ def kept_removed_frame(df: DataFrame, group: str | None = None) -> DataFrame:
 
 def variable_summary(frame: DataFrame, by_group: bool = True) -> DataFrame:
     """Counts under both denominators and the kept / removed distributions, pooled and by group."""
+    frame = narrow(frame, ["variable", "group", "value", "retained"], "frame")  # what several passes read
     rows = with_levels(frame.withColumnRenamed("group", "_g"), F.col("_g"), pooled_only=not by_group)
     keys = ["variable", "pooled", "group"]
     rows = rows.select(*keys, "value", "retained", F.when(F.col("retained"), F.col("value")).alias("_k"), F.when(~F.col("retained"), F.col("value")).alias("_m"))
-    rows = attach_quantiles(rows, keys, "_k", KEPT_PROBS)
-    rows = attach_quantiles(rows, keys, "_m", {"rm_median": 0.5})
-    rows = rows.withColumn("_dev", F.abs(F.col("_k") - F.col("median")))
-    rows = attach_quantiles(rows, keys, "_dev", {"_mad": 0.5})
     k, m = F.col("_k"), F.col("_m")
-    out = rows.groupBy(*keys).agg(
+    out, _ = summarise_with_mad(rows, keys, {"_k": KEPT_PROBS, "_m": {"rm_median": 0.5}}, "_k", "median", "mad", [
         F.count(F.lit(1)).alias("n_input"), F.count("value").alias("n_present"),
         F.count_if("retained").alias("n_kept"), F.count_if(~F.col("retained")).alias("n_removed"),
         F.count_if(F.col("retained") & k.isNull()).alias("n_missing"),
         F.avg(k).alias("mean"), F.stddev_samp(k).alias("sd"), F.min(k).alias("min"), F.max(k).alias("max"),
-        *[F.max(p).alias(p) for p in KEPT_PROBS], (F.lit(MAD_FACTOR) * F.max("_mad")).alias("mad"),
-        F.count(m).alias("rm_n"), F.avg(m).alias("rm_mean"), F.stddev_samp(m).alias("rm_sd"),
-        F.max("rm_median").alias("rm_median"), F.min(m).alias("rm_min"), F.max(m).alias("rm_max"),
-    )
+        F.count(m).alias("rm_n"), F.avg(m).alias("rm_mean"), F.stddev_samp(m).alias("rm_sd"), F.min(m).alias("rm_min"), F.max(m).alias("rm_max"),
+    ])
     return out.select(
         "variable", "pooled", "group", "n_input", "n_present", "n_kept", "n_removed",
         percent("rm_n", "n_present", 3).alias("pct_removed"), percent("n_removed", "n_input", 3).alias("pct_of_rows"), "n_missing",
@@ -87,13 +82,10 @@ def histogram(frame: DataFrame, bins: int = 100) -> DataFrame:
 def group_display(frame: DataFrame) -> DataFrame:
     """Per variable and group: counts, removal rate and the retained five-number summary."""
     keys = ["variable", "group"]
-    rows = frame.where(F.col("value").isNotNull()).withColumn("_k", F.when(F.col("retained"), F.col("value")))
-    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    rows = attach_quantiles(rows, keys, "_k", probs)
-    out = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("retained")).alias("n_removed"), F.min("_k").alias("min"),
-        *[F.max(p).alias(p) for p in probs], F.max("_k").alias("max"),
-    )
+    rows = narrow(frame.where(F.col("value").isNotNull()), [*keys, "retained", F.when(F.col("retained"), F.col("value")).alias("_k")], "frame")
+    out, _ = summarise(rows, keys, {"_k": {"q1": 0.25, "median": 0.5, "q3": 0.75}}, [
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("retained")).alias("n_removed"), F.min("_k").alias("min"), F.max("_k").alias("max"),
+    ])
     return out.withColumn("pct_removed", F.lit(100.0) * F.col("n_removed") / F.col("n")).orderBy("variable", F.asc_nulls_last("median"))
 
 

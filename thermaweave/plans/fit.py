@@ -27,10 +27,16 @@ class ModelData:
     scales: DataFrame
     sites: DataFrame
     holdout: DataFrame | None
+    axis: g.TimeAxis
+    series: DataFrame
 
 
-def prepare(grid: DataFrame, cfg: ModelConfig) -> ModelData:
-    """Choose sites and period, withhold, scale per site by the reference, and index the sites."""
+def prepare(grid: DataFrame, cfg: ModelConfig, axis: g.TimeAxis | None = None) -> ModelData:
+    """Choose sites and period, withhold, scale per site by the reference, and index the sites and series.
+
+    ``axis`` is the grid's time axis; states exist on each of its bins in the period, whether observed or not. Without it
+    the axis is daily, from the first to the last observation.
+    """
     rows = g.select_period(grid.where(F.col("value").isNotNull()), cfg.sites, cfg.start, cfg.end)
     rows = rows.where(F.col("variable").isin(list(cfg.instruments)) | F.col("variable").isin(cfg.holdout_variables))
     held = None
@@ -43,7 +49,13 @@ def prepare(grid: DataFrame, cfg: ModelConfig) -> ModelData:
         scales = g.scale_constants(rows, cfg.scale_reference)
     scales = cut(scales)
     sites = cut(g.site_ranks(rows).join(scales, "site"))
-    return ModelData(rows, g.scale_values(rows, scales), scales, sites, held)
+    if axis is None:
+        span = rows.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+        axis = g.TimeAxis(span["a"], 1, (span["b"] - span["a"]).days)
+    else:
+        axis = axis.within(cfg.start, cfg.end)
+    series = g.index_series(cut(rows.select("variable", "site").distinct()), [*cfg.instruments, *[v for v in cfg.holdout_variables if v not in cfg.instruments]])
+    return ModelData(rows, g.scale_values(rows, scales), scales, sites, held, axis, series)
 
 
 @dataclass
@@ -55,6 +67,7 @@ class Fitted:
     states: DataFrame
     data: ModelData
     config: ModelConfig
+    design: DataFrame
 
     def view(self, variable: str | None = None) -> DataFrame:
         """The site view, or one instrument's own view, in physical units."""
@@ -76,6 +89,8 @@ def fit(data: ModelData, cfg: ModelConfig, shared_from: str, spread_reference: s
         raise ValueError("factors are not fitted here; give loadings and factor states to the reconstruction")
     spark = data.observed.sparkSession
     spec = design.instrument_table(spark, cfg.instruments)
+    # Written before anything is estimated: a site whose state no instrument observes is an error here.
+    entries = staged(design.observation_design(data.series.where(F.col("variable").isin(list(cfg.instruments))), spec, 0, 2 * cfg.harmonics), "design")
     regressions = cut(design.seasonal_regressions(data.scaled, cfg.harmonics, cfg.period, cfg.min_obs))
     own = design.seed_table(regressions, data.sites.select("site", "site_index"), spec, shared_from, 2 * cfg.harmonics)
     params = cut(own.unionByName(_offsets(regressions, spec, shared_from)))
@@ -89,11 +104,11 @@ def fit(data: ModelData, cfg: ModelConfig, shared_from: str, spread_reference: s
     resid = residuals(data, params, cfg)
     observing = [v for v, s in cfg.instruments.items() if s.get("site_state", True)]
     seen = staged(sm.collapse(resid.where(F.col("variable").isin(observing)), variances), "collapsed")
-    span = data.observed.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
-    scores = sm.log_likelihoods(seen, span["a"], [tuple(c) for c in cfg.candidates], cfg.init_var)
-    rho, tau = sm.best_candidate(scores)
-    states = sm.smooth(seen, span["a"], (span["b"] - span["a"]).days, rho, tau, cfg.init_var)
-    return Fitted(params, variances, rho, tau, staged(states, "states"), data, cfg)
+    axis = data.axis
+    scores = sm.log_likelihoods(seen, axis.start, [tuple(c) for c in cfg.candidates], cfg.init_var, axis.time_step, axis.last_bin)
+    rho, tau = sm.best_candidate(cut(scores))
+    states = sm.smooth(seen, axis.start, axis.last_bin, rho, tau, cfg.init_var, axis.time_step)
+    return Fitted(params, variances, rho, tau, staged(states, "states"), data, cfg, entries)
 
 
 def _offsets(regressions: DataFrame, spec: DataFrame, shared_from: str) -> DataFrame:

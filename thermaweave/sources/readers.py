@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import small_side
+from ..operators.grid import TimeAxis
 from ..operators.labelling import missing_as_null
 from ..schemas import RAW_LONG, RAW_LONG_TEXT_TIME, STATES
 
@@ -40,6 +42,24 @@ def read_runs(spark: SparkSession, paths: list[str], fmt: str = "parquet", schem
         F.regexp_extract(where, pattern, 1).alias("model"), F.regexp_extract(where, pattern, 2).alias("run"), *schema.names)
 
 
+def read_axis(spark: SparkSession, root: str) -> TimeAxis:
+    """The time axis beside a grid or a run."""
+    r = spark.read.parquet(f"{root}/axis").first()
+    return TimeAxis(r["start"], r["time_step"], r["last_bin"])
+
+
+def list_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The complete runs below ``root`` (:func:`thermaweave.sources.writers.write_runs`): a row of the manifest each, with ``file``."""
+    return spark.read.parquet(f"{root}/manifest").select("model", "run", F.lit("states").alias("file"), "n_rows", "first_date", "last_date", "n_dates", "time_step", "columns")
+
+
+def read_listed_runs(spark: SparkSession, root: str, schema: T.StructType = STATES) -> DataFrame:
+    """Rows of every complete run, with its model and run."""
+    named = T.StructType([*schema.fields, T.StructField("model", T.StringType()), T.StructField("run", T.StringType())])
+    rows = spark.read.schema(named).parquet(f"{root}/states")
+    return rows.join(small_side(list_runs(spark, root).select("model", "run").distinct()), ["model", "run"], "left_semi").select("model", "run", *schema.names)
+
+
 def run_registry(spark: SparkSession, root: str) -> DataFrame:
     """(model, run, file) of everything under ``<root>/<model>/<run>/<file>``, from the file listing alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")

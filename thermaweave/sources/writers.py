@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.combine import COMBINED_COLUMNS
-from ..operators.grid import Grid
+from ..functions.lineage import small_side
+from ..operators.grid import Grid, TimeAxis
 
 
 def _mode(overwrite: bool) -> str:
@@ -36,6 +38,29 @@ def write_grid(grid: Grid, root: str, overwrite: bool = False) -> None:
     write_table(grid.long(), f"{root}/grid", overwrite, partition_by=["variable"])
     write_table(grid.series, f"{root}/rows", overwrite)
     write_table(grid.dropped, f"{root}/dropped", overwrite)
+    write_axis(grid.time_axis, grid.cells.sparkSession, root, overwrite)
+
+
+def write_axis(axis: TimeAxis, spark: SparkSession, root: str, overwrite: bool = False) -> None:
+    """The time axis in one row, written last: a folder without it is not complete."""
+    row = spark.createDataFrame([(axis.start, axis.time_step, axis.last_bin)], "start date, time_step int, last_bin int")
+    write_table(row.coalesce(1), f"{root}/axis", overwrite)
+
+
+def write_runs(states: DataFrame, root: str) -> None:
+    """Reconstructions of any number of models and runs, in one write each for rows and manifest.
+
+    ``states`` has model, run and the columns of a view. The manifest has a row for each run (rows, first and last date, time step,
+    columns) and is written after all rows, so a run whose writing broke off is never listed.
+    """
+    cols = [c for c in states.columns if c not in ("model", "run")]
+    states.write.mode("append").partitionBy("model", "run").parquet(f"{root}/states")
+    written = states.sparkSession.read.schema(states.schema).parquet(f"{root}/states")
+    runs = states.select("model", "run").distinct()
+    facts = written.join(small_side(runs), ["model", "run"], "left_semi").groupBy("model", "run").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_distinct("date").alias("n_dates"))
+    step = F.floor(F.datediff("last_date", "first_date") / F.nullif(F.col("n_dates") - 1, F.lit(0))).cast("int")
+    facts.withColumns({"time_step": step, "columns": F.lit(",".join(cols))}).write.mode("append").parquet(f"{root}/manifest")
 
 
 def write_views(views: dict[str, DataFrame], root: str, formats: list[str] = ("parquet",), overwrite: bool = False) -> None:
@@ -46,10 +71,12 @@ def write_views(views: dict[str, DataFrame], root: str, formats: list[str] = ("p
             write_table(view, f"{root}/{name}.{fmt}", overwrite, fmt)
 
 
-def write_model_inputs(root: str, scales: DataFrame, design: DataFrame, observations: DataFrame, holdout: DataFrame | None, overwrite: bool = False) -> bool:
-    """Scales, design and observations; the hold-out only when it has rows. Returns whether it was written."""
+def write_model_inputs(root: str, scales: DataFrame, design: DataFrame, observations: DataFrame, holdout: DataFrame | None, overwrite: bool = False, dates: DataFrame | None = None) -> bool:
+    """Scales, design, observations and (if given) the dates of the states; the hold-out only when it has rows. Returns whether it was written."""
     write_table(scales, f"{root}/scales", overwrite)
     write_table(design, f"{root}/design", overwrite)
+    if dates is not None:
+        write_table(dates, f"{root}/dates", overwrite)
     write_table(observations, f"{root}/observations", overwrite, partition_by=["variable"])
     if holdout is None or holdout.isEmpty():
         return False
