@@ -300,6 +300,28 @@ def g16_axis(spark, sf):
     return gaps.groupBy("site").agg(F.count("x").alias("n_states"), F.min("date").alias("first"), F.max("date").alias("last"), once.alias("step"))
 
 
+FAULTY_SITES = [f"P{i}" for i in range(20, 28)]
+FAULTS = [("w", "SELECT 'P' || i AS site FROM (SELECT unnest(range(20, 28)) AS i)"), ("h", "SELECT * FROM (VALUES ('P21'), ('P30')) v(site)"),
+          ("p", "SELECT variable, site, site IN (SELECT site FROM h) AND variable = 'eco_sst' AS held FROM series WHERE site IN (SELECT site FROM w)")]
+
+
+@query("V1_model_configuration_problems", with_ctes("""SELECT 'sites: no data at ' || site AS problem FROM w WHERE site NOT IN (SELECT site FROM series)
+UNION ALL SELECT 'holdout_sites: ' || site || ' is not a selected site' FROM h WHERE site NOT IN (SELECT site FROM p)
+UNION ALL SELECT 'holdout: nothing is left at ' || site FROM p WHERE site IN (SELECT site FROM h) GROUP BY site HAVING bool_and(held)
+UNION ALL SELECT 'instruments: tags must be unique' UNION ALL SELECT DISTINCT 'instruments: no entry for ' || variable FROM p WHERE variable NOT IN ('lst_sst', 'eco_sst')
+UNION ALL SELECT 'holdout: ' || variable || ' is withheld everywhere' FROM p WHERE variable IN ('lst_sst', 'eco_sst') GROUP BY variable HAVING bool_and(held)
+UNION ALL SELECT DISTINCT 'scale_reference: no insitu_sst at ' || site FROM p
+UNION ALL SELECT 'start must be before end'""", "conv", [*grid_ctes(), *FAULTS]))
+def v1_model(spark, sf):
+    from ..plans.config import ModelConfig
+    from ..plans.validate import model_problems, series_facts
+
+    kinds = {"tag": "same", "intercept": "site", "seasonality": "shared"}
+    cfg = ModelConfig(instruments={"lst_sst": kinds, "eco_sst": kinds}, sites=FAULTY_SITES, holdout_sites=["P21", "P30"], holdout_variables=["eco_sst"], scale_reference="insitu_sst", start="2000-01-01", end="1999-01-01")
+    found = model_problems(cfg, series_facts(cfg, the_grid(spark, sf).series))
+    return spark.createDataFrame([(p,) for p in found], "problem string")
+
+
 @query("V2_series_present", with_ctes("SELECT w.variable, w.site, count(g.value) AS n_values, count(g.value) > 0 AS present FROM (SELECT variable, 'P' || i AS site FROM (VALUES ('eco_sst'), ('ref_sst'), ('insitu_sst')) v(variable) CROSS JOIN (SELECT unnest(range(20, 27)) AS i)) w LEFT JOIN grid g ON g.variable = w.variable AND g.site = w.site GROUP BY 1, 2", "conv", grid_ctes()))
 def v2(spark, sf):
     from ..plans.validate import series_present

@@ -652,6 +652,15 @@ def v1(spark, sf):
     return guards.absent_variables(celsius(spark, sf), ["eco_sst", "lst_sst", "insitu_sst"])
 
 
+@query("V1_labels_that_match", with_ctes("""SELECT l.label, count(e.variable) AS n_rows, count(e.variable) = 0 AS fault FROM (VALUES ('eco', 'eco_sst', 'nanmean'), ('near', 'eco_sst', 'nearest'), ('ghost', 'eco_ss', NULL), ('none', 'lst_sst', 'median'))
+l(label, variable, stat) LEFT JOIN raw e ON e.variable = l.variable AND (l.stat IS NULL OR e.stat = l.stat) GROUP BY 1""", "raw"))
+def v1_labels(spark, sf):
+    from ..plans.validate import label_matches
+
+    labels = {"eco": {"variable": "eco_sst", "stat": "nanmean"}, "near": {"variable": "eco_sst", "stat": "nearest"}, "ghost": {"variable": "eco_ss"}, "none": {"variable": "lst_sst", "stat": "median"}}
+    return label_matches(raw_long(spark, sf), labels)
+
+
 @query("V3_alignment_metrics", with_ctes(f"""SELECT *, n_usable < 0.5 * n_any AS poorly_aligned, hour_min < 0 OR hour_max > 24 AS hour_out_of_range, wind_max > 60 AS wind_suspicious FROM (
 SELECT count(*) AS n_keys, count(*) FILTER (WHERE t IS NOT NULL OR w IS NOT NULL OR h IS NOT NULL) AS n_any, count(*) FILTER (WHERE w IS NOT NULL AND h IS NOT NULL) AS n_usable, min(h) AS hour_min, max(h) AS hour_max, max(w) AS wind_max FROM k)""", "conv", SPARSE))
 def v3(spark, sf):

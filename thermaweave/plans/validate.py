@@ -105,14 +105,20 @@ def preprocessing_problems(cfg: PreprocessConfig, columns: list[str]) -> list[st
     return out
 
 
+def label_matches(df: DataFrame, labels: dict[str, dict]) -> DataFrame:
+    """(label, n_rows, fault) for each label of a configuration, from one aggregate: a fault is a label that matches no row."""
+    from ..operators.labelling import spec_predicate
+
+    counts = df.agg(*[F.count_if(spec_predicate(s)).alias(f"n{i}") for i, s in enumerate(labels.values())])
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(f"n{i}").alias("n_rows")) for i, n in enumerate(labels)]))
+    return counts.select(cells.alias("c")).select("c.label", "c.n_rows", (F.col("c.n_rows") == 0).alias("fault"))
+
+
 def validate_preprocessing(cfg: PreprocessConfig, df: DataFrame) -> PreprocessConfig:
     """Configuration problems and labels that match no row, in one error."""
     problems = preprocessing_problems(cfg, df.columns)
     if not problems:
-        from ..operators.labelling import spec_predicate
-
-        counts = df.agg(*[F.count_if(spec_predicate(s)).alias(n) for n, s in cfg.variables.items()]).first()
-        problems = [f"variables[{n}]: matches no row" for n in cfg.variables if not counts[n]]
+        problems = [f"variables[{r['label']}]: matches no row" for r in label_matches(df, cfg.variables).where("fault").collect()]
     if problems:
         raise ConfigError(problems)
     return cfg
