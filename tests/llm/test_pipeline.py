@@ -1,21 +1,17 @@
 import re
 
-import numpy as np
-import xxhash
-
 import corpus_pipeline as pipe
 from thermaweave.llm import secrets, simhash, toxicity
 from thermaweave.llm.common import staged
 
 
-def plain_prints(texts):
-    out = []
+def plain_links(texts):
+    """Pairs of positions whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = []
     for t in texts:
         ws = t.encode().lower().split()
-        sh = [b" ".join(ws[k : k + 5]) for k in range(len(ws) - 4)] or ([b" ".join(ws)] if ws else [])
-        hs = [xxhash.xxh64_intdigest(s, 42) for s in sh]
-        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
-    return np.array(out, np.uint64)
+        sets.append({tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} or ({tuple(ws)} if ws else set()))
+    return [(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if (len(x & y) / len(x | y) if x | y else 1.0) >= 0.8]
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -31,14 +27,11 @@ def test_stages_against_brute_force(spark, sf_dir):
             want = {d for d, t in kept.items() if model.scores([t])[0] < 0.5}
         if k == 1:
             ids = sorted(kept)
-            u = plain_prints([kept[d] for d in ids])
-            near = np.bitwise_count(u[:, None] ^ u[None, :]) <= pipe.BITS
-            label = np.arange(len(ids))
-            while True:
-                new = np.where(near, label[None, :], len(ids)).min(axis=1)
-                if (new == label).all():
-                    break
-                label = new
+            label = list(range(len(ids)))
+            links = plain_links([kept[d] or "" for d in ids])
+            while any(label[i] != label[j] for i, j in links):
+                for i, j in links:
+                    label[i] = label[j] = min(label[i], label[j])
             groups = {}
             for d, g in zip(ids, label):
                 groups.setdefault(g, set()).add(d)

@@ -47,6 +47,28 @@ def test_links_are_exact_jaccard(spark):
     got = {r["_row"]: r.component for r in similar.groups(docs, 5).collect()}
     label, links = plain_groups(texts)
     assert len(links) > 200 and [got[i] for i in range(len(texts))] == label
+    got = {r["_row"]: r.component for r in similar.groups(docs, 5, block_nodes=3).collect()}  # components cut into blocks
+    assert [got[i] for i in range(len(texts))] == label
+
+
+def test_a_large_group_just_under_the_bound_leaves_few_rows(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 200)]
+    texts = []
+    for _ in range(600):  # any two share about two thirds of their shingles
+        words = list(base)
+        for k in rng.permutation(16)[:5]:
+            words[12 * k + 5] = f"n{rng.integers(1 << 40)}"
+        texts.append(" ".join(words))
+    sets = [similar.shingle_set(t, 5) for t in texts]
+    assert np.mean([similar.jaccard(x, y) >= 0.8 for x, y in zip(sets, sets[1:])]) < 0.3
+    texts += [texts[0] + " more", texts[7] + " more"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_row bigint, text string").repartition(6)
+    nodes = spark.createDataFrame([(i, *similar.long_fingerprint(similar.shingle_set(t, 5))) for i, t in enumerate(texts)], "node bigint, " + ", ".join(f"{c} bigint" for c in similar.PRINT))
+    masks = similar.key_masks(*similar.shape(602))
+    assert similar.candidates(nodes, masks).count() <= len(masks) * 602
+    got = {r["_row"]: r.component for r in similar.groups(docs, 5, block_nodes=200).collect()}
+    assert [got[i] for i in range(602)] == plain_groups(texts)[0]
 
 
 def test_recall_at_the_bound_for_any_size():
@@ -67,7 +89,7 @@ def test_recall_at_the_bound_for_any_size():
 @pytest.mark.parametrize("every", [False, True])
 def test_one_of_each_stays(spark, tmp_path, every):
     rows = [(1, "a b c d e f g", 1), (1, "a b c d e f g", 1), (None, "a b c d e f g", 2), (2, None, 3), (3, "", 4), (4, "other words of this text here", 5)]
-    spark.createDataFrame(rows[: None if every else 0], "doc_id bigint, text string, component int").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(rows[: None if every else 0], "doc_id bigint, text string, _row int").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     kept = similar.keep_one(docs, 5)
     assert kept.columns == docs.columns and sorted((r.text or "") for r in kept.collect()) == (["", "a b c d e f g", "other words of this text here"] if every else [])
