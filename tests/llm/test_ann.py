@@ -45,6 +45,40 @@ def test_norms_copies_and_chunks(spark):
     assert hit > 0.95 and [i for i, _, _ in got[0]][-5:] == [i for _, i in want[0]][-5:]
 
 
+@pytest.mark.parametrize("norms", ["unit", "lognormal", "giant"])
+def test_recall_with_defaults_on_skewed_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "lognormal":
+        x *= np.exp(rng.normal(0, 0.7, (1500, 1)))
+    if norms == "giant":
+        x[3] *= 20
+    x = x.astype(np.float32)
+    ids = list(range(1500))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<float>")
+    got, want = as_lists(ann.search(df).collect()), exact(ids, x.astype(np.float64))
+    assert all(len(got[q]) == 20 for q in want)
+    assert np.mean([len({i for i, _, _ in got[q]} & {i for _, i in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_ties_go_to_the_smaller_id_before_anything_is_cut(spark):
+    rows = [(0, [1.0] + [0.0] * 80)] + [(k, [0.5] + [float(j == k) for j in range(1, 81)]) for k in range(1, 81)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+    for width in (500.0, 1e-3):  # all in one cell; none in the query's
+        assert [i for i, _, _ in as_lists(ann.search(df, width=width).collect())[0]] == list(range(1, 21))
+
+
+def test_queries_that_meet_few_are_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SCANNED", 3)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((240, 8)).astype(np.float32)
+    ids = list(range(240))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<float>").repartition(5)
+    got, want = as_lists(ann.search(df, width=1e-3).collect()), exact(ids, x.astype(np.float64))
+    assert {q: [i for i, _, _ in n] for q, n in got.items()} == {q: [i for _, i in n] for q, n in want.items()}
+
+
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, [1.0]), (None, [1.0, 1.0]), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (20, [-1.0, 0.0])]

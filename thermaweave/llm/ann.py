@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by largest inner product: multiprobe p-stable hashing.
 
-Vectors get one more component, so that all have the largest norm and the nearest by distance are those
-of largest inner product. Each of ``TABLES`` tables cuts ``PROJECTIONS`` Gaussian projections into cells; a
+Vectors are put into narrow bands of norm. In a band they get one more component, so that all have its
+largest norm and the nearest by distance are those of largest inner product; a query visits every band, so one giant vector does not push all others together. Each of ``TABLES`` tables cuts ``PROJECTIONS`` Gaussian projections into cells; a
 query visits its own bucket and the perturbed ones that are likeliest to hold near vectors, in
 the order of the squared distances to the cell walls that they cross. Candidates of all
-tables are merged and reranked by the exact inner product in double precision.
+tables are merged and reranked by the exact inner product in double precision. Queries that met fewer candidates than asked for are
+compared with all vectors, in blocks of queries that tasks scan their rows with.
 
 Equal vectors are one candidate that carries its smallest ids, so a vector with very many copies costs
 no more than another. Work is dealt by table and the first cell coordinates; a cell with more than
@@ -29,9 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, staged
 
-TABLES, PROJECTIONS, WIDTH, PROBES = 8, 6, 1.5, 100
+TABLES, PROJECTIONS, WIDTH, PROBES = 8, 6, 1.5, 140
 SEED = 11
 CHUNK = 20_000
+#: Bands of norm, so many in each factor of two; the last takes all that are smaller still.
+FINE, BANDS = 3, 48
+#: Queries that are compared with all vectors in one pass.
+SCANNED = 2048
 
 
 class Tables:
@@ -45,14 +50,19 @@ class Tables:
         self.moves = np.array(list(product((-1, 0, 1), repeat=projections)))
         self.odd = np.random.default_rng(5).integers(1, 1 << 62, projections) | 1
 
-    def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
+    def band(self, x: np.ndarray) -> np.ndarray:
+        """Each row's band: 0 holds the largest norms."""
+        norm = np.linalg.norm(x.astype(np.float64), axis=1)
+        return np.clip(np.floor(np.log2(self.largest / norm) * FINE + 1e-6), 0, BANDS - 1).astype(int)
+
+    def lift(self, x: np.ndarray, query: bool, band: int = 0) -> np.ndarray:
         """Rows with the added component: queries are normalised and get 0."""
         x = x.astype(np.float64)
         norm = np.linalg.norm(x, axis=1)
         if query:
             return np.c_[x / norm[:, None], np.zeros(len(x))]
-        x = x / self.largest
-        return np.c_[x, np.sqrt(np.maximum(0, 1 - (norm / self.largest) ** 2))]
+        largest = self.largest / 2.0 ** (band / FINE)
+        return np.c_[x / largest, np.sqrt(np.maximum(0, 1 - (norm / largest) ** 2))]
 
     def place(self, lifted: np.ndarray, table: int) -> np.ndarray:
         return (lifted @ self.direction[table] + self.shift[table]) / self.width
@@ -72,6 +82,51 @@ class Tables:
         return (cells * self.odd).sum(axis=-1)
 
 
+def best(q: np.ndarray, x: np.ndarray, least: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and exact scores of the ``most`` rows of ``x`` nearest to ``q``, ties to the smaller ``least`` id.
+
+    ``score`` is in single precision (-inf: not met): what may belong to the first by it, rounding and ties included, is scored exactly.
+    """
+    met = np.flatnonzero(np.isfinite(score))
+    if len(met) > most:
+        edge = -np.partition(-score[met], most - 1)[most - 1]
+        slack = 1e-5 * np.linalg.norm(q) * np.linalg.norm(x[met], axis=1)
+        met = met[score[met] >= edge - 2 * slack.max()]
+    exact = (q.astype(np.float64) * x[met].astype(np.float64)).sum(axis=1)
+    order = np.lexsort((least[met], -exact))[:most]
+    return met[order], exact[order]
+
+
+def scan(classes: DataFrame, asked: list, nearest: int) -> DataFrame:
+    """query_id, ids, score: the nearest of all vectors, for the queries (vec_id, vector) of one block."""
+    sent = classes.sparkSession.sparkContext.broadcast(([r.vec_id for r in asked], _matrix([r.vector for r in asked])))
+    held: dict[int, tuple] = {}
+
+    def rows(batch):
+        names, q = sent.value
+        x, ids = _matrix(batch["vector"]), np.empty(len(batch["ids"]), object)
+        ids[:] = batch["ids"]
+        for i, scores in ((low + k, row) for low in range(0, len(q), 256) for k, row in enumerate(q[low : low + 256] @ x.T)):
+            before = held.get(i)
+            v, own = (x, ids) if before is None else (np.concatenate([before[0], x]), np.concatenate([before[1], ids]))
+            known = scores if before is None else np.concatenate([before[2], scores])
+            at, _ = best(q[i], v, np.array([k[0] for k in own]), known, nearest + 1)
+            held[i] = v[at], own[at], known[at]
+        return {"query_id": [], "ids": [], "score": []}
+
+    def take():
+        made: dict[str, list] = {"query_id": [], "ids": [], "score": []}
+        names, q = sent.value
+        for i, (v, own, _) in held.items():
+            exact = (q[i].astype(np.float64) * v.astype(np.float64)).sum(axis=1)
+            for c, x in zip(made, ([names[i]] * len(own), own.tolist(), exact.tolist())):
+                made[c] += x
+        held.clear()
+        return made
+
+    return map_batches(classes.select("vector", "ids"), rows, "query_id bigint, ids array<bigint>, score double", take)
+
+
 def _matrix(vectors) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1)
 
@@ -99,23 +154,32 @@ def search(
     rows = staged(map_batches(good.where(F.size("_v") == sizes.dimension), packed, "vec_id bigint, vector binary"), "vectors")
     # Only the smallest ids of equal vectors can be among the nearest.
     place = Window.partitionBy("vector").orderBy("vec_id")
-    classes = rows.distinct().withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= nearest + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    classes = staged(rows.distinct().withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= nearest + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
+    queries = staged(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    banded = map_batches(classes.select("vector"), lambda batch: {"band": np.unique(plan.band(_matrix(batch["vector"]))).tolist()}, "band int")
+    bands = sorted(r.band for r in banded.distinct().collect())  # BANDS at most
 
     def dealt(query: bool):
         def run(batch):
             made: dict[str, list] = {"table": [], "cell": [], "vector": [], "ids": []}
-            lifted = plan.lift(_matrix(batch["vector"]), query)
+            x = _matrix(batch["vector"])
+            if query:
+                lifted = plan.lift(x, True)
+            else:
+                band = plan.band(x)
+                lifted = np.empty((len(x), x.shape[1] + 1))
+                for b in np.unique(band):
+                    lifted[band == b] = plan.lift(x[band == b], False, b)
             for t in range(tables):
                 at = plan.place(lifted, t)
-                if query:
-                    cells = [sorted(set(map(tuple, c[:, :lead].tolist()))) for c in plan.visits(at)]
+                if query:  # its cells are the same in every band
+                    cells = [[(t + tables * b, c) for b in bands for c in sorted(set(map(tuple, v[:, :lead].tolist())))] for v in plan.visits(at)]
                 else:
-                    cells = [[tuple(c)] for c in np.floor(at[:, :lead]).astype(int).tolist()]
+                    cells = [[(t + tables * b, tuple(c))] for b, c in zip(band.tolist(), np.floor(at[:, :lead]).astype(int).tolist())]
                 for own, vector, ids in zip(cells, batch["vector"], batch["ids"]):
-                    for cell in own:
-                        for c, x in zip(made, (t, ",".join(map(str, cell)), vector, ids)):
-                            made[c].append(x)
+                    for place_, cell in own:
+                        for c, v in zip(made, (place_, ",".join(map(str, cell)), vector, ids)):
+                            made[c].append(v)
             return made
 
         return run
@@ -131,14 +195,16 @@ def search(
 
     def near(group: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = group[group["query"]], group[~group["query"]]
-        ids, best, hit = [], [], []
+        ids, found_ids, hit = [], [], []
         if len(mine) and len(theirs):
-            t, cell = int(group["table"].iloc[0]), np.array([int(c) for c in group["cell"].iloc[0].split(",")])
+            band, t = divmod(int(group["table"].iloc[0]), tables)
+            cell = np.array([int(c) for c in group["cell"].iloc[0].split(",")])
             x, q = _matrix(theirs["vector"].tolist()), _matrix(mine["vector"].tolist())
-            code = plan.code(np.floor(plan.place(plan.lift(x, False), t)).astype(np.int64))
+            code = plan.code(np.floor(plan.place(plan.lift(x, False, band), t)).astype(np.int64))
             order = np.argsort(code, kind="stable")
             x, code = x[order], code[order]
             own = theirs["ids"].to_numpy()[order]
+            least = np.array([k[0] for k in own])
             asked_ids = mine["ids"].to_numpy()
             for at in range(0, len(q), 128):
                 part = q[at : at + 128]
@@ -152,18 +218,34 @@ def search(
                     rows_ = who[(lo == bucket) & (hi > lo)]
                     end = hi[(lo == bucket) & (hi > lo)][0]
                     score[rows_, bucket:end] = part[rows_] @ x[bucket:end].T
-                k = min(nearest + 4, len(x))
-                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
                 for i in range(len(part)):
-                    js = top[i][np.isfinite(score[i, top[i]])]
-                    exact = (part[i].astype(np.float64) * x[js].astype(np.float64)).sum(axis=1)
+                    js, exact = best(part[i], x, least, score[i], nearest + 1)
                     ids += [int(asked_ids[at + i][0])] * len(js)
-                    best += [own[j] for j in js]
+                    found_ids += [own[j] for j in js]
                     hit += exact.tolist()
-        return pd.DataFrame({"query_id": np.array(ids, np.int64), "ids": pd.Series(best, dtype=object), "score": np.array(hit, np.float64)})
+        return pd.DataFrame({"query_id": np.array(ids, np.int64), "ids": pd.Series(found_ids, dtype=object), "score": np.array(hit, np.float64)})
 
     found = data.unionByName(asked).groupBy("table", "cell", "chunk").applyInPandas(near, "query_id bigint, ids array<bigint>, score double")
-    # At most nearest + 4 for each query, table, cell and chunk.
-    merged = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+    # At most nearest + 1 for each query, table, cell and chunk.
+    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        merged = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return merged.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+
+    met = staged(ranked(found), "met")
+    held = classes.agg(F.sum(F.least(F.size("ids"), F.lit(nearest + 1)))).first()[0] or 0
+    enough = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(nearest, max(held - 1, 0)))
+    short = staged(queries.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "vector").orderBy("vec_id"), "short")
+    parts, block = [met.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*met.columns)], []
+    for r in short.toLocalIterator():
+        block.append(r)
+        if len(block) == SCANNED:
+            parts.append(staged(ranked(scan(classes, block, nearest)), "scanned"))
+            block = []
+    if block:
+        parts.append(ranked(scan(classes, block, nearest)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
