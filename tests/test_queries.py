@@ -13,7 +13,8 @@ QUICK = [
     "A2_variable_summary", "A4_removal_summary", "A5_stage_counts", "A20_histogram_60_bins", "T4_dense_grid", "T5_series_arrays", "J10_dropped_series", "T8_scaled_observations",
     "N2_rolling_mean", "N5_autocorrelation", "A17_modal_gap", "P14_shallow_profiles", "J7_covered_donor", "J8_N6_three_nearest", "J9_fill_from_covered", "J4_joined_predictions",
     "A12_skill_by_level", "B1_bootstrap_draws", "B3_contrast_intervals", "G9_seed_table", "G13_observation_design", "G14_reconstruct_eco_view", "G17_likelihood_grid", "R2_parse_dates",
-    "R4_read_runs_with_labels", "W6_write_combined", "U3_observations_with_estimates", "V5_same_data_check",
+    "R4_read_runs_with_labels", "W6_write_combined", "U3_observations_with_estimates", "V5_same_data_check", "V1_labels_that_match", "B2_intervals_by_site", "G5_huber_line",
+    "G16_states_on_a_five_day_axis", "W2_run_manifest", "W2_written_axis", "J6_nearest_donor", "A18_N4_distinct_dates_per_bin",
 ]
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
