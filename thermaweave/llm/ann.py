@@ -145,8 +145,9 @@ def search(
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], out)
     plan = Tables(sizes.dimension, sizes.largest, tables, projections, width, probes)
-    # Enough leading cell coordinates (each of about four cells) to make pieces of about a chunk.
-    lead = min(projections, max(1, round(math.log(max(sizes.n / chunk, 1), 4)) + 1))
+    # Enough leading cell coordinates (each of about four cells) to make pieces of about a chunk; two at least, so that
+    # small tables are dealt like larger ones.
+    lead = min(projections, max(2, round(math.log(max(sizes.n / chunk, 1), 4)) + 1))
 
     def packed(batch):
         return {"vec_id": batch["vec_id"], "vector": [np.asarray(x, np.float32).tobytes() for x in batch["_v"]]}
