@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import small_side
 from .common import map_batches, staged
 from .graph import components
 from .simhash import SEED, forest, shingle_hashes
@@ -43,6 +44,8 @@ PIVOTS = 4
 HELD = 1 << 20
 #: Sets, and shingles in them, of one block of a component.
 BLOCK_NODES, BLOCK_SHINGLES = 2000, 2_000_000
+#: Rows of a list of documents that goes to every task (64 MB at most); a longer one meets the texts in a shuffle.
+SENT = 500_000
 PRINT = [f"f{k}" for k in range(PARTS)]
 
 
@@ -226,7 +229,8 @@ def links_in(members: DataFrame, texts: DataFrame, words: int, similarity: float
     """Forests of the links (a, b) inside components. ``members`` has node, component, shingles and fingerprints; ``texts`` has ``_row`` and ``_text``."""
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_nodes), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("_blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    asked = texts.join(dealt.withColumnRenamed("node", "_row"), "_row")
+    few = small_side(dealt.select(F.col("node").alias("_row"), "component", "block", "_blocks", *PRINT), SENT)
+    asked = texts.join(few, "_row")  # texts stay where they are read while their members are few
     keep = ("component", "block", "_blocks", "_row", *PRINT)
 
     def shingled(batch):
@@ -289,5 +293,5 @@ def keep_one(docs: DataFrame, words: int, similarity: float = SIMILARITY, text_c
     while number in docs.columns:
         number += "_"
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
-    gone = groups(numbered, words, similarity, number, text_col).where("_row != component").select(F.col("_row").alias(number))
+    gone = small_side(groups(numbered, words, similarity, number, text_col).where("_row != component").select(F.col("_row").alias(number)), SENT)
     return numbered.join(gone, number, "left_anti").select(*docs.columns)
