@@ -239,13 +239,14 @@ def _huber_lines(rows: DataFrame, keys: list[str], intercept: float | None) -> D
 
 def fit_match_up(
     df: DataFrame, min_n: int = 30, scale: str = "mad", center: str = "median", slope: float | None = 1.0, intercept: float | None = None,
-    single: bool = False,
+    single: bool = False, strict: bool = True,
 ) -> DataFrame:
     """Line and scale per group from columns ``_grp``, ``_y``, ``_x``, ``_use``; one small table.
 
     Columns: group, n (the group's own match-ups), intercept, slope, scale, fixed. Groups with
     fewer than ``min_n`` match-ups, or no usable fit, carry the pooled triple. ``single`` says that
-    there is one group only, which then is the pool.
+    there is one group only, which then is the pool. With ``strict`` a pool without a usable fit is an error; otherwise the
+    pooled fit is whatever its match-ups give, however few (its scale may be NULL or zero), and without any there is no row.
     """
     if scale not in ("mad", "sd") or center not in ("median", "mean"):
         raise ValueError("scale must be 'mad' or 'sd'; center 'median' or 'mean'")
@@ -271,7 +272,8 @@ def fit_match_up(
     elif fix_a:
         a = float(intercept)
         sums = rows.groupBy(*keys).agg((F.sum(x * (y - F.lit(a))) / F.nullif(F.sum(x * x), F.lit(0.0))).alias("b"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        lined = rows.join(small_side(sums.select(*keys, F.lit(a).alias("a"), F.when(F.col("lo") < F.col("hi"), F.col("b")).alias("b"))), keys, "left")
+        varied = F.col("lo") < F.col("hi") if strict else F.lit(True)
+        lined = rows.join(small_side(sums.select(*keys, F.lit(a).alias("a"), F.when(varied, F.col("b")).alias("b"))), keys, "left")
     else:
         sums = rows.groupBy(*keys).agg(F.regr_intercept(y, x).alias("a"), F.regr_slope(y, x).alias("b"))
         lined = rows.join(small_side(sums), keys, "left")
@@ -281,26 +283,33 @@ def fit_match_up(
         fits, _ = summarise_with_mad(lined.select(*keys, "_y", "a", "b", "_r"), keys, {"_r": {"_rm": 0.5}}, "_r", "_rm", "_mad", about)
     else:
         fits = lined.groupBy(*keys).agg(*about).withColumn("_mad", F.lit(None).cast("double"))
-    spread = F.coalesce(F.when(F.col("_mad") > 0, F.col("_mad")), F.when(F.col("_sd") > 0, F.col("_sd")))
-    fits, n_fits = cut_counted(fits.select(*keys, "n", "a", "b", F.when(F.col("_n") >= 3, spread).alias("s")))
+    robust = F.when(F.col("_mad") > 0, F.col("_mad"))
+    spread = F.when(F.col("_n") >= 3, F.coalesce(robust, F.when(F.col("_sd") > 0, F.col("_sd")))) if strict else F.coalesce(robust, F.col("_sd"))
+    fits, n_fits = cut_counted(fits.select(*keys, "n", "a", "b", spread.alias("s")))
     whole = fits.where("pooled").first()
-    if whole is None or whole["s"] is None or whole["a"] is None:
+    if strict and (whole is None or whole["s"] is None or whole["a"] is None):
         raise ValueError("pooled fit of target on reference failed")
-    ok = (F.col("n") >= min_n) & F.col("s").isNotNull() & F.col("a").isNotNull()
+    unsettled = not fix_b and center == "median" and whole is not None and whole["a"] is None
+    if whole is None or whole["n"] == 0 or unsettled:
+        fits, whole = fits.where("false"), {"a": None, "b": None, "s": None}
+    ok = (F.col("n") >= min_n) & (F.col("s") > 0) & F.col("a").isNotNull()
     pick = {"intercept": "a", "slope": "b", "scale": "s"}
     own = F.broadcast(fits) if n_fits <= BROADCAST_ROWS else fits
     return (own if single else own.where("not pooled")).select(
-        "group", "n", *[F.when(ok, F.col(c)).otherwise(F.lit(float(whole[c]))).alias(n) for n, c in pick.items()], F.lit(fixed).alias("fixed"),
+        "group", "n", *[F.when(ok, F.col(c)).otherwise(F.lit(whole[c]).cast("double")).alias(n) for n, c in pick.items()], F.lit(fixed).alias("fixed"),
     )
 
 
 def screen_match_up(
     df: DataFrame, target: str, reference: str, lower: float = 2.58, upper: float | None = 3.0, slope: float | None = 1.0,
     intercept: float | None = None, ids: list[str] | None = None, by: list[str] | None = None, passes: int = 1, scale: str = "mad",
-    center: str = "median", keep_na: bool = True, min_n: int = 30, step: int = 1, log: list | None = None,
+    center: str = "median", keep_na: bool = True, min_n: int = 30, step: int = 1, log: list | None = None, strict: bool = True,
 ) -> DataFrame:
     """Reject target rows whose residual from the reference leaves ``(-lower * s, upper * s)``.
 
+    With ``strict`` fewer than ``min_n`` match-ups are an error. Otherwise their own fit is used, and where they give no
+    line or no scale nothing can be tested and nothing is rejected by it.
+
     The reference value arrives by a window over the ids and the keyed table is written once.
     Every pass then aggregates that table into a small fit table; residuals are expressions over
     a join to it. ``None`` for a bound leaves that side open.
@@ -321,7 +330,7 @@ def screen_match_up(
     pairs = keyed.where(alive(target)).select(F.col("value").alias("_y"), F.col("_ref").alias("_x"), group_label(by).alias("_grp"))
     eligible = F.col("_y").isNotNull() & F.col("_x").isNotNull()
     counts = pairs.agg(F.count(F.lit(1)).alias("n_rows"), F.count("_y").alias("n_target"), F.count_if(eligible).alias("n_match")).first()
-    if counts["n_target"] == 0 or counts["n_match"] < min_n:
+    if strict and (counts["n_target"] == 0 or counts["n_match"] < min_n):
         raise ValueError(f"only {counts['n_match']} match-ups between {target} and {reference} (min_n = {min_n})")
     if counts["n_match"] < 0.2 * counts["n_target"]:
         warnings.warn(f"only {counts['n_match']} of {counts['n_target']} {target} values have a match-up", stacklevel=2)
@@ -334,15 +343,15 @@ def screen_match_up(
             bounds = bounds & (r > -F.lit(float(lower)) * s)
         if upper is not None:
             bounds = bounds & (r < F.lit(float(upper)) * s)
-        return test | F.coalesce(bounds, F.lit(False))
+        return test | bounds  # NULL without a scale: neither fitted to nor rejected
 
     def joined(table: DataFrame, p: int, to: DataFrame) -> DataFrame:
         residual = F.col("_y") - (F.col(f"_a{p}") + F.col(f"_b{p}") * F.col("_x"))
         if not by:
             # One group: three numbers, no join.
-            one = table.first()
+            one = table.first() or {"intercept": None, "slope": None, "scale": None}
             numbers = {f"_a{p}": one["intercept"], f"_b{p}": one["slope"], f"_s{p}": one["scale"]}
-            return to.withColumns({k: F.lit(float(v)) for k, v in numbers.items()}).withColumn(f"_r{p}", residual)
+            return to.withColumns({k: F.lit(v).cast("double") for k, v in numbers.items()}).withColumn(f"_r{p}", residual)
         slim = table.select(F.col("group").alias("_grp"), F.col("intercept").alias(f"_a{p}"), F.col("slope").alias(f"_b{p}"), F.col("scale").alias(f"_s{p}"))
         out = to.join(slim, "_grp", "left")
         return out.withColumn(f"_r{p}", residual)
@@ -350,13 +359,13 @@ def screen_match_up(
     work, keep = pairs, F.lit(True)
     tables = []
     for p in range(1, passes + 1):
-        table = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, not by)
+        table = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, not by, strict)
         tables.append(table)
         if log is not None:
             log.append(table.select(F.lit(p).alias("pass"), "*", F.lit(scale).alias("scale_est"), F.lit(center).alias("center_est")))
         work = joined(table, p, work)
         keep = keep & inside(p)
-    final = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, not by)
+    final = fit_match_up(work.withColumn("_use", eligible & keep), min_n, scale, center, slope, intercept, not by, strict)
 
     out = keyed.withColumns({"_y": F.when(alive(target), F.col("value")), "_x": F.col("_ref"), "_grp": group_label(by)})
     for p, table in enumerate(tables, start=1):
