@@ -11,7 +11,7 @@ MATCH_UP = ["G3_match_up_screen", "G3_match_up_two_passes_by_region", "G3_match_
 
 
 SCALED = ["A9_scale_constants", "G14_reconstruct_site_view", "G14_reconstruct_lst_view", "G14_reconstruct_eco_view", "G14_reconstruct_ref_view", "G19_climatology_view", "G19_climatology_instrument_view", "G20_fine_scale_contribution",
-          "G16_collapsed_observations", "G16_smoothed_states", "G17_likelihood_grid", "G17_best_candidate"]
+          "G16_collapsed_observations", "G16_smoothed_states", "G16_states_on_a_five_day_axis", "G17_likelihood_grid", "G17_best_candidate"]
 
 
 def thinned(sf_dir, out, lost):

@@ -126,12 +126,13 @@ class _Block:
         return tuple(x[:, ::-1] for x in (back, m * (1.0 - back * rho), v - back * back * ahead))
 
 
-def _blocks(observed: DataFrame, axis: Axis) -> DataFrame:
+def _blocks(observed: DataFrame, axis: Axis, sites: DataFrame | None = None) -> DataFrame:
     """Every (site, block) with its observations as arrays of at most a block's bins, written once."""
     bin_no = F.floor(F.datediff("date", F.lit(axis.start)) / F.lit(axis.time_step)).cast("int")
     rows = observed.select("site", bin_no.alias("bin"), "ybar", "rbar").where(F.col("bin").between(0, axis.last_bin))
     own = rows.groupBy("site", F.floor(F.col("bin") / axis.size).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("bin", "ybar", "rbar"))).alias("o"))
-    every = observed.select("site").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(axis.last_block))))
+    named = observed.select("site") if sites is None else observed.select("site").unionByName(sites.select("site"))
+    every = named.distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(axis.last_block))))
     table = every.join(own, ["site", "block"], "left")
     return staged(table.select("site", "block", F.col("o.bin").alias("bins"), F.col("o.ybar").alias("ybar"), F.col("o.rbar").alias("rbar")), "blocks")
 
@@ -190,18 +191,19 @@ def _arrays(*lists):
     return tuple(np.asarray(x, float) for x in lists)
 
 
-def smooth(observed: DataFrame, start, last_bin: int, rho: float, tau: float, init_var: float = 1.0, time_step: int = 1, block_bins: int = BLOCK) -> DataFrame:
+def smooth(observed: DataFrame, start, last_bin: int, rho: float, tau: float, init_var: float = 1.0, time_step: int = 1, block_bins: int = BLOCK, sites: DataFrame | None = None) -> DataFrame:
     """Filter and smoother per site over every bin of the axis: (site, date, x, se).
 
     One series spans as many tasks as it has blocks. The state starts at mean 0 and variance ``init_var`` one step before the first
     bin; bins without data are prediction only. Observations outside the axis are ignored.
+    ``sites`` names sites that get states even without any observation.
     """
     import numpy as np
 
     axis = Axis(start, time_step, int(last_bin), block_bins)
     model = [(float(rho), float(tau))]
     kind = observed.schema["site"].dataType.simpleString()
-    came = _filter_inputs(_blocks(observed, axis), model, axis, init_var)
+    came = _filter_inputs(_blocks(observed, axis, sites), model, axis, init_var)
 
     def backward(block, row):
         elements = block.backward(*_arrays(row.mean, row.var))

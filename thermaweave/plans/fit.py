@@ -31,11 +31,11 @@ class ModelData:
     series: DataFrame
 
 
-def prepare(grid: DataFrame, cfg: ModelConfig, axis: g.TimeAxis | None = None) -> ModelData:
+def prepare(grid: DataFrame, cfg: ModelConfig, axis: g.TimeAxis | None = None, strict: bool = True) -> ModelData:
     """Choose sites and period, withhold, scale per site by the reference, and index the sites and series.
 
     ``axis`` is the grid's time axis; states exist on each of its bins in the period, whether observed or not. Without it
-    the axis is daily, from the first to the last observation.
+    the axis is daily, from the first to the last observation. Without ``strict`` a site whose scale is unusable has no scaled values instead of being an error.
     """
     rows = g.select_period(grid.where(F.col("value").isNotNull()), cfg.sites, cfg.start, cfg.end)
     rows = rows.where(F.col("variable").isin(list(cfg.instruments)) | F.col("variable").isin(cfg.holdout_variables))
@@ -46,7 +46,9 @@ def prepare(grid: DataFrame, cfg: ModelConfig, axis: g.TimeAxis | None = None) -
     if cfg.scale_reference is None:
         scales = rows.select("site").distinct().withColumns({"mu": F.lit(0.0), "sigma": F.lit(1.0)})
     else:
-        scales = g.scale_constants(rows, cfg.scale_reference)
+        scales = g.scale_constants(rows, cfg.scale_reference, strict).select("site", "mu", "sigma")
+        if not strict:
+            scales = scales.withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")))
     scales = cut(scales)
     sites = cut(g.site_ranks(rows).join(scales, "site"))
     if axis is None:
@@ -83,8 +85,11 @@ class Fitted:
         return {"": self.view(), **{self.config.instruments[v]["tag"]: self.view(v) for v in self.config.views}}
 
 
-def fit(data: ModelData, cfg: ModelConfig, shared_from: str, spread_reference: str) -> Fitted:
-    """Estimate and smooth. Shared factors are not fitted: a configuration that asks for them is refused. ``shared_from`` names the instrument whose regressions give the shared terms."""
+def fit(data: ModelData, cfg: ModelConfig, shared_from: str, spread_reference: str, strict: bool = True) -> Fitted:
+    """Estimate and smooth. Shared factors are not fitted: a configuration that asks for them is refused. ``shared_from`` names the instrument whose regressions give the shared terms.
+
+    Without ``strict`` sites without shared terms, and instruments without an offset to them, observe nothing: such a site's states are predictions.
+    """
     if cfg.factors:
         raise ValueError("factors are not fitted here; give loadings and factor states to the reconstruction")
     spark = data.observed.sparkSession
@@ -101,13 +106,20 @@ def fit(data: ModelData, cfg: ModelConfig, shared_from: str, spread_reference: s
     floor = variances.agg(F.min("r").alias("r"))
     variances = cut(variances.unionByName(floor.select(F.lit(spread_reference).alias("variable"), "r")))
 
-    resid = residuals(data, params, cfg)
+    kinds, known = cfg.instruments, data.sites
+    if not strict:
+        known = known.join(small_side(regressions.where(F.col("variable") == shared_from).select("site")), "site", "left_semi")
+        offsets = {f"mu_{s['tag']}" for s in kinds.values() if s["intercept"] == "site+instrument"}
+        have = {r["name"] for r in params.where(F.col("name").isin(list(offsets))).select("name").collect()}
+        kinds = {v: s for v, s in kinds.items() if s["intercept"] != "site+instrument" or f"mu_{s['tag']}" in have}
+    resid = residuals(data, params, cfg, kinds, known)
     observing = [v for v, s in cfg.instruments.items() if s.get("site_state", True)]
     seen = staged(sm.collapse(resid.where(F.col("variable").isin(observing)), variances), "collapsed")
     axis = data.axis
     scores = sm.log_likelihoods(seen, axis.start, [tuple(c) for c in cfg.candidates], cfg.init_var, axis.time_step, axis.last_bin)
-    rho, tau = sm.best_candidate(cut(scores))
-    states = sm.smooth(seen, axis.start, axis.last_bin, rho, tau, cfg.init_var, axis.time_step)
+    scores = cut(scores)
+    rho, tau = sm.best_candidate(scores) if strict or not scores.isEmpty() else cfg.candidates[0]
+    states = sm.smooth(seen, axis.start, axis.last_bin, rho, tau, cfg.init_var, axis.time_step, sites=None if strict else data.sites)
     return Fitted(params, variances, rho, tau, staged(states, "states"), data, cfg, entries)
 
 
@@ -118,14 +130,16 @@ def _offsets(regressions: DataFrame, spec: DataFrame, shared_from: str) -> DataF
     return rows.groupBy("tag").agg(F.avg(F.col("mu") - F.col("_base")).alias("value")).select(F.concat(F.lit("mu_"), "tag").alias("name"), "value")
 
 
-def residuals(data: ModelData, params: DataFrame, cfg: ModelConfig) -> DataFrame:
+def residuals(data: ModelData, params: DataFrame, cfg: ModelConfig, kinds: dict[str, dict], sites: DataFrame) -> DataFrame:
     """Scaled observations minus their instrument's intercept and season: (site, date, variable, resid)."""
     basis = list(harmonic_terms("date", cfg.harmonics, cfg.period).values())
     coefs = None
-    for v, kind in cfg.instruments.items():
-        c = rec.view_coefficients(data.sites, params, 2 * cfg.harmonics, 0, kind["intercept"], kind["seasonality"], kind["tag"], optional=True)
+    for v, kind in kinds.items():
+        c = rec.view_coefficients(sites, params, 2 * cfg.harmonics, 0, kind["intercept"], kind["seasonality"], kind["tag"], optional=True)
         c = c.select("site", F.lit(v).alias("variable"), "intercept", "season")
         coefs = c if coefs is None else coefs.unionByName(c)
+    if coefs is None:
+        return data.scaled.where("false").select("site", "date", "variable", F.col("y").alias("resid"))
     rows = data.scaled.join(small_side(coefs), ["site", "variable"])
     season = sum((F.col("season")[k] * b for k, b in enumerate(basis)), F.lit(0.0))
     return rows.select("site", "date", "variable", (F.col("y") - F.col("intercept") - season).alias("resid"))
