@@ -45,3 +45,13 @@ def test_match_ups(spark, sparse, name):
 @pytest.mark.parametrize("name", SCALED)
 def test_sites_without_a_scale(spark, few, name):
     agree(spark, few, name)
+
+
+@pytest.fixture(scope="module")
+def empty(sf_dir, tmp_path_factory):
+    return thinned(sf_dir, tmp_path_factory.mktemp("empty"), "true")
+
+
+@pytest.mark.parametrize("name", [n for n in SCALED if n.startswith(("G14", "G19", "G20"))] + ["G16_collapsed_observations", "T4_long_grid", "J10_dropped_series", "G15_seasonal_basis"])
+def test_grid_without_a_value(spark, empty, name):
+    agree(spark, empty, name)

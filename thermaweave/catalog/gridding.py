@@ -24,7 +24,7 @@ def grid_ctes(step: int = 1, agg: str = "avg", where: str = "variable IN ('lst_s
 
 
 def the_grid(spark, sf, step=1, agg="mean"):
-    return g.build_grid(extract(spark, sf), VARS, step, agg)
+    return g.build_grid(extract(spark, sf), VARS, step, agg, strict=False)
 
 
 GRID_COLS = f"row, row_key, variable, site, site_index, bin, date, {R('value')} AS value"
@@ -78,7 +78,7 @@ def gappy(spark, sf):
 
 @query("J10_dropped_series", with_ctes("SELECT v.variable, s.site FROM (SELECT DISTINCT site FROM sel) s CROSS JOIN (VALUES ('lst_sst'), ('eco_sst'), ('ref_sst')) v(variable) WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.variable = v.variable AND c.site = s.site)", "conv", [*GAPPY, *grid_ctes(source="gappy")]))
 def j10(spark, sf):
-    return g.build_grid(gappy(spark, sf), VARS).dropped
+    return g.build_grid(gappy(spark, sf), VARS, strict=False).dropped
 
 
 @query("G15_seasonal_basis", with_ctes(f"SELECT date, {R('sin(2 * pi() * dayofyear(date) / 365.25)')} AS sin1, {R('cos(2 * pi() * dayofyear(date) / 365.25)')} AS cos1, {R('sin(4 * pi() * dayofyear(date) / 365.25)')} AS sin2, {R('cos(4 * pi() * dayofyear(date) / 365.25)')} AS cos2 FROM (SELECT CAST(t0 + unnest(range(last_bin + 1))::INTEGER AS DATE) AS date FROM span)", "conv", grid_ctes()))
@@ -93,7 +93,7 @@ def g15_long(spark, sf):
 
 @query("N1_site_ranks", with_ctes("SELECT site, row_number() OVER (ORDER BY site) AS site_index FROM (SELECT DISTINCT site FROM grid WHERE variable = 'ref_sst')", "conv", [*GAPPY, *grid_ctes(source="gappy")]))
 def n1(spark, sf):
-    return g.site_ranks(g.build_grid(gappy(spark, sf), VARS).long().where("variable = 'ref_sst'"))
+    return g.site_ranks(g.build_grid(gappy(spark, sf), VARS, strict=False).long().where("variable = 'ref_sst'"))
 
 
 SITES = ["P1", "P3", "P10", "P12", "P20"]
@@ -126,7 +126,7 @@ def a9(spark, sf):
 
 @query("A9_unusable_scales", with_ctes(f"SELECT site, {R('mu')} AS mu, {R('sigma')} AS sigma, coalesce(sigma > 0, false) AS usable FROM scales", "conv", [*GAPPY, *grid_ctes(source="gappy"), *SCALES]))
 def a9_bad(spark, sf):
-    return g.scale_constants(g.build_grid(gappy(spark, sf), VARS).long(), "ref_sst", strict=False)
+    return g.scale_constants(g.build_grid(gappy(spark, sf), VARS, strict=False).long(), "ref_sst", strict=False)
 
 
 @query("T8_scaled_observations", with_ctes(f"SELECT row, date, {R('(value - mu) / sigma')} AS y FROM grid JOIN scales USING (site)", "conv", [*grid_ctes(), *SCALES]))

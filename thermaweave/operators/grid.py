@@ -88,12 +88,13 @@ class Grid:
 
 def build_grid(
     df: DataFrame, variables: list[str] | None = None, time_step: int = 1, agg: str = "mean", site: str = "point_id", time: str = "time",
-    value: str = "value", statistic_col: str | None = None, statistic=None,
+    value: str = "value", statistic_col: str | None = None, statistic=None, strict: bool = True,
 ) -> Grid:
     """Fixed-width bins of the selected variables.
 
     The origin and the last bin come from all selected rows, before missing values are dropped;
-    a series without a value gets no row and is listed in ``dropped``.
+    a series without a value gets no row and is listed in ``dropped``. With ``strict`` a table without
+    any value is an error; otherwise its grid has no series, on the axis of its dates (no bin, if there are none).
     """
     require_columns(df, ["variable", site, time, value])
     if time_step is None or time_step < 1:
@@ -110,13 +111,14 @@ def build_grid(
     span = rows.agg(F.min("date").alias("a"), F.max("date").alias("b"), F.count_if(F.col("date").isNull()).alias("bad"), F.count("value").alias("n")).first()
     if span["bad"]:
         raise ValueError(f"{span['bad']} dates could not be read")
-    if not span["n"]:
+    if strict and not span["n"]:
         raise ValueError("no non-missing values remain")
-    last_bin = (span["b"] - span["a"]).days // time_step
+    start = span["a"] or dt.date(1970, 1, 1)
+    last_bin = -1 if span["a"] is None else (span["b"] - start).days // time_step
 
     keys = ["variable", "site", "bin"]
     present = rows.where(finite("value").isNotNull() | F.col("value").isin(float("inf"), float("-inf")))
-    present = present.select("variable", "site", F.floor(F.datediff("date", F.lit(span["a"])) / F.lit(time_step)).cast("int").alias("bin"), "value")
+    present = present.select("variable", "site", F.floor(F.datediff("date", F.lit(start)) / F.lit(time_step)).cast("int").alias("bin"), "value")
     if agg == "median":
         cells = quantile_table(present, keys, "value", {"_q": 0.5}).select(*keys, F.col("_q").alias("value"))
     elif agg in AGGREGATES:
@@ -129,7 +131,7 @@ def build_grid(
     sites = rows.select("site").distinct()
     wanted = sites.select("site", F.explode(F.array(*map(F.lit, variables))).alias("variable"))
     dropped = null_safe_join(wanted, pairs, ["variable", "site"], "left_anti").select("variable", "site")
-    return Grid(cells, series, sites, dropped, span["a"], int(last_bin), int(time_step))
+    return Grid(cells, series, sites, dropped, start, int(last_bin), int(time_step))
 
 
 def index_series(pairs: DataFrame, variables: list[str]) -> DataFrame:
