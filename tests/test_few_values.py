@@ -55,3 +55,15 @@ def empty(sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", [n for n in SCALED if n.startswith(("G14", "G19", "G20"))] + ["G16_collapsed_observations", "T4_long_grid", "J10_dropped_series", "G15_seasonal_basis"])
 def test_grid_without_a_value(spark, empty, name):
     agree(spark, empty, name)
+
+
+@pytest.fixture(scope="module")
+def lone(sf_dir, tmp_path_factory):
+    """One value of eco_sst in all; the other instruments keep theirs."""
+    first = "(SELECT min(l_orderkey * 10 + l_linenumber) FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'O')"
+    return thinned(sf_dir, tmp_path_factory.mktemp("lone"), f"l_returnflag = 'A' AND l_orderkey * 10 + l_linenumber <> {first}")
+
+
+@pytest.mark.parametrize("name", ["A2_variable_summary", "A4_removal_summary"])
+def test_season_of_a_lone_value(spark, lone, name):
+    agree(spark, lone, name)

@@ -256,7 +256,7 @@ def wind_counts(keys: DataFrame) -> DataFrame:
 class SeasonalFit:
     """Per variable: pooled harmonic slopes and a residual centre and scale; per group: a level.
 
-    ``groups`` is the (small, already written) table of (variable, group, level); the rest is a
+    ``groups`` is the (small, already written) table of (variable, group, means); the rest is a
     handful of numbers per configured variable.
     """
 
@@ -273,28 +273,32 @@ class SeasonalFit:
         return out
 
     def residual(self, value: str = "value") -> Column:
-        """Raw residual on a table that has ``_level`` joined; NULL where untestable."""
+        """Raw residual on a table that has its group's means joined, exactly zero for a group's only value; NULL where untestable."""
         slopes = [self._pick({v: b[k] for v, b in self.betas.items()}) for k in range(len(self.terms))]
-        return F.col(value) - functools.reduce(operator.add, [b * t for b, t in zip(slopes, self.terms.values())]) - F.col("_level")
+        off = [b * (t - F.col(f"_m_{name}")) for b, (name, t) in zip(slopes, self.terms.items())]
+        return functools.reduce(operator.sub, off, F.col(value) - F.col("_my"))
 
     def score(self, df: DataFrame, name: str = "_score", value: str = "value") -> DataFrame:
         """Standardised residual as a column; a broadcast join when the group table was found small."""
         if not self.scale:
             return df.withColumn(name, F.lit(None).cast("double"))
         joined = df.join(self.groups, ["variable", self.group], "left")
-        score = (self.residual(value) - self._pick(self.center)) / self._pick(self.scale)
+        off, scale = self.residual(value) - self._pick(self.center), self._pick(self.scale)
+        beyond = F.when(off == 0, F.lit(math.nan)).otherwise(F.signum(off) * F.lit(math.inf))
+        score = F.when(scale == 0, beyond).otherwise(off / F.nullif(scale, F.lit(0.0)))
         return joined.withColumn(name, score).select(*df.columns, name)
 
 
 def fit_seasonal(
     df: DataFrame, variables: list[str], value: str = "value", time: str = "time", group: str = "point_id", harmonics: int = 1,
-    period: float = SEASON_DAYS, robust: bool = False,
+    period: float = SEASON_DAYS, robust: bool = False, strict: bool = True,
 ) -> SeasonalFit:
     """Least squares of value on harmonics with group intercepts, for several variables at once.
 
     No dummies are built: centred cross-products are additive over groups, so one partial aggregate
     per (variable, group) gives the normal equations, and only their sums (2H x 2H numbers per
-    variable) reach the driver. A variable with too few rows or no residual scale gets no scores.
+    variable) reach the driver. With ``strict`` a variable with too few rows or no residual scale gets no scores.
+    Otherwise its own fit is used, however few its rows: where they give no slopes, or a scale of zero, scores are NaN or infinite.
     """
     terms = harmonic_terms(time, harmonics, period)
     names = list(terms)
@@ -315,48 +319,50 @@ def fit_seasonal(
     )
     betas, counts = {}, {}
     for total in sums.collect():
-        if total["n"] < len(names) + max(total["groups"], 1) + 2:
+        if strict and total["n"] < len(names) + max(total["groups"], 1) + 2:
             continue
         gram = np.zeros((len(names), len(names)))
         for a, b in pairs:
             i, j = names.index(a), names.index(b)
             gram[i, j] = gram[j, i] = total[f"x_{a}_{b}"]
         # The pseudo-inverse stands in for dropping aliased terms.
-        betas[total["variable"]] = list(np.linalg.pinv(gram, rcond=1e-10) @ np.array([total[f"y_{t}"] for t in names]))
+        slopes = np.linalg.pinv(gram, rcond=1e-10) @ np.array([total[f"y_{t}"] for t in names])
+        sizes = np.linalg.svd(gram, compute_uv=False)
+        aliased = not strict and sizes[-1] <= 1e-10 * sizes[0]
+        betas[total["variable"]] = [math.nan] * len(names) if aliased else list(slopes)
         counts[total["variable"]] = total["n"]
     fit = SeasonalFit(groups, group, terms, betas, counts)
     if not betas:
         return fit
-    level = F.col("_my")
-    for k, t in enumerate(names):
-        level = level - fit._pick({v: b[k] for v, b in betas.items()}) * F.col(f"_m_{t}")
-    slim = groups.select("variable", group, level.alias("_level"))
+    slim = groups.select("variable", group, "_my", *[f"_m_{t}" for t in names])
     fit.groups = F.broadcast(slim) if n_groups <= BROADCAST_ROWS else slim
 
     resid = rows.join(fit.groups, ["variable", group]).select("variable", fit.residual(value).alias("_r")).where(F.col("_r").isNotNull())
     if robust:
         def by_variable(table: DataFrame, column: str) -> dict[str, float]:
-            return {r["variable"]: r["q"] for r in quantile_table(table, ["variable"], column, {"q": 0.5}).collect()}
+            return {r["variable"]: math.nan if r["q"] is None else r["q"] for r in quantile_table(table, ["variable"], column, {"q": 0.5}).collect()}
 
         fit.center = by_variable(resid, "_r")
         dev = resid.select("variable", F.abs(F.col("_r") - fit._pick(fit.center)).alias("_d"))
         fit.scale = {v: MAD_FACTOR * q for v, q in by_variable(dev, "_d").items()}
-    if not robust or any(not s for s in fit.scale.values()):
+    if not robust or (strict and any(not s for s in fit.scale.values())):
         for r in resid.groupBy("variable").agg(F.avg("_r").alias("m"), F.stddev_samp("_r").alias("s")).collect():
             if not robust:
                 fit.center[r["variable"]] = r["m"]
             if not fit.scale.get(r["variable"]):
                 fit.scale[r["variable"]] = r["s"]
-    fit.scale = {v: s for v, s in fit.scale.items() if s and math.isfinite(s)}
+    fit.scale = {v: s for v, s in fit.scale.items() if s is not None and (not strict or (s and math.isfinite(s)))}
     return fit
 
 
 def screen_seasonal(
     df: DataFrame, variables: str | list[str], thresholds=(5.0, 2.58), time: str = "time", group: str = "point_id", harmonics: int = 1,
-    period: float = SEASON_DAYS, robust: bool = False, keep_na: bool = True, step: int = 1, log: list | None = None,
+    period: float = SEASON_DAYS, robust: bool = False, keep_na: bool = True, step: int = 1, log: list | None = None, strict: bool = True,
 ) -> DataFrame:
     """Fit, standardise, reject; then refit on the survivors for each further threshold.
 
+    With ``strict`` a variable with too few rows for a fit keeps them all; see :func:`fit_seasonal` for what happens otherwise.
+
     Variables do not affect each other, so a list of them shares every job; they take consecutive
     step numbers. Between passes only the fitted group table is written out. Rows are never
     rewritten: each pass is a join to that table and an expression.
@@ -371,7 +377,7 @@ def screen_seasonal(
     live = F.col("stage").isNull() & F.coalesce(F.col("variable").isin(names), F.lit(False))
     position = F.array_position(F.array(*map(F.lit, names)), F.col("variable")) + F.lit(step - 1)
     for number, threshold in enumerate(thresholds, start=1):
-        fit = fit_seasonal(df.where(live), names, "value", time, group, harmonics, period, robust)
+        fit = fit_seasonal(df.where(live), names, "value", time, group, harmonics, period, robust, strict)
         if log is not None:
             log.append({"pass": number, "threshold": float(threshold), "fit": fit})
         if not fit.scale:
