@@ -6,6 +6,7 @@ import pytest
 from compare import difference, duck
 
 import __spark_entry__ as e
+from thermaweave.operators import matchup
 
 MATCH_UP = ["G3_match_up_screen", "G3_match_up_two_passes_by_region", "G3_match_up_two_passes_by_point", "G3_match_up_drop_unmatched", "G4_fit_both_fixed", "G21_cold_tail_sd_screen", "G21_free_line_sd_screen"]
 
@@ -67,3 +68,35 @@ def lone(sf_dir, tmp_path_factory):
 @pytest.mark.parametrize("name", ["A2_variable_summary", "A4_removal_summary"])
 def test_season_of_a_lone_value(spark, lone, name):
     agree(spark, lone, name)
+
+
+@pytest.fixture(scope="module")
+def flagged(sf_dir, tmp_path_factory):
+    """Return flags beside A, N and R, and none: the view takes them all for the reference, which then repeats at a key."""
+    out = tmp_path_factory.mktemp("flagged")
+    for f in os.listdir(sf_dir):
+        if f != "lineitem.parquet":
+            os.symlink(f"{sf_dir}/{f}", out / f)
+    flag = "CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 7 = 1 THEN 'X' ELSE l_returnflag END"
+    duck(sf_dir).execute(f"COPY (SELECT * REPLACE ({flag} AS l_returnflag) FROM lineitem) TO '{out}/lineitem.parquet' (FORMAT parquet)")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["G3_match_up_screen", "G3_match_up_two_passes_by_point", "G3_match_up_drop_unmatched"])
+def test_reference_that_repeats_at_a_key(spark, flagged, name):
+    agree(spark, flagged, name)
+
+
+def test_guard_against_repeats_stays(spark):
+    rows = [("P1", "2020-01-01", v, x) for v, x in (("eco_sst", 1.0), ("ref_sst", 2.0), ("ref_sst", 3.0))]
+    df = spark.createDataFrame(rows, "point_id string, time string, variable string, value double")
+    with pytest.raises(Exception, match="duplicate observations per key"):
+        matchup.screen_match_up(df, "eco_sst", "ref_sst", min_n=1).collect()
+    with pytest.raises(Exception, match="duplicate observations per key"):
+        matchup.screen_match_up(df, "ref_sst", "eco_sst", min_n=1, strict=False).collect()
+
+
+@pytest.mark.parametrize("name", ["G3_match_up_screen", "G3_match_up_two_passes_by_point", "G3_match_up_drop_unmatched"])
+def test_screen_does_not_draw_its_rows_twice(spark, sf_dir, name):
+    plan = e.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan

@@ -354,7 +354,8 @@ def match_query(name: str, passes=1, by=None, min_n=10, lower=COLD, upper=WARM,
 
     @query(name, sql)
     def run(spark, sf):
-        out = matchup.screen_match_up(celsius_temperatures(spark, sf), "eco_sst", "ref_sst", lower, upper, by=None if by is None else [by], passes=passes, scale=scale, min_n=min_n, keep_na=keep_na, strict=False, **args)
+        # Written once: the rows that pass by the screen would be drawn from the tables a second time.
+        out = matchup.screen_match_up(extract(spark, sf), "eco_sst", "ref_sst", lower, upper, by=None if by is None else [by], passes=passes, scale=scale, min_n=min_n, keep_na=keep_na, strict=False, **args)
         return out.where("variable = 'eco_sst'").select(*IDS, "value", "stage", "reason", "resid", "ref_value")
 
     return ctes, args

@@ -308,7 +308,8 @@ def screen_match_up(
     """Reject target rows whose residual from the reference leaves ``(-lower * s, upper * s)``.
 
     With ``strict`` fewer than ``min_n`` match-ups are an error. Otherwise their own fit is used, and where they give no
-    line or no scale nothing can be tested and nothing is rejected by it.
+    line or no scale nothing can be tested and nothing is rejected by it. A reference repeated at a key is an error with
+    ``strict``, too; otherwise its largest value counts.
 
     The reference value arrives by a window over the ids and the keyed table is written once.
     Every pass then aggregates that table into a small fit table; residuals are expressions over
@@ -326,7 +327,7 @@ def screen_match_up(
     cols = df.columns
     involved = F.coalesce(F.col("variable").isin(target, reference), F.lit(False))
     # Rows of other variables pass by: they are neither shuffled nor rewritten.
-    keyed = staged(df.where(involved).withColumn("_ref", per_key(reference, ids, [target])), "matchup", ["variable"])
+    keyed = staged(df.where(involved).withColumn("_ref", per_key(reference, ids, [target], strict)), "matchup", ["variable"])
     pairs = keyed.where(alive(target)).select(F.col("value").alias("_y"), F.col("_ref").alias("_x"), group_label(by).alias("_grp"))
     eligible = F.col("_y").isNotNull() & F.col("_x").isNotNull()
     counts = pairs.agg(F.count(F.lit(1)).alias("n_rows"), F.count("_y").alias("n_target"), F.count_if(eligible).alias("n_match")).first()
