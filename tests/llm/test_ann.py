@@ -86,3 +86,41 @@ def test_edge_rows(spark):
     got = as_lists(ann.search(df, width=50.0).collect())
     assert {q: [i for i, _, _ in n] for q, n in got.items()} == {0: [1, 8, 20], 20: [8, 0, 1]}
     assert ann.search(df.limit(0)).count() == 0 and ann.search(df.where("vec_id = 2")).count() == 0
+
+
+def keep_staged(monkeypatch):
+    """What the search stages: tables, and their plans before they ran."""
+    seen, plans, kept = {}, {}, ann.staged
+
+    def staged(df, label="stage", *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString().split("\n")
+        seen[label] = kept(df, label, *more)
+        return seen[label]
+
+    monkeypatch.setattr(ann, "staged", staged)
+    return seen, plans
+
+
+def test_queries_dealt_to_cells_are_not_broadcast(spark, monkeypatch):
+    _, plans = keep_staged(monkeypatch)
+    x = np.random.default_rng(6).standard_normal((2000, 8)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    assert ann.search(df, every=500).count() == 80
+    # Spark guesses the size of what a Python function makes from the file that it reads, here of four vectors.
+    lines = plans["met"]
+    assert any("MapInArrow" in line for line in lines)
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = lines[at + 1 :]
+            end = next((k for k, b in enumerate(below) if len(b) - len(b.lstrip(" :+-*()0123456789")) <= line.index("BroadcastExchange")), len(below))
+            assert not any("MapInArrow" in b for b in below[:end])
+
+
+def test_equal_queries_are_asked_once(spark, monkeypatch):
+    seen, _ = keep_staged(monkeypatch)
+    x = np.repeat(np.random.default_rng(7).standard_normal((30, 8)), 40, axis=0).astype(np.float32)  # two queries of each vector
+    ids = list(range(1200))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<float>").repartition(3)
+    got, want = as_lists(ann.search(df, width=50.0).collect()), exact(ids, x.astype(np.float64))
+    assert {q: [i for i, _, _ in n] for q, n in got.items()} == {q: [i for _, i in n] for q, n in want.items()}
+    assert seen["asked"].count() == 30

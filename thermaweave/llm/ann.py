@@ -7,10 +7,11 @@ the order of the squared distances to the cell walls that they cross. Candidates
 tables are merged and reranked by the exact inner product in double precision. Queries that met fewer candidates than asked for are
 compared with all vectors, in blocks of queries that tasks scan their rows with.
 
-Equal vectors are one candidate that carries its smallest ids, so a vector with very many copies costs
-no more than another. Work is dealt by table and the first cell coordinates; a cell with more than
+Equal vectors are one candidate that carries its smallest ids, and one query whose answer all of them share, so a vector with
+very many copies costs no more than another. Work is dealt by table and the first cell coordinates; a cell with more than
 ``CHUNK`` vectors is cut into chunks that each of its queries visits, so no bucket is capped and none
-lands in one task.
+lands in one task. Only the sizes of cells are broadcast, and only where they were counted to be few: queries dealt to their cells are many
+times larger than Spark can guess from the files of their vectors.
 
 Defined cases: vectors that are NULL, zero, or hold NULL, NaN or infinite components, or have another
 length than the commonest one, take no part; a NULL id takes no part; rows that repeat an id are one candidate id, its query is
@@ -24,19 +25,24 @@ import math
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from thermaweave.functions.lineage import scratch_path, small_side
+
+from .common import map_arrow, map_batches, staged
 
 TABLES, PROJECTIONS, WIDTH, PROBES = 8, 6, 1.5, 140
 SEED = 11
 CHUNK = 20_000
 #: Bands of norm, so many in each factor of two; the last takes all that are smaller still.
 FINE, BANDS = 3, 48
-#: Queries that are compared with all vectors in one pass.
+#: Queries that are compared with all vectors in one pass, about.
 SCANNED = 2048
+#: Queries that are dealt to their cells, or scored in a cell, at once.
+DEALT, SCORED = 256, 128
 
 
 class Tables:
@@ -68,59 +74,87 @@ class Tables:
         return (lifted @ self.direction[table] + self.shift[table]) / self.width
 
     def visits(self, place: np.ndarray) -> np.ndarray:
-        """Cells to visit (queries, probes, projections), likeliest first."""
+        """Cells to visit (queries, probes, projections): the likeliest."""
         home = np.floor(place).astype(np.int64)
         inside = place - home
         cost = np.zeros((len(place), len(self.moves)))
         for k in range(place.shape[1]):
             wall = np.stack([inside[:, k] ** 2, np.zeros(len(place)), (1 - inside[:, k]) ** 2], axis=1)
             cost += wall[:, self.moves[:, k] + 1]
-        order = np.argsort(cost, axis=1, kind="stable")[:, : self.probes + 1]
-        return home[:, None, :] + self.moves[order]
+        first = np.argpartition(cost, self.probes, axis=1)[:, : self.probes + 1] if self.probes < cost.shape[1] else np.tile(np.arange(cost.shape[1]), (len(place), 1))
+        return home[:, None, :] + self.moves[first]
 
-    def code(self, cells: np.ndarray) -> np.ndarray:
-        return (cells * self.odd).sum(axis=-1)
+    def code(self, cells: np.ndarray, lead: int | None = None) -> np.ndarray:
+        """A number for each cell, or for its first ``lead`` coordinates."""
+        return (cells[..., :lead] * self.odd[:lead]).sum(axis=-1)
 
 
-def best(q: np.ndarray, x: np.ndarray, least: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact scores of the ``most`` rows of ``x`` nearest to ``q``, ties to the smaller ``least`` id.
+def firsts(who: np.ndarray, exact: np.ndarray, least: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the ``most`` largest scores of each query, in order, ties to the smaller ``least`` id."""
+    order = np.lexsort((least, -exact, who))
+    who = who[order]
+    return order[np.arange(len(who)) - np.searchsorted(who, who, "left") < most]
 
-    ``score`` is in single precision (-inf: not met): what may belong to the first by it, rounding and ties included, is scored exactly.
-    """
-    met = np.flatnonzero(np.isfinite(score))
-    if len(met) > most:
-        edge = -np.partition(-score[met], most - 1)[most - 1]
-        slack = 1e-5 * np.linalg.norm(q) * np.linalg.norm(x[met], axis=1)
-        met = met[score[met] >= edge - 2 * slack.max()]
-    exact = (q.astype(np.float64) * x[met].astype(np.float64)).sum(axis=1)
-    order = np.lexsort((least[met], -exact))[:most]
-    return met[order], exact[order]
 
+def best(q: np.ndarray, x: np.ndarray, least: np.ndarray, most: int, met: np.ndarray | None = None, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, position and exact score of the ``most`` rows of ``x`` nearest to each row of ``q``, ties to the smaller ``least`` id.
 
-def scan(classes: DataFrame, asked: list, nearest: int) -> DataFrame:
-    """query_id, ids, score: the nearest of all vectors, for the queries (vec_id, vector) of one block."""
-    sent = classes.sparkSession.sparkContext.broadcast(([r.vec_id for r in asked], _matrix([r.vector for r in asked])))
-    held: dict[int, tuple] = {}
+    ``met`` tells the buckets of rows that a query met, if not all. Scores are first bounded in single precision, from above for all rows and from
+    below for every eighth: what may belong to the first by these bounds is scored exactly.
+    """
+    q1 = (q / np.linalg.norm(q.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+    top = np.abs(x).max(initial=1e-15)
+    x1 = x if 1e-15 < top < 1e15 else (x / np.float64(top)).astype(np.float32)
+    slack = (max(1e-5, 1.2e-7 * x.shape[1]) * np.linalg.norm(x1, axis=1)).astype(np.float32)
+    above = q1 @ x1.T
+    above += slack
+    some = slice(None, None, 8)
+    below = above[:, some] - 2 * slack[some]
+    if met is not None:
+        below[~met[:, bucket[some]]] = -np.inf
+    edge = np.partition(below, below.shape[1] - most, axis=1)[:, below.shape[1] - most] if below.shape[1] >= most else np.full(len(q), -np.inf, np.float32)
+    keep = above >= edge[:, None]
+    if met is not None and len(few := np.flatnonzero(edge == -np.inf)):
+        keep[few] = met[few][:, bucket]
+    who, at = np.divmod(np.flatnonzero(keep), len(x))
+    if met is not None:
+        there = met[who, bucket[at]]
+        who, at = who[there], at[there]
+    # The same once more among those that are left.
+    high = above[who, at]
+    low = high - 2 * slack[at]
+    last = firsts(who, low, least[at], most)
+    edge = np.full(len(q), np.inf, np.float32)
+    np.minimum.at(edge, who[last], low[last])
+    left = high >= edge[who]
+    who, at = who[left], at[left]
+    exact = (q[who].astype(np.float64) * x[at].astype(np.float64)).sum(axis=1)
+    order = firsts(who, exact, least[at], most)
+    return who[order], at[order], exact[order]
+
+
+def scan(classes: DataFrame, sent, nearest: int) -> DataFrame:
+    """query_id, ids, score: the nearest of all vectors, for the queries (names, matrix) of one block, a broadcast."""
+    held: list[np.ndarray] = []
 
     def rows(batch):
-        names, q = sent.value
+        _, q = sent.value
         x, ids = _matrix(batch["vector"]), np.empty(len(batch["ids"]), object)
         ids[:] = batch["ids"]
-        for i, scores in ((low + k, row) for low in range(0, len(q), 256) for k, row in enumerate(q[low : low + 256] @ x.T)):
-            before = held.get(i)
-            v, own = (x, ids) if before is None else (np.concatenate([before[0], x]), np.concatenate([before[1], ids]))
-            known = scores if before is None else np.concatenate([before[2], scores])
-            at, _ = best(q[i], v, np.array([k[0] for k in own]), known, nearest + 1)
-            held[i] = v[at], own[at], known[at]
+        least = np.array([k[0] for k in ids])
+        for low in range(0, len(q), SCORED):
+            part = q[low : low + SCORED]
+            who, at, exact = best(part, x, least, nearest + 1)
+            held[:] = [np.concatenate(p) for p in zip(held, (who + low, exact, least[at], ids[at]))] if held else [who + low, exact, least[at], ids[at]]
+        order = firsts(*held[:3], nearest + 1)
+        held[:] = [p[order] for p in held]
         return {"query_id": [], "ids": [], "score": []}
 
     def take():
-        made: dict[str, list] = {"query_id": [], "ids": [], "score": []}
-        names, q = sent.value
-        for i, (v, own, _) in held.items():
-            exact = (q[i].astype(np.float64) * v.astype(np.float64)).sum(axis=1)
-            for c, x in zip(made, ([names[i]] * len(own), own.tolist(), exact.tolist())):
-                made[c] += x
+        if not held:
+            return {"query_id": [], "ids": [], "score": []}
+        who, exact, _, ids = held
+        made = {"query_id": [sent.value[0][i] for i in who.tolist()], "ids": ids.tolist(), "score": exact.tolist()}
         held.clear()
         return made
 
@@ -131,6 +165,13 @@ def _matrix(vectors) -> np.ndarray:
     return np.frombuffer(b"".join(vectors), np.float32).reshape(len(vectors), -1)
 
 
+def packed(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """Vectors of one length as their bytes."""
+    x, n = batch.column("_v").flatten().to_numpy(), batch.num_rows
+    ends = pa.py_buffer(np.linspace(0, x.nbytes, n + 1).astype(np.int32))
+    return [pa.record_batch([batch.column("vec_id"), pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(x.tobytes())])], ["vec_id", "vector"])]
+
+
 def search(
     vectors: DataFrame, every: int = 20, nearest: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
     tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, chunk: int = CHUNK,
@@ -145,108 +186,102 @@ def search(
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], out)
     plan = Tables(sizes.dimension, sizes.largest, tables, projections, width, probes)
-    # Enough leading cell coordinates (each of about four cells) to make pieces of about a chunk; two at least, so that
-    # small tables are dealt like larger ones.
-    lead = min(projections, max(2, round(math.log(max(sizes.n / chunk, 1), 4)) + 1))
-
-    def packed(batch):
-        return {"vec_id": batch["vec_id"], "vector": [np.asarray(x, np.float32).tobytes() for x in batch["_v"]]}
-
-    rows = staged(map_batches(good.where(F.size("_v") == sizes.dimension), packed, "vec_id bigint, vector binary"), "vectors")
+    rows = staged(map_arrow(good.where(F.size("_v") == sizes.dimension), packed, "vec_id bigint, vector binary"), "vectors")
     # Only the smallest ids of equal vectors can be among the nearest.
     place = Window.partitionBy("vector").orderBy("vec_id")
     classes = staged(rows.distinct().withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= nearest + 1).groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "classes")
     queries = staged(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
-    banded = map_batches(classes.select("vector"), lambda batch: {"band": np.unique(plan.band(_matrix(batch["vector"]))).tolist()}, "band int")
-    bands = sorted(r.band for r in banded.distinct().collect())  # BANDS at most
-
-    def dealt(query: bool):
-        def run(batch):
-            made: dict[str, list] = {"table": [], "cell": [], "vector": [], "ids": []}
-            x = _matrix(batch["vector"])
-            if query:
-                lifted = plan.lift(x, True)
-            else:
-                band = plan.band(x)
-                lifted = np.empty((len(x), x.shape[1] + 1))
-                for b in np.unique(band):
-                    lifted[band == b] = plan.lift(x[band == b], False, b)
+    # Equal vectors are asked for once, under their smallest id.
+    asked = staged(queries.groupBy("vector").agg(F.min("vec_id").alias("query_id")), "asked")
+    there = classes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.least(F.size("ids"), F.lit(nearest + 1))), F.lit(0)).alias("ids")).first()
+    # Enough leading cell coordinates (each of about four cells) to make pieces of about a chunk; two at least, so that
+    # small tables are dealt like larger ones.
+    lead = min(projections, max(2, round(math.log(max(there.n / chunk, 1), 4)) + 1))
+
+    def dealt(batch):
+        x = _matrix(batch.column("vector").to_pylist())
+        band = plan.band(x)
+        lifted = np.empty((len(x), x.shape[1] + 1))
+        for b in np.unique(band):
+            lifted[band == b] = plan.lift(x[band == b], False, b)
+        for t in range(tables):
+            cell = plan.code(np.floor(plan.place(lifted, t)).astype(np.int64), lead)
+            yield pa.record_batch([pa.array(t + tables * band), pa.array(cell), *batch.columns], ["table", "cell", *batch.schema.names])
+
+    def visited(batch):
+        """Each query at its cells, which are the same in every band."""
+        for part in (batch.slice(low, DEALT) for low in range(0, batch.num_rows, DEALT)):
+            lifted = plan.lift(_matrix(part.column("vector").to_pylist()), True)
             for t in range(tables):
-                at = plan.place(lifted, t)
-                if query:  # its cells are the same in every band
-                    cells = [[(t + tables * b, c) for b in bands for c in sorted(set(map(tuple, v[:, :lead].tolist())))] for v in plan.visits(at)]
-                else:
-                    cells = [[(t + tables * b, tuple(c))] for b, c in zip(band.tolist(), np.floor(at[:, :lead]).astype(int).tolist())]
-                for own, vector, ids in zip(cells, batch["vector"], batch["ids"]):
-                    for place_, cell in own:
-                        for c, v in zip(made, (place_, ",".join(map(str, cell)), vector, ids)):
-                            made[c].append(v)
-            return made
-
-        return run
-
-    kind = "table int, cell string, vector binary, ids array<bigint>"
-    data = map_batches(classes.select("vector", "ids"), dealt(False), kind)
-    asked = map_batches(queries.select("vector", F.array("vec_id").alias("ids")), dealt(True), kind)
-    data = staged(data, "dealt")
-    chunks = data.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    data = data.join(chunks, ["table", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("vector"), F.col("chunks")).cast("int")).withColumn("query", F.lit(False))
+                cell = np.sort(plan.code(plan.visits(plan.place(lifted, t)), lead), axis=1)
+                who, which = np.nonzero(np.c_[np.ones(len(cell), bool), cell[:, 1:] != cell[:, :-1]])
+                columns = [pa.array(cell[who, which]), *part.take(pa.array(who)).columns]
+                for b in bands:
+                    yield pa.record_batch([pa.array(np.full(len(who), t + tables * b)), *columns], ["table", "cell", "vector", "ids"])
+
+    cells = map_arrow(classes.select("vector"), lambda batch: (made.drop_columns("vector") for made in dealt(batch)), "table int, cell bigint")
+    chunks = small_side(cells.groupBy("table", "cell").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")))
+    bands = sorted(r.band for r in chunks.select(F.floor(F.col("table") / tables).alias("band")).distinct().collect())  # BANDS at most
+
+    kind = "table int, cell bigint, vector binary, ids array<bigint>"
+    # Spark may broadcast neither side by its own guess: a side that is not marked is merged.
+    data = map_arrow(classes.select("vector", "ids"), dealt, kind).hint("merge").join(chunks, ["table", "cell"])
+    data = data.withColumn("chunk", F.pmod(F.xxhash64("vector"), F.col("chunks")).cast("int")).withColumn("query", F.lit(False))
     # Queries of a cell without vectors find nothing there.
-    asked = asked.join(chunks, ["table", "cell"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("query", F.lit(True))
+    sought = map_arrow(asked.select("vector", F.array("query_id").alias("ids")), visited, kind).hint("merge").join(chunks, ["table", "cell"])
+    sought = sought.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("query", F.lit(True))
 
-    def near(group: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = group[group["query"]], group[~group["query"]]
-        ids, found_ids, hit = [], [], []
+    def near(group: pa.Table) -> pa.Table:
+        mine, theirs = group.filter(group["query"]), group.filter(pc.invert(group["query"]))
+        own = pa.concat_arrays(theirs["ids"].chunks) if len(theirs) else pa.array([], group.schema.field("ids").type)
+        made = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(mine) and len(theirs):
-            band, t = divmod(int(group["table"].iloc[0]), tables)
-            cell = np.array([int(c) for c in group["cell"].iloc[0].split(",")])
-            x, q = _matrix(theirs["vector"].tolist()), _matrix(mine["vector"].tolist())
-            code = plan.code(np.floor(plan.place(plan.lift(x, False, band), t)).astype(np.int64))
-            order = np.argsort(code, kind="stable")
-            x, code = x[order], code[order]
-            own = theirs["ids"].to_numpy()[order]
-            least = np.array([k[0] for k in own])
-            asked_ids = mine["ids"].to_numpy()
-            for at in range(0, len(q), 128):
-                part = q[at : at + 128]
+            (band, t), cell = divmod(group["table"][0].as_py(), tables), group["cell"][0].as_py()
+            x, q = _matrix(theirs["vector"].to_pylist()), _matrix(mine["vector"].to_pylist())
+            buckets, bucket = np.unique(plan.code(np.floor(plan.place(plan.lift(x, False, band), t)).astype(np.int64)), return_inverse=True)
+            least, names = pc.list_element(own, 0).to_numpy(), pc.list_element(mine["ids"], 0).to_numpy()
+            for low in range(0, len(q), SCORED):
+                part = q[low : low + SCORED]
                 visit = plan.visits(plan.place(plan.lift(part, True), t))
-                here = (visit[:, :, : len(cell)] == cell).all(axis=2)
-                who, which = np.nonzero(here)
+                who, which = np.nonzero(plan.code(visit, lead) == cell)
                 codes = plan.code(visit[who, which])
-                lo, hi = np.searchsorted(code, codes, "left"), np.searchsorted(code, codes, "right")
-                score = np.full((len(part), len(x)), -np.inf, np.float32)
-                for bucket in np.unique(lo[hi > lo]):
-                    rows_ = who[(lo == bucket) & (hi > lo)]
-                    end = hi[(lo == bucket) & (hi > lo)][0]
-                    score[rows_, bucket:end] = part[rows_] @ x[bucket:end].T
-                for i in range(len(part)):
-                    js, exact = best(part[i], x, least, score[i], nearest + 1)
-                    ids += [int(asked_ids[at + i][0])] * len(js)
-                    found_ids += [own[j] for j in js]
-                    hit += exact.tolist()
-        return pd.DataFrame({"query_id": np.array(ids, np.int64), "ids": pd.Series(found_ids, dtype=object), "score": np.array(hit, np.float64)})
-
-    found = data.unionByName(asked).groupBy("table", "cell", "chunk").applyInPandas(near, "query_id bigint, ids array<bigint>, score double")
+                at = np.minimum(np.searchsorted(buckets, codes), len(buckets) - 1)
+                met, hit = np.zeros((len(part), len(buckets)), bool), buckets[at] == codes
+                met[who[hit], at[hit]] = True
+                who, at, exact = best(part, x, least, nearest + 1, met, bucket)
+                made.append((names[low + who], at, exact))
+        names, at, exact = (np.concatenate(p) for p in zip(*made))
+        return pa.table({"query_id": pa.array(names), "ids": own.take(pa.array(at)), "score": pa.array(exact)})
+
+    found = data.unionByName(sought).groupBy("table", "cell", "chunk").applyInArrow(near, "query_id bigint, ids array<bigint>, score double")
     # At most nearest + 1 for each query, table, cell and chunk.
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def ranked(found: DataFrame) -> DataFrame:
-        merged = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        return merged.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+        """query_id, near: its nearest + 1 ids and their scores in order, its own included."""
+        least, query = F.element_at("ids", 1).alias("_least"), Window.partitionBy("query_id")
+        once = found.repartition("query_id").distinct().select("*", least)  # a class is met in several tables
+        # Ids of a class come after the smallest ids of all classes before it.
+        once = once.withColumn("_first", (F.row_number().over(Window.partitionBy("query_id", "_least").orderBy(F.desc("score"))) == 1).cast("int"))
+        once = once.withColumn("_n", F.sum("_first").over(query.orderBy(F.desc("score"), "_least"))).where(F.col("_n") <= nearest + 1)
+        merged = once.select("query_id", F.explode("ids").alias("vec_id"), "score").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        merged = merged.withColumn("n", F.row_number().over(query.orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= nearest + 1)
+        return merged.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))
 
     met = staged(ranked(found), "met")
-    held = classes.agg(F.sum(F.least(F.size("ids"), F.lit(nearest + 1)))).first()[0] or 0
-    enough = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(nearest, max(held - 1, 0)))
-    short = staged(queries.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti").select("vec_id", "vector").orderBy("vec_id"), "short")
-    parts, block = [met.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(*met.columns)], []
-    for r in short.toLocalIterator():
-        block.append(r)
-        if len(block) == SCANNED:
-            parts.append(staged(ranked(scan(classes, block, nearest)), "scanned"))
-            block = []
-    if block:
-        parts.append(ranked(scan(classes, block, nearest)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    enough = F.size("near") >= min(nearest + 1, there.ids)
+    short = staged(asked.join(met.where(enough).select("query_id"), "query_id", "left_anti"), "short")
+    lists = met.where(enough)
+    if blocks := math.ceil(short.count() / SCANNED):
+        short = staged(short.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition("block"), "blocks", ["block"])
+        path = scratch_path(vectors.sparkSession, "scanned")
+        for b in range(blocks):  # a block of queries at a time comes to the driver, and nothing of it stays there
+            part = short.where(F.col("block") == b).collect()
+            if part:
+                sent = vectors.sparkSession.sparkContext.broadcast(([r.query_id for r in part], _matrix([r.vector for r in part])))
+                ranked(scan(classes, sent, nearest)).write.mode("append").parquet(path)
+                sent.destroy()
+        lists = lists.unionByName(vectors.sparkSession.read.schema(met.schema).parquet(path))
+    members = queries.hint("merge").join(asked, "vector").select(F.col("vec_id").alias("_own"), "query_id")
+    others = F.slice(F.filter("near", lambda n: n.vec_id != F.col("_own")), 1, nearest)
+    out = members.hint("merge").join(lists, "query_id").select(F.col("_own").alias("query_id"), F.posexplode(others).alias("_rank", "_n"))
+    return out.select("query_id", (F.col("_rank") + 1).alias("rank"), "_n.vec_id", "_n.score")
