@@ -149,3 +149,18 @@ def test_classes_of_a_batch_are_those_of_each_text():
     assert whole.tolist() == np.concatenate(alone).tolist() and set(whole.tolist()) == {0, 1, 2}
     for a, b, t in zip(bounds[1:], bounds[2:], texts):
         assert [g for g, low, high in classes.runs(t) for _ in range(low, high)] == whole[a : b - 1].tolist()
+
+
+def test_classes_come_from_all_training_texts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE", 40, raising=False)  # there was a bound of that name
+    seen, counts = [], lm.class_counts
+    monkeypatch.setattr(lm, "class_counts", lambda docs, classes: seen.append(classes) or counts(docs, classes))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "of no id"), (7, None), (7, " ")], docs.schema)).repartition(5)
+    lm.score(docs)
+    texts = [lm.tokens(r.text) for r in docs.collect() if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    held = Counter(w for t in texts for w in set(t))
+    got, want = seen[-1], lm.Classes(texts)
+    assert list(got.place) == sorted(held, key=lambda w: (-held[w], w))[: lm.TELLING] == list(want.place)
+    assert got.score.shape == (lm.CLASSES, len(held)) if len(held) < lm.TELLING else (lm.CLASSES, lm.TELLING)
+    assert (got.score == want.score).all()
